@@ -36,54 +36,53 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def _with_day(rows: DataFrame, time_col: str) -> DataFrame:
-    return rows.withColumn(PARTITION, F.to_date(time_col))
+def _by_day(rows: DataFrame, time_col: str, tie: str | None) -> DataFrame:
+    """Rows with their day, range-partitioned by time and ``tie``.
 
+    A day then lands in few large files of short time spans, while a day, minute or instant that holds
+    most of the data is still spread over tasks.
+    """
+    keys = [PARTITION, time_col] + ([tie] if tie else [])
+    return rows.withColumn(PARTITION, F.to_date(time_col)).repartitionByRange(*keys)
 
-def write_by_day(rows: DataFrame, path: str, time_col: str, mode: str = "overwrite") -> None:
-    """Write with one folder per day.
 
-    Rows are range-partitioned by time first, so that a day lands in few large files, a day that holds
-    most of the data is still spread over tasks, and row groups cover short time spans.
-    """
-    (
-        _with_day(rows, time_col)
-        .repartitionByRange(PARTITION, time_col)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "static")
-        .partitionBy(PARTITION)
-        .parquet(path)
-    )
+def _write(rows: DataFrame, path: str, mode: str, overwrite: str) -> None:
+    writer = rows.write.mode(mode).option("partitionOverwriteMode", overwrite)
+    writer.partitionBy(PARTITION).parquet(path)
+
 
+def write_by_day(rows: DataFrame, path: str, time_col: str, tie: str | None = None) -> None:
+    """The whole table anew, one folder per day."""
+    _write(_by_day(rows, time_col, tie), path, "overwrite", "static")
 
-def overwrite_days(rows: DataFrame, path: str, time_col: str) -> None:
+
+def append_by_day(rows: DataFrame, path: str, time_col: str, tie: str | None = None) -> None:
+    _write(_by_day(rows, time_col, tie), path, "append", "static")
+
+
+def overwrite_days(rows: DataFrame, path: str, time_col: str, tie: str | None = None) -> None:
     """Replace exactly the days present in ``rows``; other days stay untouched.
 
     Spark stages the new files and swaps folders after all tasks are done, so a lost executor only
     repeats tasks, and ``rows`` may be computed from the very table being changed.
     """
-    (
-        _with_day(rows, time_col)
-        .repartitionByRange(PARTITION, time_col)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PARTITION)
-        .parquet(path)
-    )
+    _write(_by_day(rows, time_col, tie), path, "overwrite", "dynamic")
 
 
-def replace_since(batch: DataFrame, path: str, time_col: str, bound: int | None) -> None:
+def replace_since(
+    batch: DataFrame, path: str, time_col: str, bound: int | None, tie: str | None = None
+) -> None:
     """Store ``batch`` as the table's content from ``bound`` on.
 
     Only the day that ``bound`` cuts is partly kept; it is read back and rewritten with the batch.
     """
     spark = batch.sparkSession
     if bound is None or not table_exists(spark, path):
-        write_by_day(batch, path, time_col)
+        write_by_day(batch, path, time_col, tie)
         return
     start = bounds.at(bound)
     cut_day = spark.read.parquet(path).where(
         (F.col(PARTITION) == F.to_date(start)) & (F.col(time_col) < start)
     )
-    kept = cut_day.drop(PARTITION).select(*batch.columns)
-    overwrite_days(kept.unionByName(batch), path, time_col)
+    kept = cut_day.select(*batch.columns)
+    overwrite_days(kept.unionByName(batch), path, time_col, tie)

@@ -1,35 +1,30 @@
-"""Aggregates whose result does not depend on the order rows arrive in."""
+"""Aggregates whose result does not depend on the order rows arrive in, ratios and keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Scores lie in [0, 1]; twelve decimals keep every digit a report shows.
-SCORE_TYPE = "decimal(18,12)"
+SCORE_TYPE = "DECIMAL(18,12)"
 
 
-def score_sum(score: Column) -> Column:
+def score_sum(score: str = "heavy_unit") -> str:
     """Sum of cost scores as an exact decimal.
 
     Floating sums change in the last digits with task order, retries and batch cuts, which would
     reorder tied leaderboard rows. The decimal sum is the same whatever the partitioning.
     """
-    return F.sum(score.cast(SCORE_TYPE))
+    return f"sum(CAST({score} AS {SCORE_TYPE}))"
 
 
-def as_double(c: Column) -> Column:
-    return c.cast("double")
+def as_double(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
+def ratio(numerator: str, denominator: str) -> str:
     """``numerator / denominator``, NULL where the denominator is 0."""
-    return as_double(numerator) / F.nullif(as_double(denominator), F.lit(0.0))
+    return f"({as_double(numerator)} / nullif({as_double(denominator)}, 0D))"
 
 
-def surrogate_key(*parts: Column) -> Column:
+def surrogate_key(*parts: str) -> str:
     """md5 over ``-``-joined parts; NULL if any part is NULL."""
-    pieces: list[Column] = []
-    for i, part in enumerate(parts):
-        pieces += ([F.lit("-")] if i else []) + [part.cast("string")]
-    return F.md5(F.concat(*pieces))
+    pieces = ", '-', ".join(f"CAST({p} AS STRING)" for p in parts)
+    return f"md5(concat({pieces}))"

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Query types that never touch user data.
 SYSTEM_QUERY_TYPES = (
     "analyze", "vacuum", "commit", "rollback", "begin", "set", "show", "describe", "explain",
@@ -17,67 +14,70 @@ EXEC_WEIGHT, SCAN_WEIGHT, SPILL_WEIGHT = 0.4, 0.4, 0.2
 CACHED_SCORE, ABORTED_SCORE, MIN_SCORE, MAX_SCORE = 0.05, 0.10, 0.05, 1.0
 
 
-def _or_zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))
+def or_zero(x: str) -> str:
+    return f"coalesce({x}, 0D)"
 
 
-def is_unknown_fingerprint(fingerprint: Column) -> Column:
-    return (
-        fingerprint.isNull()
-        | (fingerprint == "")
-        | F.upper(fingerprint).isin(*UNKNOWN_FINGERPRINTS)
-    )
+def is_unknown_fingerprint(fingerprint: str = "feature_fingerprint") -> str:
+    return f"coalesce({fingerprint} = '' OR upper({fingerprint}) IN {UNKNOWN_FINGERPRINTS}, true)"
 
 
-def access_scope(external: Column, system: Column, permanent: Column) -> Column:
+def access_scope(
+    external: str = "num_external_tables_accessed",
+    system: str = "num_system_tables_accessed",
+    permanent: str = "num_permanent_tables_accessed",
+) -> str:
     """Widest kind of table a query touched; external wins over system, system over permanent."""
-    return (
-        F.when(_or_zero(external) > 0, "External (Data Lake)")
-        .when(_or_zero(system) > 0, "System Internal")
-        .when(_or_zero(permanent) > 0, "Core Warehousing")
-        .otherwise("Metadata only")
-    )
-
+    return f"""CASE WHEN {or_zero(external)} > 0 THEN 'External (Data Lake)'
+        WHEN {or_zero(system)} > 0 THEN 'System Internal'
+        WHEN {or_zero(permanent)} > 0 THEN 'Core Warehousing'
+        ELSE 'Metadata only' END"""
 
-def is_system_metadata(system_tables: Column, query_type: Column) -> Column:
-    by_type = F.coalesce(F.lower(query_type).isin(*SYSTEM_QUERY_TYPES), F.lit(False))
-    return (_or_zero(system_tables) > 0) | by_type
 
-
-def workload_classification(system_metadata: Column, has_read: Column, has_write: Column) -> Column:
-    read, write = F.coalesce(has_read, F.lit(False)), F.coalesce(has_write, F.lit(False))
+def is_system_metadata(
+    system_tables: str = "num_system_tables_accessed", query_type: str = "query_type"
+) -> str:
     return (
-        F.when(system_metadata, "System/Metadata")
-        .when(read & write, "Read/Write")
-        .when(read, "Read only")
-        .when(write, "Write only")
-        .otherwise("Unknown/Other")
+        f"({or_zero(system_tables)} > 0 "
+        f"OR coalesce(lower({query_type}) IN {SYSTEM_QUERY_TYPES}, false))"
     )
 
 
+def workload_classification(
+    system_metadata: str = "workload_is_system_metadata",
+    has_read: str = "has_read",
+    has_write: str = "has_write",
+) -> str:
+    return f"""CASE WHEN {system_metadata} THEN 'System/Metadata'
+        WHEN {has_read} AND {has_write} THEN 'Read/Write'
+        WHEN {has_read} THEN 'Read only'
+        WHEN {has_write} THEN 'Write only'
+        ELSE 'Unknown/Other' END"""
+
+
 def heavy_unit(
-    was_cached: Column,
-    was_aborted: Column,
-    exec_ms: Column,
-    scanned_mb: Column,
-    spilled_mb: Column,
+    was_cached: str = "was_cached",
+    was_aborted: str = "was_aborted",
+    exec_ms: str = "execution_duration_ms",
+    scanned_mb: str = "mbytes_scanned",
+    spilled_mb: str = "mbytes_spilled",
     *,
     exec_cap: float = EXEC_MS_CAP,
     scan_cap: float = SCAN_MB_CAP,
     spill_cap: float = SPILL_MB_CAP,
-) -> Column:
+) -> str:
     """Cost score of one query in [0.05, 1]: a weighted mix of saturating resource shares."""
 
-    def share(amount: Column, cap: float, weight: float) -> Column:
-        return F.lit(weight) * F.least(_or_zero(amount) / F.lit(cap), F.lit(1.0))
+    def share(amount: str, cap: float, weight: float) -> str:
+        return f"{weight}D * least({or_zero(amount)} / {cap}D, 1D)"
 
-    mix = (
-        share(exec_ms, exec_cap, EXEC_WEIGHT)
-        + share(scanned_mb, scan_cap, SCAN_WEIGHT)
-        + share(spilled_mb, spill_cap, SPILL_WEIGHT)
-    )
-    return (
-        F.when(was_cached == 1, F.lit(CACHED_SCORE))
-        .when((was_cached != 1) & (was_aborted == 1), F.lit(ABORTED_SCORE))
-        .otherwise(F.least(F.lit(MAX_SCORE), F.greatest(F.lit(MIN_SCORE), mix)))
+    mix = " + ".join(
+        (
+            share(exec_ms, exec_cap, EXEC_WEIGHT),
+            share(scanned_mb, scan_cap, SCAN_WEIGHT),
+            share(spilled_mb, spill_cap, SPILL_WEIGHT),
+        )
     )
+    return f"""CASE WHEN {was_cached} = 1 THEN {CACHED_SCORE}D
+        WHEN {was_cached} <> 1 AND {was_aborted} = 1 THEN {ABORTED_SCORE}D
+        ELSE least({MAX_SCORE}D, greatest({MIN_SCORE}D, {mix})) END"""

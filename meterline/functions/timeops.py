@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def at(micros: int | None) -> str:
+    """A timestamp literal from epoch microseconds."""
+    return "CAST(NULL AS TIMESTAMP)" if micros is None else f"timestamp_micros({micros}L)"
 
-def minute_of(ts: Column) -> Column:
-    return F.date_trunc("minute", ts)
 
+def minute_of(ts: str) -> str:
+    return f"date_trunc('minute', {ts})"
 
-def plus_millis(ts: Column, ms: Column) -> Column:
+
+def plus_millis(ts: str, ms: str) -> str:
     """``ts`` shifted by a fractional number of milliseconds, to the microsecond."""
-    return F.timestamp_micros(F.unix_micros(ts) + F.round(ms * 1000).cast("long"))
+    return f"timestamp_micros(unix_micros({ts}) + CAST(round({ms} * 1000) AS BIGINT))"
 
 
-def plus_minutes(ts: Column, minutes: int) -> Column:
-    return F.timestamp_micros(F.unix_micros(ts) + F.lit(int(minutes) * 60_000_000))
+def plus_minutes(ts: str, minutes: int) -> str:
+    return f"timestamp_micros(unix_micros({ts}) + {int(minutes) * 60_000_000}L)"
 
 
-def floor_to(ts: Column, seconds: int) -> Column:
+def floor_to(ts: str, seconds: int) -> str:
     """Start of the ``seconds``-wide bucket, counted from the epoch."""
-    width = seconds * 1_000_000
-    micros = F.unix_micros(ts)
-    return F.timestamp_micros(micros - F.pmod(micros, F.lit(width)))
+    micros = f"unix_micros({ts})"
+    return f"timestamp_micros({micros} - pmod({micros}, {seconds * 1_000_000}L))"
 
 
-def minutes_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(60_000_000.0)
+def minutes_between(later: str, earlier: str) -> str:
+    return f"((unix_micros({later}) - unix_micros({earlier})) / 60000000D)"
 
 
-def key_text(ts: Column) -> Column:
+def key_text(ts: str) -> str:
     """Timestamp text inside surrogate keys: seconds and the UTC offset."""
-    return F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("+00"))
+    return f"concat(date_format({ts}, 'yyyy-MM-dd HH:mm:ss'), '+00')"

@@ -10,43 +10,45 @@ from pyspark.sql import types as T
 NONFINITE_TOKENS = ('"NaN"', '"Infinity"', '"-Infinity"', '"+Infinity"', '"INF"', '"-INF"', '"+INF"')
 
 
-def empty_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+def empty_to_null(x: str) -> str:
+    return f"nullif({x}, '')"
 
 
-def finite(c: Column) -> Column:
-    """A double with NaN and both infinities replaced by NULL."""
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(c)
+def finite(x: str) -> str:
+    """A double with NaN and both infinities replaced by NULL (NaN sorts above infinity)."""
+    return f"CASE WHEN abs({x}) < double('Infinity') THEN {x} END"
 
 
-def to_number(text: Column, strict: bool = False) -> Column:
-    value = empty_to_null(text)
-    return finite(value.cast("double") if strict else value.try_cast("double"))
+def to_number(text: str, strict: bool = False) -> str:
+    value = f"{'CAST' if strict else 'TRY_CAST'}({empty_to_null(text)} AS DOUBLE)"
+    return finite(value)
 
 
-def to_whole(text: Column, type_name: str, strict: bool = False) -> Column:
+def to_whole(text: str, type_name: str, strict: bool = False) -> str:
     """Integer from text. ``strict`` raises on ``'1.0'``; the tolerant form reads it as 1."""
     value = empty_to_null(text)
     if strict:
-        return value.cast(type_name)
+        return f"CAST({value} AS {type_name})"
     # a direct read first: going through double would round 64-bit ids
-    return F.coalesce(value.try_cast(type_name), to_number(text).try_cast(type_name))
+    return (
+        f"coalesce(TRY_CAST({value} AS {type_name}), "
+        f"TRY_CAST(TRY_CAST({value} AS DOUBLE) AS {type_name}))"
+    )
 
 
-def to_time(text: Column, strict: bool = False) -> Column:
-    value = empty_to_null(text)
-    return value.cast("timestamp") if strict else value.try_cast("timestamp")
+def to_time(text: str, strict: bool = False) -> str:
+    return f"{'CAST' if strict else 'TRY_CAST'}({empty_to_null(text)} AS TIMESTAMP)"
 
 
-def has_items(id_list: Column) -> Column:
+def has_items(id_list: str) -> str:
     """True if a comma list holds anything but blanks."""
-    return empty_to_null(F.trim(id_list)).isNotNull()
+    return f"{empty_to_null(f'trim({id_list})')} IS NOT NULL"
 
 
 def sanitize(c: Column, dtype: T.DataType) -> Column:
     """Non-finite numbers to NULL at any depth of structs, arrays and maps."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return finite(c)
+        return F.when(F.abs(c) < float("inf"), c)
     if isinstance(dtype, T.ArrayType) and _has_float(dtype.elementType):
         return F.transform(c, lambda x: sanitize(x, dtype.elementType))
     if isinstance(dtype, T.MapType) and _has_float(dtype.valueType):

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterline.functions.timeops import at
 from meterline.operators import bounds
 from meterline.operators.selection import exact_quantile, resolve_column
 
@@ -21,6 +22,8 @@ TOP_VALUE_TYPES = {
     "fingerprint": ["fingerprint"],
     "workload": ["workload", "workload_type"],
 }
+FINGERPRINT_TYPES = ("fingerprint", "feature_fingerprint")
+USER_TYPES = ("user", "user_id", "instance_id")
 # Names under which a table may carry a predicted cost, a fingerprint and a user.
 PREDICTED_COST = ["pred_cost_7d", "predicted_cost_7d", "cost_7d", "next_7d_cost", "forecast_7d_cost"]
 FINGERPRINT_NAMES = ["feature_fingerprint", "fingerprint", "fp"]
@@ -32,25 +35,20 @@ def latest_window(
 ) -> DataFrame:
     """Rows of the newest window. ``newest`` (epoch microseconds) spares the look-up."""
     newest = bounds.latest(board, time_col) if newest is None else newest
-    return (
-        board.where(F.lit(False))
-        if newest is None
-        else board.where(F.col(time_col) == bounds.at(newest))
-    )
+    return board.where("false" if newest is None else f"{time_col} = {at(newest)}")
 
 
 def top_values(board: DataFrame, newest: int | None = None) -> DataFrame:
     """Best-ranked value of each dimension in the newest window, as one row."""
-    kind, rank = F.col("dimension_type"), F.col("rank_position")
 
-    def best(names: list[str]) -> Column:
+    def best(names: list[str]) -> str:
         tries = [
-            F.min_by("dimension_value", F.when((kind == n) & rank.isNotNull(), rank)) for n in names
+            f"min_by(dimension_value, CASE WHEN dimension_type = '{n}' THEN rank_position END)" for n in names
         ]
-        return F.coalesce(*tries, F.lit(MISSING))
+        return f"coalesce({', '.join(tries)}, '{MISSING}')"
 
-    return latest_window(board, newest=newest).agg(
-        *[best(names).alias(f"top_{label}") for label, names in TOP_VALUE_TYPES.items()]
+    return latest_window(board, newest=newest).selectExpr(
+        *[f"{best(names)} AS top_{label}" for label, names in TOP_VALUE_TYPES.items()]
     )
 
 
@@ -64,9 +62,8 @@ def search(
     rows = latest_window(board, newest=newest).where(
         (F.col("dimension_type") == dimension) & F.col("rank_position").isNotNull()
     )
-    pattern = text.strip()
-    if pattern:
-        rows = rows.where(F.col("dimension_value").rlike(f"(?i){pattern}"))
+    if text.strip():
+        rows = rows.where(F.col("dimension_value").rlike(f"(?i){text.strip()}"))
     return rows.orderBy("rank_position", "dimension_value").limit(top)
 
 
@@ -75,23 +72,20 @@ def literal_pattern(text: str) -> str:
     return re.escape(text)
 
 
-def short_label(value: Column) -> Column:
+def short_label(text: str) -> str:
     """Long labels keep their first 12 and last 10 characters."""
-    text = value.cast("string")
-    short = F.concat(
-        F.substring(text, 1, LABEL_HEAD), F.lit("…"), F.right(text, F.lit(LABEL_TAIL))
-    )
-    return F.when(F.length(text) > LABEL_LENGTH, short).otherwise(text)
+    return f"""CASE WHEN length({text}) > {LABEL_LENGTH}
+        THEN concat(left({text}, {LABEL_HEAD}), '…', right({text}, {LABEL_TAIL})) ELSE {text} END"""
 
 
 def display(rows: DataFrame) -> DataFrame:
     """Table cells: rank, short label, two-decimal score and whole count with thousands separators."""
-    return rows.select(
+    return rows.selectExpr(
         "dimension_type",
         "rank_position",
-        short_label(F.col("dimension_value")).alias("label"),
-        F.format_number("heavy_units_sum", 2).alias("heavy_units"),
-        F.format_number(F.col("queries_count").cast("long"), 0).alias("queries"),
+        f"{short_label('dimension_value')} AS label",
+        "format_number(heavy_units_sum, 2) AS heavy_units",
+        "format_number(CAST(queries_count AS BIGINT), 0) AS queries",
     )
 
 
@@ -106,47 +100,43 @@ def predator_summary(
     """
     cost = None if predators is None else resolve_column(predators, PREDICTED_COST)
     if cost is not None:
-        amount = F.coalesce(F.col(cost).try_cast("double"), F.lit(0.0))
-        fingerprint = resolve_column(predators, FINGERPRINT_NAMES)
-        user = resolve_column(predators, USER_NAMES)
-
-        def at_most(name: str | None) -> Column:
-            return F.lit(MISSING) if name is None else F.max_by(F.col(name).cast("string"), amount)
-
-        return predators.agg(
-            at_most(fingerprint).alias("top_fingerprint"),
-            F.max(amount).alias("top_fingerprint_cost"),
-            at_most(user).alias("top_user"),
-            F.sum(amount).alias("pred_total"),
-            F.sum(amount).alias("pred_total_once"),
+        amount = f"coalesce(TRY_CAST({cost} AS DOUBLE), 0D)"
+
+        def at_most(names: list[str]) -> str:
+            name = resolve_column(predators, names)
+            return f"'{MISSING}'" if name is None else f"max_by(CAST({name} AS STRING), {amount})"
+
+        return predators.selectExpr(
+            f"{at_most(FINGERPRINT_NAMES)} AS top_fingerprint",
+            f"max({amount}) AS top_fingerprint_cost",
+            f"{at_most(USER_NAMES)} AS top_user",
+            f"sum({amount}) AS pred_total",
+            f"sum({amount}) AS pred_total_once",
         )
-    amount = F.coalesce("heavy_units_sum", F.lit(0.0))
-    is_print = F.col("dimension_type").isin("fingerprint", "feature_fingerprint")
-    is_user = F.col("dimension_type").isin("user", "user_id", "instance_id")
-    # rank order settles ties between equal amounts
-    order = F.col("rank_position")
-
-    def top(kind: Column) -> Column:
-        return F.coalesce(F.min_by("dimension_value", F.when(kind, order)), F.lit(MISSING))
-
-    zero = F.lit(0.0)
-    return latest_window(board, newest=newest).agg(
-        top(is_print).alias("top_fingerprint"),
-        F.coalesce(F.max(F.when(is_print, amount)), zero).alias("top_fingerprint_cost"),
-        top(is_user).alias("top_user"),
-        F.coalesce(F.sum(amount), zero).alias("pred_total"),
-        F.coalesce(F.sum(F.when(is_print, amount)), zero).alias("pred_total_once"),
+    is_print, is_user = f"dimension_type IN {FINGERPRINT_TYPES}", f"dimension_type IN {USER_TYPES}"
+
+    def top(kind: str) -> str:
+        # ranks follow the amounts and settle ties
+        return f"coalesce(min_by(dimension_value, CASE WHEN {kind} THEN rank_position END), '{MISSING}')"
+
+    prints = f"CASE WHEN {is_print} THEN heavy_units_sum END"
+    return latest_window(board, newest=newest).selectExpr(
+        f"{top(is_print)} AS top_fingerprint",
+        f"coalesce(max({prints}), 0D) AS top_fingerprint_cost",
+        f"{top(is_user)} AS top_user",
+        "coalesce(sum(heavy_units_sum), 0D) AS pred_total",
+        f"coalesce(sum({prints}), 0D) AS pred_total_once",
     )
 
 
 def hot_rows(rows: DataFrame, metric: str = "heavy_units_sum", q: float = 0.80) -> DataFrame:
     """Largest load, the hot threshold and how many rows reach it. Few rows (5 or less) use the maximum."""
-    loads = rows.select(F.coalesce(F.col(metric).cast("double"), F.lit(0.0)).alias("load"))
-    head = loads.agg(F.count("*").alias("n"), F.max("load").alias("top")).first()
+    loads = rows.selectExpr(f"coalesce(CAST({metric} AS DOUBLE), 0D) AS load")
+    head = loads.selectExpr("count(*) AS n", "max(load) AS top").first()
     threshold = exact_quantile(loads, "load", q) if head["n"] > 5 else head["top"]
-    limit = F.lit(threshold).cast("double")
-    return loads.agg(
-        F.coalesce(F.max("load"), F.lit(0.0)).alias("max_workload"),
-        F.coalesce(F.max(limit), F.lit(0.0)).alias("threshold"),
-        F.count_if(F.col("load") >= limit).alias("hot_rows"),
+    limit = 0.0 if threshold is None else threshold
+    return loads.selectExpr(
+        "coalesce(max(load), 0D) AS max_workload",
+        f"{limit!r}D AS threshold",
+        f"count_if(load >= {limit!r}D) AS hot_rows",
     )

@@ -6,43 +6,43 @@ filters can use it. Bounds travel as epoch microseconds, which no session time z
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from meterline.functions import timeops
+from meterline.functions.timeops import at
 
 GATE_MINUTES = 10
 MINUTE_LOOKBACK = 30
 WINDOW_LOOKBACK = 120
-
-
-def at(micros: int | None) -> Column:
-    return F.timestamp_micros(F.lit(micros).cast("long"))
+MINUTE_MICROS = 60_000_000
 
 
 def latest(df: DataFrame, time_col: str) -> int | None:
     """Largest timestamp of a column in epoch microseconds; None for an empty table."""
-    return df.agg(F.max(F.unix_micros(F.col(time_col).cast("timestamp"))).alias("m")).first()["m"]
+    return df.selectExpr(f"unix_micros(CAST(max({time_col}) AS TIMESTAMP)) AS m").first()["m"]
 
 
 def minutes_before(micros: int | None, minutes: float) -> int | None:
-    return None if micros is None else micros - int(minutes * 60_000_000)
+    return None if micros is None else micros - int(minutes * MINUTE_MICROS)
+
+
+def minute_start(micros: int) -> int:
+    return micros - micros % MINUTE_MICROS
 
 
-def gate_of(arrivals: DataFrame, minutes: int = GATE_MINUTES, time_col: str = "arrival_timestamp") -> int | None:
+def gate_of(
+    arrivals: DataFrame, minutes: int = GATE_MINUTES, time_col: str = "arrival_timestamp"
+) -> int | None:
     """Newest closed minute: the latest minute minus the gate.
 
     ``arrivals`` only needs the time column; pass the narrowest frame at hand.
     """
     newest = latest(arrivals, time_col)
-    return None if newest is None else minutes_before(newest - newest % 60_000_000, minutes)
+    return None if newest is None else minutes_before(minute_start(newest), minutes)
 
 
 def closed_minutes(rows: DataFrame, gate: int | None, minute_col: str = "minute_ts") -> DataFrame:
     """Rows whose minute no longer changes. Rows without a time are never closed."""
-    if gate is None:
-        return rows.where(F.lit(False))
-    return rows.where(F.col(minute_col) <= at(gate))
+    return rows.where("false" if gate is None else f"{minute_col} <= {at(gate)}")
 
 
 def lookback_bound(target: DataFrame, time_col: str, minutes: int) -> int | None:
@@ -51,11 +51,11 @@ def lookback_bound(target: DataFrame, time_col: str, minutes: int) -> int | None
 
 
 def since(rows: DataFrame, time_col: str, bound: int | None) -> DataFrame:
-    return rows if bound is None else rows.where(F.col(time_col) >= at(bound))
+    return rows if bound is None else rows.where(f"{time_col} >= {at(bound)}")
 
 
 def before(rows: DataFrame, time_col: str, bound: int | None) -> DataFrame:
-    return rows.where(F.lit(False)) if bound is None else rows.where(F.col(time_col) < at(bound))
+    return rows.where("false" if bound is None else f"{time_col} < {at(bound)}")
 
 
 def fact_range(clean: DataFrame, gate: int | None, start: int | None = None) -> DataFrame:
@@ -64,28 +64,25 @@ def fact_range(clean: DataFrame, gate: int | None, start: int | None = None) ->
     The minute is derived from the arrival time, so the same limits also hold on ``arrival_timestamp``
     (Parquet row groups) and ``event_date`` (partitions of the stored fact), which can skip files.
     """
-    rows = since(closed_minutes(clean, gate), "minute_ts", start)
-    if gate is not None:
-        rows = _limit_files(rows, F.col("arrival_timestamp") < at(gate + 60_000_000), "<=", gate)
+    if gate is None:
+        return clean.where("false")
+    limits = [f"minute_ts <= {at(gate)}"]
     if start is not None:
-        rows = _limit_files(rows, F.col("arrival_timestamp") >= at(start), ">=", start)
-    return rows
-
-
-def _limit_files(rows: DataFrame, on_time: Column, side: str, micros: int) -> DataFrame:
-    if "arrival_timestamp" in rows.columns:
-        rows = rows.where(on_time)
-    if "event_date" in rows.columns:
-        day = F.to_date(at(micros))
-        rows = rows.where(F.col("event_date") <= day if side == "<=" else F.col("event_date") >= day)
-    return rows
+        limits.append(f"minute_ts >= {at(start)}")
+    if "arrival_timestamp" in clean.columns:
+        limits.append(f"arrival_timestamp < {at(gate + MINUTE_MICROS)}")
+        limits += [f"arrival_timestamp >= {at(start)}"] if start is not None else []
+    if "event_date" in clean.columns:
+        limits.append(f"event_date <= to_date({at(gate)})")
+        limits += [f"event_date >= to_date({at(start)})"] if start is not None else []
+    return clean.where(" AND ".join(limits))
 
 
 def last_id(target: DataFrame, id_col: str = "raw_id") -> int:
     """Progress of a table that is filled in id order: its largest id, 0 if empty."""
-    found = target.agg(F.max(id_col).alias("m")).first()["m"]
+    found = target.selectExpr(f"max({id_col}) AS m").first()["m"]
     return 0 if found is None else found
 
 
 def new_rows(source: DataFrame, last: int, id_col: str = "raw_id") -> DataFrame:
-    return source.where(F.col(id_col) > F.lit(last))
+    return source.where(f"{id_col} > {last}")

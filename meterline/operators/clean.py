@@ -3,52 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from meterline.functions import scoring, timeops
 from meterline.operators.fill import fill_cluster_size
 from meterline.schemas import CLEAN_COLUMNS
 
+MEASURES = (
+    "compile_duration_ms", "queue_duration_ms", "execution_duration_ms", "mbytes_scanned", "mbytes_spilled",
+)
+
 
 def enrich(staged: DataFrame) -> DataFrame:
     """Everything about a query that its own row tells; no shuffle. Keeps the observed ``cluster_size``."""
-    measures = (
-        "compile_duration_ms", "queue_duration_ms", "execution_duration_ms", "mbytes_scanned", "mbytes_spilled",
-    )
-    rows = staged.withColumns({m: F.coalesce(F.col(m), F.lit(0.0)) for m in measures})
-    rows = rows.withColumns(
-        {
-            "minute_ts": timeops.minute_of(F.col("arrival_timestamp")),
-            "is_unknown_fingerprint": F.coalesce(
-                scoring.is_unknown_fingerprint(F.col("feature_fingerprint")), F.lit(True)
-            ),
-            "query_end_timestamp": timeops.plus_millis(
-                F.col("arrival_timestamp"), F.col("execution_duration_ms")
-            ),
-            "access_scope": scoring.access_scope(
-                F.col("num_external_tables_accessed"),
-                F.col("num_system_tables_accessed"),
-                F.col("num_permanent_tables_accessed"),
-            ),
-            "workload_is_system_metadata": scoring.is_system_metadata(
-                F.col("num_system_tables_accessed"), F.col("query_type")
-            ),
-            "heavy_unit": scoring.heavy_unit(
-                F.col("was_cached"),
-                F.col("was_aborted"),
-                F.col("execution_duration_ms"),
-                F.col("mbytes_scanned"),
-                F.col("mbytes_spilled"),
-            ),
-        }
-    )
-    rows = rows.withColumn(
-        "workload_classification",
-        scoring.workload_classification(
-            F.col("workload_is_system_metadata"), F.col("has_read"), F.col("has_write")
+    derived = {m: scoring.or_zero(m) for m in MEASURES}
+    derived.update(
+        minute_ts=timeops.minute_of("arrival_timestamp"),
+        is_unknown_fingerprint=scoring.is_unknown_fingerprint(),
+        query_end_timestamp=timeops.plus_millis(
+            "arrival_timestamp", scoring.or_zero("execution_duration_ms")
         ),
+        access_scope=scoring.access_scope(),
+        workload_is_system_metadata=scoring.is_system_metadata(),
+        workload_classification=scoring.workload_classification(scoring.is_system_metadata()),
+        heavy_unit=scoring.heavy_unit(),
     )
-    return rows.select(*[c for c in CLEAN_COLUMNS if c != "cluster_size_clean"], "cluster_size")
+    names = [c for c in CLEAN_COLUMNS if c != "cluster_size_clean"] + ["cluster_size"]
+    return staged.selectExpr(*[f"{derived.get(c, c)} AS {c}" for c in names])
 
 
 def clean_table(staged: DataFrame, seeds: DataFrame | None = None, **slicing) -> DataFrame:

@@ -7,152 +7,129 @@ the ordered windows below run on that small series only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from meterline.functions import timeops
+from meterline.functions import exprs, timeops
 from meterline.operators import bounds
 from meterline.operators.selection import trailing_window
 
 USD_PER_UNIT = 0.08
-DAY_MINUTES = 1440.0
+DAY_MINUTES = 1440
 SPIKE_ROWS, SPIKE_MIN_ROWS, SPIKE_Z = 15, 5, 1.5
 GRID_SECONDS = 5
+IN_TIME = "ORDER BY minute_ts"
 
 
 def with_usd(rows: DataFrame, rate: float = USD_PER_UNIT) -> DataFrame:
-    usd = F.coalesce(F.col("heavy_units_sum").cast("double"), F.lit(0.0)) * F.lit(rate)
-    return rows.withColumn("usd_per_min", usd)
+    return rows.selectExpr(
+        "*", f"coalesce(CAST(heavy_units_sum AS DOUBLE), 0D) * {float(rate)}D AS usd_per_min"
+    )
 
 
 def minute_cost(
     cost: DataFrame, minutes: int, rate: float = USD_PER_UNIT, newest: int | None = None
 ) -> DataFrame:
     """The trailing window of a cost table as one row per minute."""
-    series = (
-        trailing_window(cost, "minute_ts", minutes, newest=newest)
-        .groupBy("minute_ts")
-        .agg(
-            F.sum("queries_count").alias("queries_count"),
-            F.sum(F.coalesce("heavy_units_sum", F.lit(0.0))).alias("heavy_units_sum"),
+    recent = trailing_window(cost, "minute_ts", minutes, newest=newest)
+    series = recent.groupBy("minute_ts").agg(
+        *exprs(
+            "sum(queries_count) AS queries_count",
+            "sum(coalesce(heavy_units_sum, 0D)) AS heavy_units_sum",
         )
     )
     return with_usd(series, rate)
 
 
-def _in_time():
-    return Window.orderBy("minute_ts")
-
-
-def _all_rows():
-    return Window.partitionBy()
-
-
 def cost_summary(series: DataFrame, minutes: int) -> DataFrame:
     """Current rate, change, window total, average and projections as one row (zeros if empty)."""
-    steps = series.withColumn("_previous", F.lag("usd_per_min").over(_in_time()))
-    current, previous = F.col("current"), F.col("previous")
-    daily = F.col("avg_usd_per_min") * DAY_MINUTES
-    change = (current - previous) / F.greatest(previous, F.lit(1e-9)) * 100.0
-    return (
-        steps.agg(
-            F.coalesce(F.max_by("usd_per_min", "minute_ts"), F.lit(0.0)).alias("current"),
-            F.max_by("_previous", "minute_ts").alias("previous"),
-            F.coalesce(F.sum("usd_per_min"), F.lit(0.0)).alias("window_usd"),
-        )
-        .withColumn("avg_usd_per_min", F.col("window_usd") / F.lit(float(minutes)))
-        .select(
-            current.alias("current_usd_per_min"),
-            F.coalesce(change, F.lit(0.0)).alias("delta_pct"),
-            "window_usd",
-            "avg_usd_per_min",
-            daily.alias("run_rate_per_day"),
-            daily.alias("projected_24h"),
-            (daily * 7.0).alias("projected_7d"),
-        )
+    steps = series.selectExpr("*", f"lag(usd_per_min) OVER ({IN_TIME}) AS before")
+    ends = steps.selectExpr(
+        "coalesce(max_by(usd_per_min, minute_ts), 0D) AS now",
+        "max_by(before, minute_ts) AS before",
+        "coalesce(sum(usd_per_min), 0D) AS window_usd",
+    )
+    average = f"window_usd / {float(minutes)}D"
+    return ends.selectExpr(
+        "now AS current_usd_per_min",
+        "coalesce((now - before) / greatest(before, 1e-9D) * 100D, 0D) AS delta_pct",
+        "window_usd",
+        f"{average} AS avg_usd_per_min",
+        f"{average} * {DAY_MINUTES} AS run_rate_per_day",
+        f"{average} * {DAY_MINUTES} AS projected_24h",
+        f"{average} * {DAY_MINUTES} * 7 AS projected_7d",
     )
 
 
 def with_gap_minutes(series: DataFrame, minutes: int) -> DataFrame:
     """Minutes since the previous row, within [0, window]. The first row takes the second row's gap; a
     lone row has none."""
-    w = _in_time()
-    own = timeops.minutes_between(F.col("minute_ts"), F.lag("minute_ts").over(w))
-    following = timeops.minutes_between(F.lead("minute_ts").over(w), F.col("minute_ts"))
-    gap = F.coalesce(own, following)
-    clipped = F.when(gap.isNotNull(), F.least(F.greatest(gap, F.lit(0.0)), F.lit(float(minutes))))
-    return series.withColumn("gap_minutes", clipped)
+    own = timeops.minutes_between("minute_ts", f"lag(minute_ts) OVER ({IN_TIME})")
+    following = timeops.minutes_between(f"lead(minute_ts) OVER ({IN_TIME})", "minute_ts")
+    stepped = series.selectExpr("*", f"coalesce({own}, {following}) AS gap")
+    clipped = f"CASE WHEN gap IS NOT NULL THEN least(greatest(gap, 0D), {float(minutes)}D) END"
+    return stepped.selectExpr(*series.columns, f"{clipped} AS gap_minutes")
 
 
 def cost_rate_elapsed(series: DataFrame, minutes: int) -> DataFrame:
     """Average rate over the minutes that the rows really span."""
-    return (
-        with_gap_minutes(series, minutes)
-        .agg(
-            F.coalesce(F.sum("usd_per_min"), F.lit(0.0)).alias("window_usd"),
-            F.coalesce(F.sum("gap_minutes"), F.lit(float(minutes))).alias("elapsed_minutes"),
-        )
-        .withColumn("avg_rate", F.col("window_usd") / F.greatest("elapsed_minutes", F.lit(1e-9)))
-        .withColumn("projected_day", F.col("avg_rate") * DAY_MINUTES)
+    totals = with_gap_minutes(series, minutes).selectExpr(
+        "coalesce(sum(usd_per_min), 0D) AS window_usd",
+        f"coalesce(sum(gap_minutes), {float(minutes)}D) AS elapsed_minutes",
     )
+    rate = "window_usd / greatest(elapsed_minutes, 1e-9D)"
+    return totals.selectExpr("*", f"{rate} AS avg_rate", f"{rate} * {DAY_MINUTES} AS projected_day")
 
 
 def query_totals(cost: DataFrame, minutes: int, newest: int | None = None) -> DataFrame:
     """Queries of all time and of the trailing window, in one pass."""
     newest = bounds.latest(cost, "minute_ts") if newest is None else newest
-    start = bounds.at(bounds.minutes_before(newest, minutes))
-    n = F.coalesce("queries_count", F.lit(0))
-    recent = F.sum(F.when(F.col("minute_ts") >= start, n).otherwise(0))
-    zero = F.lit(0).cast("long")
-    return cost.agg(
-        F.coalesce(F.sum(n), zero).alias("queries_total"),
-        F.coalesce(recent, zero).alias("queries_window"),
+    start = timeops.at(bounds.minutes_before(newest, minutes))
+    n = "coalesce(queries_count, 0L)"
+    return cost.selectExpr(
+        f"coalesce(sum({n}), 0L) AS queries_total",
+        f"coalesce(sum(CASE WHEN minute_ts >= {start} THEN {n} END), 0L) AS queries_window",
     )
 
 
 def moving_average(series: DataFrame, rows: int = 5) -> DataFrame:
-    frame = _in_time().rowsBetween(-(rows - 1), 0)
-    return series.withColumn("usd_ma", F.avg("usd_per_min").over(frame))
+    frame = f"{IN_TIME} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW"
+    return series.selectExpr("*", f"avg(usd_per_min) OVER ({frame}) AS usd_ma")
 
 
 def cost_spikes(series: DataFrame) -> DataFrame:
     """Severity of each minute against its recent mean, in sample deviations; flat or short series are calm."""
-    frame = _in_time().rowsBetween(-(SPIKE_ROWS - 1), 0)
-    x = F.col("usd_per_min")
-    spread = F.nullif(F.stddev_samp(x).over(frame), F.lit(0.0))
-    enough = (F.count(x).over(frame) >= SPIKE_MIN_ROWS) & (
-        F.count("*").over(_all_rows()) >= SPIKE_ROWS
+    frame = f"({IN_TIME} ROWS BETWEEN {SPIKE_ROWS - 1} PRECEDING AND CURRENT ROW)"
+    measured = series.selectExpr(
+        "*",
+        f"avg(usd_per_min) OVER {frame} AS mu",
+        f"nullif(stddev_samp(usd_per_min) OVER {frame}, 0D) AS sigma",
+        f"count(usd_per_min) OVER {frame} >= {SPIKE_MIN_ROWS} AND count(*) OVER () >= {SPIKE_ROWS} AS enough",
     )
-    z = F.when(enough, (x - F.avg(x).over(frame)) / spread)
-    severity = F.greatest(F.coalesce(z, F.lit(0.0)), F.lit(0.0))
-    scored = series.withColumn("severity", severity)
-    return scored.withColumn("is_spike", F.col("severity") >= SPIKE_Z)
+    z = "CASE WHEN enough THEN (usd_per_min - mu) / sigma END"
+    scored = measured.selectExpr(*series.columns, f"greatest(coalesce({z}, 0D), 0D) AS severity")
+    return scored.selectExpr("*", f"severity >= {SPIKE_Z} AS is_spike")
 
 
 def cost_distribution(series: DataFrame) -> DataFrame:
     """Box-plot numbers of the rate: quartiles, whiskers within 1.5 IQR, outliers beyond."""
-    x = F.col("usd_per_min")
-    quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = series.select(x, quartiles.over(_all_rows()).alias("q"))
-    iqr = F.col("q")[2] - F.col("q")[0]
-    low, high = F.col("q")[0] - 1.5 * iqr, F.col("q")[2] + 1.5 * iqr
-    inside = x.between(low, high)
-    return rows.agg(
-        F.first(F.col("q")[0]).alias("q1"),
-        F.first(F.col("q")[1]).alias("median"),
-        F.first(F.col("q")[2]).alias("q3"),
-        F.min(F.when(inside, x)).alias("whisker_low"),
-        F.max(F.when(inside, x)).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"),
+    quartiles = "percentile(usd_per_min, array(0.25, 0.5, 0.75)) OVER ()"
+    rows = series.selectExpr("usd_per_min AS x", f"{quartiles} AS q")
+    inside = "x BETWEEN q[0] - 1.5D * (q[2] - q[0]) AND q[2] + 1.5D * (q[2] - q[0])"
+    return rows.selectExpr(
+        "first(q[0]) AS q1",
+        "first(q[1]) AS median",
+        "first(q[2]) AS q3",
+        f"min(CASE WHEN {inside} THEN x END) AS whisker_low",
+        f"max(CASE WHEN {inside} THEN x END) AS whisker_high",
+        f"count_if(NOT ({inside})) AS outliers",
     )
 
 
 def cumulative_cost(series: DataFrame, minutes: int) -> DataFrame:
     """Running sum of rate times gap; a lone row shows its rate."""
-    running = _in_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = F.col("usd_per_min") * F.coalesce("gap_minutes", F.lit(1.0))
-    gaps = with_gap_minutes(series, minutes)
-    return gaps.withColumn("cum_cost", F.sum(step).over(running))
+    frame = f"{IN_TIME} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    step = "usd_per_min * coalesce(gap_minutes, 1D)"
+    return with_gap_minutes(series, minutes).selectExpr("*", f"sum({step}) OVER ({frame}) AS cum_cost")
 
 
 def resample_interpolate(
@@ -162,26 +139,21 @@ def resample_interpolate(
 
     Each step generates the points up to the next one, so no grid table is joined.
     """
-    bins = series.groupBy(timeops.floor_to(F.col("minute_ts"), step_seconds).alias("t")).agg(
-        F.avg(value).alias("y"), F.max("minute_ts").alias("newest")
-    )
-    w = Window.orderBy("t")
-    ahead = bins.select(
-        "t",
-        "y",
-        F.lead("t").over(w).alias("t_next"),
-        F.lead("y").over(w).alias("y_next"),
-        F.max("newest").over(_all_rows()).alias("newest"),
-    )
-    width = F.lit(step_seconds * 1_000_000)
-    last_point = F.coalesce(F.timestamp_micros(F.unix_micros("t_next") - width), F.col("t"))
-    grid = F.sequence("t", last_point, F.expr(f"INTERVAL {step_seconds} SECONDS"))
-    points = ahead.withColumn("point", F.explode(grid))
-    share = timeops.minutes_between(F.col("point"), F.col("t")) / timeops.minutes_between(
-        F.col("t_next"), F.col("t")
+    bins = (
+        series.selectExpr(f"{timeops.floor_to('minute_ts', step_seconds)} AS t0", "minute_ts", value)
+        .groupBy("t0")
+        .agg(*exprs(f"avg({value}) AS y0", "max(minute_ts) AS newest"))
+        .selectExpr(
+            "t0",
+            "y0",
+            "lead(t0) OVER (ORDER BY t0) AS t1",
+            "lead(y0) OVER (ORDER BY t0) AS y1",
+            "max(newest) OVER () AS newest",
+        )
     )
-    y = F.coalesce(F.col("y") + (F.col("y_next") - F.col("y")) * share, F.col("y"))
+    last = f"coalesce(timestamp_micros(unix_micros(t1) - {step_seconds * 1_000_000}L), t0)"
+    points = bins.selectExpr("*", f"explode(sequence(t0, {last}, INTERVAL {step_seconds} SECONDS)) AS t")
+    share = f"{timeops.minutes_between('t', 't0')} / {timeops.minutes_between('t1', 't0')}"
     return points.where(
-        (F.col("point") >= timeops.plus_minutes(F.col("newest"), -minutes))
-        & (F.col("point") <= F.col("newest"))
-    ).select(F.col("point").alias("t"), y.alias("y"))
+        f"t BETWEEN {timeops.plus_minutes('newest', -minutes)} AND newest"
+    ).selectExpr("t", f"coalesce(y0 + (y1 - y0) * {share}, y0) AS y")

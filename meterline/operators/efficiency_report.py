@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from meterline.functions.aggregates import as_double
+from meterline.functions import exprs
 from meterline.operators.selection import trailing_window
 
 SERIES_METRICS = [
@@ -14,49 +13,48 @@ SERIES_METRICS = [
 ]
 
 
+def _total(c: str) -> str:
+    return f"sum(coalesce(CAST({c} AS DOUBLE), 0D))"
+
+
+def _over(amount: str, base: str) -> str:
+    return f"CASE WHEN {base} > 0 THEN {amount} / {base} ELSE 0D END"
+
+
+def _weighted(c: str) -> str:
+    amount = f"sum(coalesce({c}, 0D) * coalesce(CAST(queries_count AS DOUBLE), 0D))"
+    return _over(amount, _total("queries_count"))
+
+
 def efficiency_rollup(efficiency: DataFrame, minutes: int, newest: int | None = None) -> DataFrame:
     """One row per minute of the trailing window: sums, and averages weighted by query counts.
 
     Ratios without a denominator are 0 here (the per-instance table has NULL).
     """
     recent = trailing_window(
-        efficiency.where(F.col("minute_ts").isNotNull()), "minute_ts", minutes, newest=newest
-    )
-    zero = F.lit(0.0)
-
-    def total(c: str) -> Column:
-        return F.sum(F.coalesce(as_double(F.col(c)), zero))
-
-    def over(amount: Column, base: Column) -> Column:
-        return F.when(base > 0, amount / base).otherwise(zero)
-
-    n = total("queries_count")
-
-    def weighted(c: str) -> Column:
-        part = F.coalesce(F.col(c), zero) * F.coalesce(as_double(F.col("queries_count")), zero)
-        return over(F.sum(part), n)
-
-    return recent.groupBy("minute_ts").agg(
-        F.sum(F.coalesce("queries_count", F.lit(0))).alias("queries_count"),
-        weighted("exec_ms_avg").alias("exec_ms_avg"),
-        weighted("queue_ms_avg").alias("queue_ms_avg"),
-        over(total("compile_ms_sum"), n).alias("compile_ms_avg"),
-        total("scanned_mb_sum").alias("scanned_mb_sum"),
-        total("spilled_mb_sum").alias("spilled_mb_sum"),
-        over(total("spilled_mb_sum"), total("scanned_mb_sum")).alias("spill_to_scan_ratio"),
-        F.sum(F.coalesce("cached_queries", F.lit(0))).alias("cached_queries"),
-        F.sum(F.coalesce("aborted_queries", F.lit(0))).alias("aborted_queries"),
-        total("heavy_units_sum").alias("heavy_units_sum"),
-        weighted("heavy_unit_avg").alias("heavy_unit_avg"),
+        efficiency.where("minute_ts IS NOT NULL"), "minute_ts", minutes, newest=newest
     )
+    columns = {
+        "queries_count": "sum(coalesce(queries_count, 0L))",
+        "exec_ms_avg": _weighted("exec_ms_avg"),
+        "queue_ms_avg": _weighted("queue_ms_avg"),
+        "compile_ms_avg": _over(_total("compile_ms_sum"), _total("queries_count")),
+        "scanned_mb_sum": _total("scanned_mb_sum"),
+        "spilled_mb_sum": _total("spilled_mb_sum"),
+        "spill_to_scan_ratio": _over(_total("spilled_mb_sum"), _total("scanned_mb_sum")),
+        "cached_queries": "sum(coalesce(cached_queries, 0L))",
+        "aborted_queries": "sum(coalesce(aborted_queries, 0L))",
+        "heavy_units_sum": _total("heavy_units_sum"),
+        "heavy_unit_avg": _weighted("heavy_unit_avg"),
+    }
+    return recent.groupBy("minute_ts").agg(*exprs(*[f"{x} AS {c}" for c, x in columns.items()]))
 
 
 def seconds_and_waste(rollup: DataFrame) -> DataFrame:
     """Adds average seconds and the spilled volume as waste."""
-    return rollup.withColumns(
-        {
-            "exec_s_avg": F.col("exec_ms_avg") / 1000.0,
-            "queue_s_avg": F.col("queue_ms_avg") / 1000.0,
-            "waste_sum": F.coalesce("spilled_mb_sum", F.lit(0.0)),
-        }
+    return rollup.selectExpr(
+        "*",
+        "exec_ms_avg / 1000D AS exec_s_avg",
+        "queue_ms_avg / 1000D AS queue_s_avg",
+        "coalesce(spilled_mb_sum, 0D) AS waste_sum",
     )

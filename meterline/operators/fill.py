@@ -22,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterline.functions import exprs
+
 SLICE_ROWS = 5_000_000
 CELL_UNIT = "hour"
 CELL_MICROS = {"minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
 NO_TIME = 2**63 - 1  # sorts missing timestamps last
-NO_INSTANCE = -(2**63)  # instances are 32-bit, so no real one collides
+NO_INSTANCE = -(2**62)  # instances are 32-bit, so no real one collides
 MAX_CUTS = 4096  # quantile grid of one hot cell
 CUT_STRIDE = 64  # cuts are searched in two steps of at most this many comparisons
 DEFAULT_SIZE = 1.0
@@ -35,9 +37,9 @@ DEFAULT_SIZE = 1.0
 def instance_median(rows: DataFrame) -> DataFrame:
     """Exact median of the known sizes per instance (state: one counter per distinct size)."""
     return (
-        rows.where(F.col("cluster_size").isNotNull())
+        rows.where("cluster_size IS NOT NULL")
         .groupBy("instance_id")
-        .agg(F.percentile("cluster_size", F.lit(0.5)).alias("median_cluster_size"))
+        .agg(F.expr("percentile(cluster_size, 0.5) AS median_cluster_size"))
     )
 
 
@@ -52,7 +54,7 @@ def choose_strategy(rows: DataFrame, slice_rows: int = SLICE_ROWS, cell: str = C
     if rows.count() <= slice_rows:
         return "instance"
     largest = (
-        rows.groupBy("instance_id", F.date_trunc(cell, "arrival_timestamp").alias("cell"))
+        rows.groupBy("instance_id", F.expr(f"date_trunc('{cell}', arrival_timestamp)"))
         .agg(F.count("*").alias("n"))
         .agg(F.max("n").alias("n"))
         .first()["n"]
@@ -110,18 +112,15 @@ def with_known_sizes(
         w = Window.partitionBy("instance_id").orderBy(*order)
         return _windowed(rows, w).withColumn("_last_known", F.col("_local"))
 
-    keyed = rows.withColumns(
-        {
-            "_instance": F.coalesce(F.col("instance_id").cast("long"), F.lit(NO_INSTANCE)),
-            "_cell": F.coalesce(
-                F.unix_micros(F.date_trunc(cell, "arrival_timestamp")), F.lit(NO_TIME)
-            ),
-        }
+    keyed = rows.selectExpr(
+        "*",
+        f"coalesce(CAST(instance_id AS BIGINT), {NO_INSTANCE}) AS _instance",
+        f"coalesce(unix_micros(date_trunc('{cell}', arrival_timestamp)), {NO_TIME}L) AS _cell",
     )
     if strategy == "slices":
         keyed = _cut_hot_cells(keyed, slice_rows, cell)
     else:
-        keyed = keyed.withColumn("_slice", F.lit(0))
+        keyed = keyed.selectExpr("*", "0 AS _slice")
 
     place = ["_instance", "_cell", "_slice"]
     carried = _carry(keyed, place, reverse)
@@ -153,30 +152,29 @@ def _windowed(rows: DataFrame, w) -> DataFrame:
     )
 
 
+# One decimal orders (time, id): struct orderings would force a sort-based aggregate.
+POSITION = """CAST(CAST(coalesce(unix_micros(arrival_timestamp), 0L) AS DECIMAL(19,0))
+    * CAST('10000000000000000000' AS DECIMAL(20,0)) + CAST(raw_id AS DECIMAL(19,0)) AS DECIMAL(38,0))"""
+KNOWN_POSITION = f"CASE WHEN cluster_size IS NOT NULL THEN {POSITION} END"
+FIRST_SIZE = f"min_by(cluster_size, {KNOWN_POSITION})"
+LAST_SIZE = f"max_by(cluster_size, {KNOWN_POSITION})"
+
+
 def _carry(keyed: DataFrame, place: list[str], reverse: bool) -> DataFrame:
     """Per slice: the size carried in from earlier slices, and the instance's first known size.
 
     The summary has one row per slice with rows, i.e. about (instances x hours) rows.
     """
-    # one decimal orders (time, id): struct orderings would force a sort-based aggregate
-    moment = F.coalesce(F.unix_micros("arrival_timestamp"), F.lit(0)).cast("decimal(19,0)")
-    position = (
-        moment * F.lit(str(10**19)).cast("decimal(20,0)") + F.col("raw_id").cast("decimal(19,0)")
-    ).cast("decimal(38,0)")
-    known = F.col("cluster_size").isNotNull()
-    edges = keyed.groupBy(*place).agg(
-        F.max_by("cluster_size", F.when(known, position)).alias("_slice_max"),
-        F.min_by("cluster_size", F.when(known, position)).alias("_slice_min"),
-    )
-    last_name, first_name = ("_slice_min", "_slice_max") if reverse else ("_slice_max", "_slice_min")
+    first, last = (LAST_SIZE, FIRST_SIZE) if reverse else (FIRST_SIZE, LAST_SIZE)
+    edges = keyed.groupBy(*place).agg(*exprs(f"{first} AS _first", f"{last} AS _last"))
     order = [F.col(c).desc() if reverse else F.col(c).asc() for c in place[1:]]
     w = Window.partitionBy("_instance").orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return edges.select(
         *place,
-        F.last(last_name, ignorenulls=True).over(before).alias("_carry_in"),
-        F.first(first_name, ignorenulls=True).over(whole).alias("_first_known"),
+        F.last("_last", ignorenulls=True).over(before).alias("_carry_in"),
+        F.first("_first", ignorenulls=True).over(whole).alias("_first_known"),
     )
 
 
@@ -188,57 +186,35 @@ def _cut_hot_cells(keyed: DataFrame, slice_rows: int, cell: str) -> DataFrame:
     rows of one instant are split by id. A cell of n rows gets at most ``n / slice_rows`` cuts, so all
     cuts together hold at most ``rows / slice_rows`` doubles: that bounds the broadcast.
     """
-    width = float(CELL_MICROS[cell])
-    id_share = (F.col("raw_id") - F.col("_min_id")) / (F.col("_max_id") - F.col("_min_id") + 1.0)
-    into_cell = F.coalesce(F.unix_micros("arrival_timestamp") - F.col("_cell"), F.lit(0))
-    spot = F.least(into_cell.cast("double"), F.lit(width)) + id_share
-
+    cells = ["_instance", "_cell"]
+    spot = f"""least(CAST(coalesce(unix_micros(arrival_timestamp) - _cell, 0L) AS DOUBLE), {CELL_MICROS[cell]}D)
+        + (raw_id - _min_id) / (_max_id - _min_id + 1D)"""
     hot = (
-        keyed.groupBy("_instance", "_cell")
-        .agg(
-            F.count("*").alias("_n"),
-            F.min("raw_id").alias("_min_id"),
-            F.max("raw_id").alias("_max_id"),
-        )
-        .where(F.col("_n") > slice_rows)
+        keyed.groupBy(*cells)
+        .agg(*exprs("count(*) AS _n", "min(raw_id) AS _min_id", "max(raw_id) AS _max_id"))
+        .where(f"_n > {slice_rows}")
     )
-    grid = [i / MAX_CUTS for i in range(1, MAX_CUTS)]
-    parts = F.least(F.ceil(F.col("_n") / slice_rows), F.lit(MAX_CUTS))
+    grid = ", ".join(f"{i / MAX_CUTS}D" for i in range(1, MAX_CUTS))
+    parts = f"least(ceil(_n / {slice_rows}D), {MAX_CUTS}L)"
     cuts = (
-        keyed.join(F.broadcast(hot), ["_instance", "_cell"])
-        .groupBy("_instance", "_cell")
-        .agg(
-            F.percentile_approx(spot, grid, MAX_CUTS * 10).alias("_grid"),
-            F.first("_n").alias("_n"),
-            F.first("_min_id").alias("_min_id"),
-            F.first("_max_id").alias("_max_id"),
-        )
-        .select(
-            "_instance",
-            "_cell",
+        keyed.join(F.broadcast(hot), cells)
+        .groupBy(*cells, "_n", "_min_id", "_max_id")
+        .agg(F.expr(f"percentile_approx({spot}, array({grid}), {MAX_CUTS * 10}) AS _grid"))
+        .selectExpr(
+            *cells,
             "_min_id",
             "_max_id",
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(parts - 1, F.lit(1)).cast("int")),
-                lambda i: F.element_at("_grid", F.greatest(F.floor(i * MAX_CUTS / parts), F.lit(1)).cast("int")),
-            ).alias("_cuts"),
+            f"""transform(sequence(1L, greatest({parts} - 1, 1L)),
+                i -> element_at(_grid, CAST(greatest(floor(i * {MAX_CUTS} / {parts}), 1L) AS INT))) AS _cuts""",
         )
-        .withColumn(
-            "_heads",
-            F.transform(
-                F.sequence(F.lit(1), F.size("_cuts"), F.lit(CUT_STRIDE)),
-                lambda i: F.element_at("_cuts", i),
-            ),
+        .selectExpr(
+            "*", f"transform(sequence(1, size(_cuts), {CUT_STRIDE}), i -> element_at(_cuts, i)) AS _heads"
         )
     )
-    placed = keyed.join(F.broadcast(cuts), ["_instance", "_cell"], "left")
-    block = F.size(F.filter("_heads", lambda h: h <= spot))
-    inside = F.size(
-        F.filter(
-            F.slice("_cuts", (block - 1) * CUT_STRIDE + 1, F.lit(CUT_STRIDE)), lambda c: c <= spot
-        )
-    )
-    number = F.when(F.col("_cuts").isNull() | (block == 0), F.lit(0)).otherwise(
-        (block - 1) * CUT_STRIDE + inside
-    )
-    return placed.withColumn("_slice", number).drop("_min_id", "_max_id", "_cuts", "_heads")
+    # two searches of at most CUT_STRIDE steps: the block of cuts, then the cut inside it
+    placed = keyed.join(F.broadcast(cuts), cells, "left").selectExpr(
+        "*", f"{spot} AS _spot"
+    ).selectExpr("*", "size(filter(_heads, h -> h <= _spot)) AS _block")
+    number = f"""CASE WHEN _cuts IS NULL OR _block = 0 THEN 0 ELSE (_block - 1) * {CUT_STRIDE}
+        + size(filter(slice(_cuts, (_block - 1) * {CUT_STRIDE} + 1, {CUT_STRIDE}), c -> c <= _spot)) END"""
+    return placed.selectExpr(*keyed.columns, f"{number} AS _slice")

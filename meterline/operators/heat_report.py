@@ -6,30 +6,34 @@ Cells are aggregated first, so everything after :func:`bucket_totals` works on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions import timeops
+from meterline.functions import exprs, timeops
 
 HOME_TOP, PAGE_TOP = 12, 15
 # Metrics a heat map can show.
 METRICS = (
     "heavy_units_sum", "queries_count", "scanned_mb_sum", "spilled_mb_sum", "exec_ms_sum", "queue_ms_sum",
 )
+COMBINE = {"sum": "sum", "mean": "avg"}
 
 
-def bucket_totals(rows: DataFrame, metric: str, bucket_minutes: int = 5, how: str = "sum") -> DataFrame:
+def bucket_totals(
+    rows: DataFrame, metric: str, bucket_minutes: int = 5, how: str = "sum"
+) -> DataFrame:
     """``cluster, bucket_ts, value``: a metric summed (or averaged) per cluster and time bucket."""
     if metric not in rows.columns:
         raise ValueError(f"metric '{metric}' not found. Available: {rows.columns}")
-    combine = F.avg if how == "mean" else F.sum
     return (
-        rows.where(F.col("instance_id").isNotNull())
-        .groupBy(
-            F.col("instance_id").cast("string").alias("cluster"),
-            timeops.floor_to(F.col("minute_ts"), bucket_minutes * 60).alias("bucket_ts"),
+        rows.where("instance_id IS NOT NULL")
+        .selectExpr(
+            "CAST(instance_id AS STRING) AS cluster",
+            f"{timeops.floor_to('minute_ts', bucket_minutes * 60)} AS bucket_ts",
+            f"CAST({metric} AS DOUBLE) AS value",
         )
-        .agg(combine(F.col(metric).cast("double")).alias("value"))
+        .groupBy("cluster", "bucket_ts")
+        .agg(F.expr(f"{COMBINE[how]}(value) AS value"))
     )
 
 
@@ -37,11 +41,10 @@ def top_clusters(
     rows: DataFrame, top: int = PAGE_TOP, how: str = "sum", cluster: str = "cluster", value: str = "value"
 ) -> DataFrame:
     """The ``top`` clusters by total (or mean) value, ties by name."""
-    combine = F.avg if how == "mean" else F.sum
     return (
-        rows.where(F.col(cluster).isNotNull())
-        .groupBy(F.col(cluster).cast("string").alias("cluster"))
-        .agg(combine(F.col(value).cast("double")).alias("total"))
+        rows.where(f"{cluster} IS NOT NULL")
+        .groupBy(F.expr(f"CAST({cluster} AS STRING) AS cluster"))
+        .agg(F.expr(f"{COMBINE[how]}(CAST({value} AS DOUBLE)) AS total"))
         .orderBy(F.col("total").desc_nulls_last(), "cluster")
         .limit(top)
     )
@@ -55,34 +58,40 @@ def heat_grid(cells: DataFrame, bucket_minutes: int) -> DataFrame:
     """Every kept cluster at every bucket that any of them has, 0 where a cluster has no value.
 
     ``cluster_position`` orders clusters by their newest bucket. Each cluster generates its own buckets
-    over the grid's time span, which the present buckets then filter.
+    over the grid's time span and keeps those that are present in the data.
     """
-    span = Window.partitionBy()
-    spans = cells.select(
-        "cluster", F.min("bucket_ts").over(span).alias("lo"), F.max("bucket_ts").over(span).alias("hi")
-    ).distinct()
-    every = F.sequence("lo", "hi", F.expr(f"INTERVAL {bucket_minutes} MINUTES"))
-    slots = spans.select("cluster", F.explode(every).alias("bucket_ts")).join(
-        cells.select("bucket_ts").distinct(), "bucket_ts", "left_semi"
+    spread = cells.selectExpr(
+        "*",
+        "min(bucket_ts) OVER () AS lo",
+        "max(bucket_ts) OVER () AS hi",
+        "collect_set(bucket_ts) OVER () AS present",
     )
-    grid = slots.join(cells, ["cluster", "bucket_ts"], "left").select(
-        "cluster", "bucket_ts", F.coalesce("value", F.lit(0.0)).alias("value")
+    own = spread.groupBy("cluster").agg(
+        *exprs(
+            "map_from_entries(collect_list(struct(bucket_ts, value))) AS own",
+            "first(lo) AS lo",
+            "first(hi) AS hi",
+            "first(present) AS present",
+        )
     )
-    newest = F.max_by("value", "bucket_ts").over(Window.partitionBy("cluster"))
-    ordered = Window.orderBy(F.col("_newest").desc(), F.col("cluster"))
-    return (
-        grid.withColumn("_newest", newest)
-        .withColumn("cluster_position", F.dense_rank().over(ordered))
-        .drop("_newest")
+    slots = f"filter(sequence(lo, hi, INTERVAL {bucket_minutes} MINUTES), b -> array_contains(present, b))"
+    grid = own.selectExpr(
+        "cluster", "own", "coalesce(own[hi], 0D) AS newest", f"explode({slots}) AS bucket_ts"
+    )
+    return grid.selectExpr(
+        "cluster",
+        "bucket_ts",
+        "coalesce(own[bucket_ts], 0D) AS value",
+        "dense_rank() OVER (ORDER BY newest DESC, cluster) AS cluster_position",
     )
 
 
 def normalize_per_cluster(grid: DataFrame) -> DataFrame:
     """Values of a cluster scaled to 0-1; a flat cluster becomes 0."""
-    own = Window.partitionBy("cluster")
-    low, high = F.min("value").over(own), F.max("value").over(own)
-    spread = F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0))
-    return grid.withColumn("value", (F.col("value") - low) / spread)
+    own = "OVER (PARTITION BY cluster)"
+    spanned = grid.selectExpr("*", f"min(value) {own} AS low", f"max(value) {own} AS high")
+    scaled = "(value - low) / coalesce(nullif(high - low, 0D), 1D)"
+    return spanned.selectExpr(*[f"{scaled} AS value" if c == "value" else c for c in grid.columns])
 
 
 def heat_scale(grid: DataFrame) -> DataFrame:
@@ -90,20 +99,17 @@ def heat_scale(grid: DataFrame) -> DataFrame:
 
     If both coincide the extremes are used, and a constant grid gets a range of 1.
     """
-    whole = Window.partitionBy()
-    v = F.col("value")
-    marked = grid.withColumns(
-        {
-            "_q": F.percentile(v, F.array(F.lit(0.05), F.lit(0.95))).over(whole),
-            "_min": F.min(v).over(whole),
-            "_max": F.max(v).over(whole),
-        }
+    marked = grid.selectExpr(
+        "*",
+        "percentile(value, array(0.05, 0.95)) OVER () AS q",
+        "min(value) OVER () AS lo",
+        "max(value) OVER () AS hi",
+    )
+    ends = marked.selectExpr(
+        "*", "if(q[1] <= q[0], lo, q[0]) AS low", "if(q[1] <= q[0], hi, q[1]) AS top"
     )
-    flat = F.col("_q")[1] <= F.col("_q")[0]
-    low = F.when(flat, F.col("_min")).otherwise(F.col("_q")[0])
-    high = F.when(flat, F.col("_max")).otherwise(F.col("_q")[1])
-    high = F.when(high <= low, low + 1.0).otherwise(high)
-    return marked.withColumn("shade", F.sqrt(F.least(F.greatest(v, low), high))).drop("_q", "_min", "_max")
+    high = "if(top <= low, low + 1D, top)"
+    return ends.selectExpr(*grid.columns, f"sqrt(least(greatest(value, low), {high})) AS shade")
 
 
 def wide_grid(grid: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions import values as V
@@ -10,6 +10,7 @@ from meterline.schemas import LANDING, MESSAGE_KEY
 
 BATCH_ROWS = 5000
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSSxxx"
+JSON_OF = f"to_json({{}}, map('ignoreNullFields', 'false', 'timestampFormat', '{TIME_FORMAT}'))"
 
 
 def require_column(df: DataFrame, name: str) -> None:
@@ -20,16 +21,15 @@ def require_column(df: DataFrame, name: str) -> None:
 def prepare_trace(trace: DataFrame, time_col: str = "arrival_timestamp", ordered: bool = True) -> DataFrame:
     """Time column coerced to a timestamp, rows without one dropped, sorted by time."""
     require_column(trace, time_col)
-    ts = F.col(time_col)
-    ts = V.to_time(ts) if dict(trace.dtypes)[time_col] == "string" else ts.cast("timestamp")
-    timed = trace.withColumn(time_col, ts).where(F.col(time_col).isNotNull())
+    is_text = dict(trace.dtypes)[time_col] == "string"
+    ts = V.to_time(time_col) if is_text else f"CAST({time_col} AS TIMESTAMP)"
+    timed = trace.withColumn(time_col, F.expr(ts)).where(f"{time_col} IS NOT NULL")
     return timed.orderBy(time_col) if ordered else timed
 
 
 def encode_messages(rows: DataFrame, key_col: str = "query_id") -> DataFrame:
     """``key`` (text of the id, NULL if missing) and ``value`` (the row as one JSON object)."""
-    value = F.to_json(F.struct("*"), {"ignoreNullFields": "false", "timestampFormat": TIME_FORMAT})
-    return rows.select(F.col(key_col).cast("string").alias("key"), value.alias("value"))
+    return rows.selectExpr(f"CAST({key_col} AS STRING) AS key", f"{JSON_OF.format('struct(*)')} AS value")
 
 
 def decode_messages(messages: DataFrame) -> DataFrame:
@@ -38,33 +38,30 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     Field text is what a JSON text extraction yields, so unknown fields survive and one parse serves
     the whole row. Rejects keep their row; see :func:`accepted` and :func:`rejected`.
     """
-    text = F.col("value").cast("string")
     # the parser stops at the closing brace; anything behind it makes the document invalid
-    whole = F.rtrim(text).endswith("}")
-    payload = F.from_json(text, "map<string,string>")
-    return messages.withColumn("payload", F.when(whole, payload))
+    parsed = messages.selectExpr(
+        "*",
+        """CASE WHEN rtrim(CAST(value AS STRING)) LIKE '%}'
+            THEN from_json(CAST(value AS STRING), 'map<string,string>') END AS payload""",
+    )
+    return parsed
 
 
 def accepted(decoded: DataFrame) -> DataFrame:
-    return decoded.where(F.col("payload").isNotNull())
+    return decoded.where("payload IS NOT NULL")
 
 
 def rejected(decoded: DataFrame) -> DataFrame:
-    return decoded.where(F.col("payload").isNull())
+    return decoded.where("payload IS NULL")
 
 
-def finite_payload(payload: Column) -> Column:
+def finite_payload(payload: str) -> str:
     """Bare NaN and infinity tokens to NULL, also inside nested objects and lists."""
-    tokens = [t.strip('"').replace("+", r"\+") for t in V.NONFINITE_TOKENS]
-    nested_token = '(?<=[\\[,:])"(' + "|".join(tokens) + ')"(?=[\\],}])'
-
-    def clean(_key: Column, text: Column) -> Column:
-        nested = text.startswith("{") | text.startswith("[")
-        return F.when(text.isin(*V.NONFINITE_TOKENS), F.lit(None)).otherwise(
-            F.when(nested, F.regexp_replace(text, nested_token, "null")).otherwise(text)
-        )
-
-    return F.transform_values(payload, clean)
+    tokens = ", ".join(f"'{t}'" for t in V.NONFINITE_TOKENS)
+    words = "|".join(t.strip('"').replace("+", "[+]") for t in V.NONFINITE_TOKENS)
+    nested = f'(?<=[\\\\[,:])"({words})"(?=[,}}\\\\]])'
+    return f"""transform_values({payload}, (k, v) -> CASE WHEN v IN ({tokens}) THEN NULL
+        WHEN v LIKE '{{%' OR v LIKE '[%' THEN regexp_replace(v, '{nested}', 'null') ELSE v END)"""
 
 
 def sanitize_nonfinite(df: DataFrame) -> DataFrame:
@@ -72,38 +69,40 @@ def sanitize_nonfinite(df: DataFrame) -> DataFrame:
     return df.select(*[V.sanitize(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
-def land(decoded: DataFrame, id_col: Column | None = None) -> DataFrame:
+def land(decoded: DataFrame, id_expr: str | None = None) -> DataFrame:
     """Decoded messages -> landing rows: sanitized event with ingest time and origin.
 
-    The origin is also written into the event, under ``_``-prefixed names. ``id_col`` defaults to
+    The origin is also written into the event, under ``_``-prefixed names. ``id_expr`` defaults to
     :func:`arrival_id`.
     """
-    now = F.current_timestamp()
-    origin = F.create_map(
-        F.lit("_ingest_ts_utc"), F.date_format(now, TIME_FORMAT),
-        F.lit("_kafka_topic"), F.col("topic"),
-        F.lit("_kafka_partition"), F.col("partition").cast("string"),
-        F.lit("_kafka_offset"), F.col("offset").cast("string"),
-        F.lit("_kafka_key"), F.col("key").cast("string"),
-    )
-    own = F.map_filter(finite_payload(F.col("payload")), lambda k, _v: ~F.map_contains_key(origin, k))
-    return accepted(decoded).select(
-        (arrival_id() if id_col is None else id_col).cast("long").alias("id"),
-        F.to_json(F.map_concat(own, origin), {"ignoreNullFields": "false"}).alias("event"),
-        now.alias("ingest_ts"),
-        F.col("topic").alias("kafka_topic"),
-        F.coalesce("partition", F.lit(0)).cast("int").alias("kafka_partition"),
-        F.coalesce("offset", F.lit(0)).cast("long").alias("kafka_offset"),
-        F.col("key").cast("string").alias("kafka_key"),
+    origin = {
+        "_ingest_ts_utc": f"date_format(current_timestamp(), '{TIME_FORMAT}')",
+        "_kafka_topic": "topic",
+        "_kafka_partition": "CAST(partition AS STRING)",
+        "_kafka_offset": "CAST(offset AS STRING)",
+        "_kafka_key": "CAST(key AS STRING)",
+    }
+    names = ", ".join(f"'{n}'" for n in origin)
+    pairs = ", ".join(f"'{n}', {text}" for n, text in origin.items())
+    own = f"map_filter({finite_payload('payload')}, (k, v) -> k NOT IN ({names}))"
+    return accepted(decoded).selectExpr(
+        f"CAST({id_expr or arrival_id()} AS BIGINT) AS id",
+        f"{JSON_OF.format(f'map_concat({own}, map({pairs}))')} AS event",
+        "current_timestamp() AS ingest_ts",
+        "topic AS kafka_topic",
+        "CAST(coalesce(partition, 0) AS INT) AS kafka_partition",
+        "CAST(coalesce(offset, 0) AS BIGINT) AS kafka_offset",
+        "CAST(key AS STRING) AS kafka_key",
     )
 
 
-def arrival_id(partition_bits: int = 12) -> Column:
+def arrival_id(partition_bits: int = 12) -> str:
     """A stable id from (partition, offset): the same message gets the same id on every replay.
 
-    Offsets take the high bits, so ids of one partition grow with its offsets.
+    Offsets take the high bits, so ids of one partition grow with its offsets. 12 bits hold 4096
+    partitions.
     """
-    return F.shiftleft(F.col("offset").cast("long"), partition_bits) + F.col("partition").cast("long")
+    return f"(shiftleft(CAST(offset AS BIGINT), {partition_bits}) + CAST(partition AS BIGINT))"
 
 
 def first_deliveries(batch: DataFrame, landed: DataFrame, key: list[str] = MESSAGE_KEY) -> DataFrame:
@@ -119,4 +118,4 @@ def idempotent_append(batch: DataFrame, landed: DataFrame) -> DataFrame:
 
 def read_since(rows: DataFrame, last: int, limit: int = BATCH_ROWS, id_col: str = "id") -> DataFrame:
     """The next batch in id order. Spark keeps ``limit`` rows per task, never a global sort."""
-    return rows.where(F.col(id_col) > F.lit(last)).orderBy(id_col).limit(limit)
+    return rows.where(f"{id_col} > {last}").orderBy(id_col).limit(limit)

@@ -2,93 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterline.functions import timeops
+from meterline.functions import exprs, timeops
 from meterline.functions.aggregates import as_double, ratio, score_sum, surrogate_key
 from meterline.operators import bounds
 
-
-
-def minute_key() -> Column:
-    return surrogate_key(timeops.key_text(F.col("minute_ts")), F.col("instance_id"))
-
-
-def workload_key() -> Column:
-    parts = [
-        F.coalesce(F.col(c), F.lit("UNKNOWN"))
-        for c in ("workload_classification", "access_scope", "query_type")
-    ]
-    return surrogate_key(timeops.key_text(F.col("minute_ts")), F.col("instance_id"), *parts)
-
-
-# Aggregates of the workload table, shared by its batch and streaming forms.
-def workload_aggregates() -> list[Column]:
-    return [
-        F.count("*").alias("queries_count"),
-        as_double(score_sum(F.col("heavy_unit"))).alias("heavy_units_sum"),
-        F.sum("mbytes_scanned").alias("scanned_mb_sum"),
-        F.sum("mbytes_spilled").alias("spilled_mb_sum"),
-        F.sum("execution_duration_ms").alias("exec_ms_sum"),
-        F.sum("queue_duration_ms").alias("queue_ms_sum"),
-        F.max("cluster_size_clean").alias("cluster_size_clean_max"),
-        F.max("raw_id").alias("source_max_raw_id"),
-    ]
-
-
+MINUTE_KEY = surrogate_key(timeops.key_text("minute_ts"), "instance_id")
+WORKLOAD_KEY = surrogate_key(
+    timeops.key_text("minute_ts"),
+    "instance_id",
+    "coalesce(workload_classification, 'UNKNOWN')",
+    "coalesce(access_scope, 'UNKNOWN')",
+    "coalesce(query_type, 'UNKNOWN')",
+)
 WORKLOAD_KEYS = ["minute_ts", "instance_id", "workload_classification", "access_scope", "query_type"]
-WORKLOAD_MEASURES = [
-    "queries_count", "heavy_units_sum", "scanned_mb_sum", "spilled_mb_sum", "exec_ms_sum", "queue_ms_sum",
-    "cluster_size_clean_max", "source_max_raw_id",
-]
+# Aggregates per output column, shared by the batch and streaming forms.
+WORKLOAD_MEASURES = {
+    "queries_count": "count(*)",
+    "heavy_units_sum": as_double(score_sum()),
+    "scanned_mb_sum": "sum(mbytes_scanned)",
+    "spilled_mb_sum": "sum(mbytes_spilled)",
+    "exec_ms_sum": "sum(execution_duration_ms)",
+    "queue_ms_sum": "sum(queue_duration_ms)",
+    "cluster_size_clean_max": "max(cluster_size_clean)",
+    "source_max_raw_id": "max(raw_id)",
+}
+EFFICIENCY_MEASURES = {
+    "queries_count": "count(*)",
+    "exec_ms_sum": "sum(execution_duration_ms)",
+    "exec_ms_avg": "avg(execution_duration_ms)",
+    "queue_ms_sum": "sum(queue_duration_ms)",
+    "queue_ms_avg": "avg(queue_duration_ms)",
+    "compile_ms_sum": "sum(compile_duration_ms)",
+    "scanned_mb_sum": "sum(mbytes_scanned)",
+    "spilled_mb_sum": "sum(mbytes_spilled)",
+    "heavy_units_sum": as_double(score_sum()),
+    "heavy_unit_avg": f"{as_double(score_sum())} / count(*)",
+    "cached_queries": "count_if(was_cached = 1)",
+    "aborted_queries": "count_if(was_aborted = 1)",
+}
+
+
+def measures(by_name: dict[str, str]):
+    return exprs(*[f"{text} AS {name}" for name, text in by_name.items()])
 
 
 def minute_cluster_workload(clean: DataFrame, gate: int | None, since: int | None = None) -> DataFrame:
     """Load per minute, instance, workload class, access scope and query type."""
     rows = bounds.fact_range(clean, gate, since)
-    return (
-        rows.groupBy(*WORKLOAD_KEYS)
-        .agg(*workload_aggregates())
-        .select(workload_key().alias("kpi_key"), *WORKLOAD_KEYS, *WORKLOAD_MEASURES)
-    )
+    return finish_workload(rows.groupBy(*WORKLOAD_KEYS).agg(*measures(WORKLOAD_MEASURES)))
 
 
-def efficiency_aggregates() -> list[Column]:
-    heavy = score_sum(F.col("heavy_unit"))
-    return [
-        F.count("*").alias("queries_count"),
-        F.sum("execution_duration_ms").alias("exec_ms_sum"),
-        F.avg("execution_duration_ms").alias("exec_ms_avg"),
-        F.sum("queue_duration_ms").alias("queue_ms_sum"),
-        F.avg("queue_duration_ms").alias("queue_ms_avg"),
-        F.sum("compile_duration_ms").alias("compile_ms_sum"),
-        F.sum("mbytes_scanned").alias("scanned_mb_sum"),
-        F.sum("mbytes_spilled").alias("spilled_mb_sum"),
-        as_double(heavy).alias("heavy_units_sum"),
-        (as_double(heavy) / F.count("*")).alias("heavy_unit_avg"),
-        F.count_if(F.col("was_cached") == 1).alias("cached_queries"),
-        F.count_if(F.col("was_aborted") == 1).alias("aborted_queries"),
-    ]
-
-
-EFFICIENCY_MEASURES = [
-    "queries_count", "exec_ms_sum", "exec_ms_avg", "queue_ms_sum", "queue_ms_avg", "compile_ms_sum",
-    "scanned_mb_sum", "spilled_mb_sum", "heavy_units_sum", "heavy_unit_avg", "cached_queries",
-    "aborted_queries", "spill_to_scan_ratio",
-]
+def finish_workload(aggregated: DataFrame) -> DataFrame:
+    return aggregated.selectExpr(f"{WORKLOAD_KEY} AS kpi_key", *WORKLOAD_KEYS, *WORKLOAD_MEASURES)
 
 
 def minute_query_efficiency(clean: DataFrame, gate: int | None, since: int | None = None) -> DataFrame:
     """Timings, volumes and waste per minute and instance. Needs no cluster size."""
     rows = bounds.fact_range(clean, gate, since)
-    return finish_efficiency(rows.groupBy("minute_ts", "instance_id").agg(*efficiency_aggregates()))
+    return finish_efficiency(rows.groupBy("minute_ts", "instance_id").agg(*measures(EFFICIENCY_MEASURES)))
 
 
 def finish_efficiency(aggregated: DataFrame) -> DataFrame:
-    spill = ratio(F.col("spilled_mb_sum"), F.col("scanned_mb_sum"))
-    return aggregated.withColumn("spill_to_scan_ratio", spill).select(
-        minute_key().alias("kpi_key"), "minute_ts", "instance_id", *EFFICIENCY_MEASURES
+    return aggregated.selectExpr(
+        f"{MINUTE_KEY} AS kpi_key",
+        "minute_ts",
+        "instance_id",
+        *EFFICIENCY_MEASURES,
+        f"{ratio('spilled_mb_sum', 'scanned_mb_sum')} AS spill_to_scan_ratio",
     )
 
 
@@ -96,7 +79,7 @@ def minute_cluster_size(clean: DataFrame, gate: int | None, since: int | None =
     """Largest cluster size seen per minute and instance."""
     rows = bounds.fact_range(clean, gate, since)
     return rows.groupBy("minute_ts", "instance_id").agg(
-        F.max(F.coalesce("cluster_size_clean", F.lit(0.0))).alias("cluster_size_clean_max")
+        F.expr("max(coalesce(cluster_size_clean, 0D)) AS cluster_size_clean_max")
     )
 
 
@@ -107,12 +90,16 @@ def minute_shadow_cost(clean: DataFrame, gate: int | None, since: int | None = N
     unknown instance has no cluster size (its size would never match in an equi-join) and counts as 0.
     """
     rows = bounds.fact_range(clean, gate, since)
-    sized = F.when(F.col("instance_id").isNotNull(), F.col("cluster_size_clean"))
+    size = "max(CASE WHEN instance_id IS NOT NULL THEN cluster_size_clean END)"
     return finish_shadow_cost(
         rows.groupBy("minute_ts", "instance_id").agg(
-            F.count("*").alias("queries_count"),
-            as_double(score_sum(F.col("heavy_unit"))).alias("heavy_units_sum"),
-            F.coalesce(F.max(sized), F.lit(0.0)).alias("cluster_size_clean_max"),
+            *measures(
+                {
+                    "queries_count": "count(*)",
+                    "heavy_units_sum": as_double(score_sum()),
+                    "cluster_size_clean_max": f"coalesce({size}, 0D)",
+                }
+            )
         )
     )
 
@@ -123,49 +110,51 @@ def shadow_cost_from_tables(efficiency: DataFrame, sizes: DataFrame) -> DataFram
         sizes, ["minute_ts", "instance_id"], "left"
     )
     return finish_shadow_cost(
-        joined.select(
+        joined.selectExpr(
             "minute_ts",
             "instance_id",
-            F.coalesce("queries_count", F.lit(0)).alias("queries_count"),
-            F.coalesce("heavy_units_sum", F.lit(0.0)).alias("heavy_units_sum"),
-            F.coalesce("cluster_size_clean_max", F.lit(0.0)).alias("cluster_size_clean_max"),
+            "coalesce(queries_count, 0L) AS queries_count",
+            "coalesce(heavy_units_sum, 0D) AS heavy_units_sum",
+            "coalesce(cluster_size_clean_max, 0D) AS cluster_size_clean_max",
         )
     )
 
 
 def finish_shadow_cost(scored: DataFrame) -> DataFrame:
-    return scored.select(
-        minute_key().alias("kpi_key"),
+    return scored.selectExpr(
+        f"{MINUTE_KEY} AS kpi_key",
         "minute_ts",
         "instance_id",
         "queries_count",
         "heavy_units_sum",
         "cluster_size_clean_max",
-        F.col("heavy_units_sum").alias("cost_units_per_min"),
-        ratio(F.col("heavy_units_sum"), F.col("cluster_size_clean_max")).alias(
-            "cost_units_per_min_per_node"
-        ),
+        "heavy_units_sum AS cost_units_per_min",
+        f"{ratio('heavy_units_sum', 'cluster_size_clean_max')} AS cost_units_per_min_per_node",
     )
 
 
 def _with_end_minute(clean: DataFrame, gate: int | None) -> DataFrame:
-    return bounds.fact_range(clean, gate).withColumn(
-        "end_minute", timeops.minute_of(F.col("query_end_timestamp"))
+    return bounds.fact_range(clean, gate).selectExpr(
+        "raw_id",
+        "instance_id",
+        "minute_ts",
+        "query_end_timestamp",
+        f"{timeops.minute_of('query_end_timestamp')} AS end_minute",
+        *[c for c in ("cluster_size_clean",) if c in clean.columns],
     )
 
 
 def active_minutes(clean: DataFrame, gate: int | None) -> DataFrame:
     """One row per query and minute it runs in, both ends included; reversed or unknown ends give none."""
-    every = F.sequence("minute_ts", "end_minute", F.expr("INTERVAL 1 MINUTE"))
     return (
         _with_end_minute(clean, gate)
-        .where(F.col("end_minute") >= F.col("minute_ts"))
-        .select(
+        .where("end_minute >= minute_ts")
+        .selectExpr(
             "raw_id",
             "instance_id",
-            F.col("minute_ts").alias("start_minute"),
+            "minute_ts AS start_minute",
             "end_minute",
-            F.explode(every).alias("minute_ts"),
+            "explode(sequence(minute_ts, end_minute, INTERVAL 1 MINUTE)) AS minute_ts",
         )
     )
 
@@ -182,71 +171,47 @@ def minute_concurrency(clean: DataFrame, gate: int | None, since: int | None = N
     count as active.
     """
     rows = _with_end_minute(clean, gate)
-    valid = F.coalesce(F.col("end_minute") >= F.col("minute_ts"), F.lit(False))
-    own = F.lit(True)
-    start = F.col("minute_ts")
+    valid, own, start = "coalesce(end_minute >= minute_ts, false)", "true", "minute_ts"
     if since is not None:
-        bound = bounds.at(since)
-        rows = rows.where((F.col("query_end_timestamp") >= bound) | (F.col("minute_ts") >= bound))
-        own = F.col("minute_ts") >= bound
-        start = F.greatest(start, bound)
-    known = F.coalesce("cluster_size_clean", F.lit(0.0))
-    begin_mark = F.struct(
-        start.alias("minute_ts"),
-        valid.cast("int").alias("up"),
-        F.lit(0).alias("down"),
-        (valid & own).cast("int").alias("started"),
-        F.when(own & F.col("instance_id").isNotNull(), known).alias("size"),
-    )
-    end_mark = F.struct(
-        F.when(valid, F.col("end_minute")).alias("minute_ts"),
-        F.lit(0).alias("up"),
-        F.lit(1).alias("down"),
-        F.lit(0).alias("started"),
-        F.lit(None).cast("double").alias("size"),
-    )
-    marks = (
-        rows.select("instance_id", F.explode(F.array(begin_mark, end_mark)).alias("m"))
-        .select("instance_id", "m.*")
-        .where(F.col("minute_ts").isNotNull())
-    )
+        bound = timeops.at(since)
+        rows = rows.where(f"query_end_timestamp >= {bound} OR minute_ts >= {bound}")
+        own, start = f"(minute_ts >= {bound})", f"greatest(minute_ts, {bound})"
+    size = f"CASE WHEN {own} AND instance_id IS NOT NULL THEN coalesce(cluster_size_clean, 0D) END"
+    marks = rows.selectExpr(
+        "instance_id",
+        f"""inline(array(
+            named_struct('minute_ts', {start}, 'up', CAST({valid} AS INT), 'down', 0,
+                'started', CAST({valid} AND {own} AS INT), 'size', {size}),
+            named_struct('minute_ts', CASE WHEN {valid} THEN end_minute END, 'up', 0, 'down', 1,
+                'started', 0, 'size', CAST(NULL AS DOUBLE))))""",
+    ).where("minute_ts IS NOT NULL")
     summed = marks.groupBy("instance_id", "minute_ts").agg(
-        F.sum("up").alias("up"),
-        F.sum("down").alias("down"),
-        F.sum("started").alias("started"),
-        F.max("size").alias("size"),
+        *exprs("sum(up) AS up", "sum(down) AS down", "sum(started) AS started", "max(size) AS size")
     )
     w = Window.partitionBy("instance_id").orderBy("minute_ts")
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stepped = summed.withColumns(
         {
-            "after": F.sum(F.col("up") - F.col("down")).over(running),
-            "gap_end": timeops.plus_minutes(F.lead("minute_ts").over(w), -1),
+            "after": F.sum(F.expr("up - down")).over(running),
+            "next_ts": F.lead("minute_ts").over(w),
         }
     )
-    gap_start = timeops.plus_minutes(F.col("minute_ts"), 1)
-    gap = F.when(
-        (F.col("after") > 0) & (F.col("gap_end") >= gap_start),
-        F.sequence(gap_start, F.col("gap_end"), F.expr("INTERVAL 1 MINUTE")),
-    )
-    slots = F.concat(F.array("minute_ts"), F.coalesce(gap, F.array().cast("array<timestamp>")))
-    marked = F.col("slot") == F.col("minute_ts")
-    zero = F.lit(0).cast("long")
-    return (
-        stepped.withColumn("slot", F.explode(slots))
-        .select(
-            F.col("slot").alias("minute_ts"),
-            "instance_id",
-            # a query that ends in a minute still ran in it
-            (F.col("after") + F.when(marked, F.col("down")).otherwise(zero)).alias("active_queries"),
-            F.when(marked, F.col("started")).otherwise(zero).alias("started_queries"),
-            F.when(marked, F.col("down")).otherwise(zero).alias("ended_queries"),
-            F.when(marked, F.col("size")).alias("cluster_size_clean_max"),
-        )
-        .where(F.col("active_queries") > 0)
-        .select(
-            minute_key().alias("kpi_key"),
-            "*",
-            ratio(F.col("active_queries"), F.col("cluster_size_clean_max")).alias("query_pressure"),
-        )
+    gap_start, gap_end = timeops.plus_minutes("minute_ts", 1), timeops.plus_minutes("next_ts", -1)
+    gap = f"""CASE WHEN after > 0 AND {gap_end} >= {gap_start}
+        THEN sequence({gap_start}, {gap_end}, INTERVAL 1 MINUTE) ELSE array() END"""
+    slots = stepped.selectExpr("*", f"explode(concat(array(minute_ts), {gap})) AS slot")
+    marked = "slot = minute_ts"
+    # a query that ends in a minute still ran in it
+    counted = slots.selectExpr(
+        "slot AS minute_ts",
+        "instance_id",
+        f"after + if({marked}, down, 0L) AS active_queries",
+        f"if({marked}, started, 0L) AS started_queries",
+        f"if({marked}, down, 0L) AS ended_queries",
+        f"if({marked}, size, NULL) AS cluster_size_clean_max",
+    )
+    return counted.where("active_queries > 0").selectExpr(
+        f"{MINUTE_KEY} AS kpi_key",
+        "*",
+        f"{ratio('active_queries', 'cluster_size_clean_max')} AS query_pressure",
     )

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from meterline.functions import timeops
+from meterline.functions import exprs, timeops
 from meterline.functions.aggregates import as_double, ratio, score_sum, surrogate_key
 from meterline.operators import bounds
 
@@ -20,30 +19,28 @@ DIMENSIONS = {
     "access_scope": ("access_scope", "UNKNOWN"),
     "fingerprint": ("feature_fingerprint", "UNKNOWN"),
 }
+DIMENSION_COLUMNS = [column for column, _ in DIMENSIONS.values()]
+ENTRY_KEY = surrogate_key(timeops.key_text("window_start"), "dimension_type", "dimension_value")
 
 
-def tumbling_window(rows: DataFrame, width: str = WINDOW, time_col: str = "arrival_timestamp") -> DataFrame:
+def tumbling_window(
+    rows: DataFrame, width: str = WINDOW, time_col: str = "arrival_timestamp"
+) -> DataFrame:
     """Adds ``window_start`` and ``window_end``; rows without a time drop out."""
-    windowed = rows.withColumn("_w", F.window(time_col, width))
-    return windowed.withColumns(
-        {"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}
-    ).drop("_w")
+    windowed = rows.selectExpr("*", f"window({time_col}, '{width}') AS _w")
+    return windowed.selectExpr("*", "_w.start AS window_start", "_w.end AS window_end").drop("_w")
 
 
 def unpivot_dimensions(rows: DataFrame, keep: list[str]) -> DataFrame:
     """One row per query and dimension, in a single pass over the input."""
     entries = []
     for name, (column, missing) in DIMENSIONS.items():
-        value = F.col(column).cast("string")
+        value = f"CAST({column} AS STRING)"
         if missing is not None:
-            value = F.coalesce(value, F.lit(missing))
-        entries.append(
-            F.struct(F.lit(name).alias("dimension_type"), value.alias("dimension_value"))
-        )
-    return (
-        rows.select(*keep, F.explode(F.array(*entries)).alias("d"))
-        .select(*keep, "d.dimension_type", "d.dimension_value")
-        .where(F.col("dimension_value").isNotNull())
+            value = f"coalesce({value}, '{missing}')"
+        entries.append(f"named_struct('dimension_type', '{name}', 'dimension_value', {value})")
+    return rows.selectExpr(*keep, f"inline(array({', '.join(entries)}))").where(
+        "dimension_value IS NOT NULL"
     )
 
 
@@ -53,12 +50,10 @@ def dimension_totals(rows: DataFrame, width: str = WINDOW) -> DataFrame:
     The sums are partially aggregated before the one shuffle, so a value that owns a third of all rows
     reaches its reducer as one row per task.
     """
-    narrow = tumbling_window(
-        rows.select("arrival_timestamp", "heavy_unit", *[c for c, _ in DIMENSIONS.values()]), width
-    )
+    narrow = tumbling_window(rows.select("arrival_timestamp", "heavy_unit", *DIMENSION_COLUMNS), width)
     long = unpivot_dimensions(narrow, ["window_start", "window_end", "heavy_unit"])
     return long.groupBy("window_start", "window_end", "dimension_type", "dimension_value").agg(
-        F.count("*").alias("queries_count"), score_sum(F.col("heavy_unit")).alias("exact_sum")
+        *exprs("count(*) AS queries_count", f"{score_sum()} AS exact_sum")
     )
 
 
@@ -68,23 +63,18 @@ def rank_totals(totals: DataFrame, top: int = TOP) -> DataFrame:
     Spark applies the rank limit before and after the shuffle, so a window sends at most ``top`` rows
     per task and dimension.
     """
-    w = Window.partitionBy("window_start", "dimension_type").orderBy(
-        F.col("exact_sum").desc_nulls_last(), F.col("dimension_value").asc()
-    )
-    ranked = totals.withColumn("rank_position", F.row_number().over(w)).where(
-        F.col("rank_position") <= top
-    )
-    return ranked.select(
-        surrogate_key(
-            timeops.key_text(F.col("window_start")), F.col("dimension_type"), F.col("dimension_value")
-        ).alias("lb_key"),
+    rank = """row_number() OVER (PARTITION BY window_start, dimension_type
+        ORDER BY exact_sum DESC NULLS LAST, dimension_value)"""
+    ranked = totals.selectExpr("*", f"{rank} AS rank_position").where(f"rank_position <= {int(top)}")
+    return ranked.selectExpr(
+        f"{ENTRY_KEY} AS lb_key",
         "window_start",
         "window_end",
         "dimension_type",
         "dimension_value",
         "rank_position",
         "queries_count",
-        as_double(F.col("exact_sum")).alias("heavy_units_sum"),
+        f"{as_double('exact_sum')} AS heavy_units_sum",
     )
 
 
@@ -97,42 +87,38 @@ def leaderboard(
     """
     rows = bounds.since(rows, "arrival_timestamp", since)
     if since is not None and "event_date" in rows.columns:
-        rows = rows.where(F.col("event_date") >= F.to_date(bounds.at(since)))
+        rows = rows.where(f"event_date >= to_date({bounds.at(since)})")
     return rank_totals(dimension_totals(rows, width), top)
 
 
-def resource_predators(board: DataFrame, types: tuple[str, ...] = PREDATOR_TYPES, top: int = TOP) -> DataFrame:
+def resource_predators(
+    board: DataFrame, types: tuple[str, ...] = PREDATOR_TYPES, top: int = TOP
+) -> DataFrame:
     """Share of each listed user or fingerprint in its window's leaderboard total.
 
     The total covers leaderboard rows only, and the share is a 0-1 fraction. A group holds at most
     the leaderboard's ``top`` rows, so the two windows are tiny.
     """
-    rows = board.where(F.col("dimension_type").isin(*types))
-    group = Window.partitionBy("window_start", "dimension_type")
-    exact = F.col("heavy_units_sum").cast("decimal(28,12)")
-    scored = rows.withColumn("total_heavy_units", as_double(F.sum(exact).over(group))).withColumn(
-        "cost_share_pct", ratio(F.col("heavy_units_sum"), F.col("total_heavy_units"))
+    wanted = ", ".join(f"'{t}'" for t in types)
+    group = "PARTITION BY window_start, dimension_type"
+    total = f"sum(CAST(heavy_units_sum AS DECIMAL(28,12))) OVER ({group})"
+    scored = (
+        board.where(f"dimension_type IN ({wanted})")
+        .selectExpr("*", f"{as_double(total)} AS total_heavy_units")
+        .selectExpr("*", f"{ratio('heavy_units_sum', 'total_heavy_units')} AS cost_share_pct")
     )
-    order = group.orderBy(
-        F.col("cost_share_pct").desc_nulls_first(),
-        F.col("heavy_units_sum").desc_nulls_first(),
-        F.col("dimension_value").asc(),
-    )
-    return (
-        scored.withColumn("rank_position", F.row_number().over(order))
-        .where(F.col("rank_position") <= top)
-        .select(
-            surrogate_key(
-                timeops.key_text(F.col("window_start")), F.col("dimension_type"), F.col("dimension_value")
-            ).alias("pred_key"),
-            "window_start",
-            "window_end",
-            F.col("dimension_type").alias("predator_type"),
-            F.col("dimension_value").alias("predator_value"),
-            "rank_position",
-            "queries_count",
-            "heavy_units_sum",
-            "total_heavy_units",
-            "cost_share_pct",
-        )
+    rank = f"""row_number() OVER ({group} ORDER BY cost_share_pct DESC NULLS FIRST,
+        heavy_units_sum DESC NULLS FIRST, dimension_value)"""
+    ranked = scored.drop("rank_position").selectExpr("*", f"{rank} AS rank_position")
+    return ranked.where(f"rank_position <= {int(top)}").selectExpr(
+        f"{ENTRY_KEY} AS pred_key",
+        "window_start",
+        "window_end",
+        "dimension_type AS predator_type",
+        "dimension_value AS predator_value",
+        "rank_position",
+        "queries_count",
+        "heavy_units_sum",
+        "total_heavy_units",
+        "cost_share_pct",
     )

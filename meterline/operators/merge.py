@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from meterline.operators import bounds
 
@@ -23,7 +22,3 @@ def replace_since(target: DataFrame, batch: DataFrame, time_col: str, bound: int
     kept = bounds.before(target, time_col, bound)
     return kept.unionByName(batch.select(*target.columns))
 
-
-def stored_day(df: DataFrame, time_col: str) -> DataFrame:
-    """Adds the partition column of the stored tables."""
-    return df.withColumn("event_date", F.to_date(time_col))

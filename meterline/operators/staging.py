@@ -2,49 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from meterline.functions import values as V
 from meterline.schemas import STAGED_COLUMNS, TRACE
 
 UNKNOWN_FINGERPRINT = "UNKNOWN_FINGERPRINT"
+ID_LISTS = ("read_table_ids", "write_table_ids")
 # Columns whose missing value stays NULL; every other number defaults to 0.
 NULLABLE = {
     "instance_id", "user_id", "database_id", "query_id", "cluster_size", "arrival_timestamp", "query_type",
 }
 
 
-def _typed(name: str, dtype: T.DataType, text: Column, strict: bool) -> Column:
-    if isinstance(dtype, T.TimestampType):
+def _from_text(f: T.StructField, text: str, strict: bool) -> str:
+    if f.name in ID_LISTS:
+        return text
+    if isinstance(f.dataType, T.TimestampType):
         return V.to_time(text, strict)
-    if isinstance(dtype, (T.IntegerType, T.LongType)):
-        return V.to_whole(text, dtype.simpleString(), strict)
-    if isinstance(dtype, T.DoubleType):
+    if isinstance(f.dataType, (T.IntegerType, T.LongType)):
+        return V.to_whole(text, f.dataType.simpleString(), strict)
+    if isinstance(f.dataType, T.DoubleType):
         return V.to_number(text, strict)
     return V.empty_to_null(text)
 
 
-def _defaulted(name: str, dtype: T.DataType, value: Column) -> Column:
-    if name in NULLABLE:
-        return value
-    if name == "feature_fingerprint":
-        return F.coalesce(value, F.lit(UNKNOWN_FINGERPRINT))
-    return F.coalesce(value, F.lit(0).cast(dtype))
+def _from_typed(f: T.StructField) -> str:
+    if isinstance(f.dataType, T.DoubleType):
+        return V.finite(f"CAST({f.name} AS DOUBLE)")
+    if isinstance(f.dataType, T.StringType):
+        return f.name if f.name in ID_LISTS else V.empty_to_null(f.name)
+    return f"CAST({f.name} AS {f.dataType.simpleString()})"
 
 
-def _project(raw_id: Column, read: dict[str, Column]) -> list[Column]:
-    out = {f.name: _defaulted(f.name, f.dataType, read[f.name]) for f in TRACE.fields[:-2]}
-    out["raw_id"] = raw_id
-    out["has_read"] = V.has_items(read["read_table_ids"])
-    out["has_write"] = V.has_items(read["write_table_ids"])
-    return [out[name].alias(name) for name in STAGED_COLUMNS]
+def _staged_columns(raw_id: str, read: dict[str, str]) -> list[str]:
+    """Defaults over the values read, in table order."""
+    out = {
+        "raw_id": raw_id,
+        "has_read": V.has_items(read["read_table_ids"]),
+        "has_write": V.has_items(read["write_table_ids"]),
+    }
+    for f in TRACE.fields:
+        value = read[f.name]
+        if f.name == "feature_fingerprint":
+            value = f"coalesce({value}, '{UNKNOWN_FINGERPRINT}')"
+        elif f.name not in NULLABLE:
+            value = f"coalesce({value}, CAST(0 AS {f.dataType.simpleString()}))"
+        out[f.name] = value
+    return [f"{out[name]} AS {name}" for name in STAGED_COLUMNS]
 
 
 def raw_scan(landing: DataFrame) -> DataFrame:
     """Landing rows that carry an event."""
-    return landing.where(F.col("event").isNotNull())
+    return landing.where("event IS NOT NULL")
 
 
 def stage_events(landing: DataFrame, strict: bool = False) -> DataFrame:
@@ -52,25 +63,13 @@ def stage_events(landing: DataFrame, strict: bool = False) -> DataFrame:
 
     ``strict`` raises on text that does not fit its type; by default it reads as missing.
     """
-    text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in TRACE.fields])
-    parsed = raw_scan(landing).select(
-        F.col("id").alias("raw_id"), F.from_json("event", text_schema).alias("e")
-    )
-    read = {f.name: F.col("e").getField(f.name) for f in TRACE.fields}
-    for f in TRACE.fields:
-        if not f.name.endswith("_table_ids"):
-            read[f.name] = _typed(f.name, f.dataType, read[f.name], strict)
-    return parsed.select(*_project(F.col("raw_id"), read))
+    text_schema = ", ".join(f"{f.name} STRING" for f in TRACE.fields)
+    parsed = raw_scan(landing).selectExpr("id AS raw_id", f"from_json(event, '{text_schema}') AS e")
+    fields = parsed.select("raw_id", "e.*")
+    read = {f.name: _from_text(f, f.name, strict) for f in TRACE.fields}
+    return fields.selectExpr(*_staged_columns("raw_id", read))
 
 
 def stage_trace(trace: DataFrame) -> DataFrame:
     """A typed trace (``raw_id`` + trace columns) -> staged rows, without a JSON detour."""
-    read = {}
-    for f in TRACE.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.DoubleType):
-            c = V.finite(c)
-        elif isinstance(f.dataType, T.StringType) and not f.name.endswith("_table_ids"):
-            c = V.empty_to_null(c)
-        read[f.name] = c.cast(f.dataType)
-    return trace.select(*_project(F.col("raw_id"), read))
+    return trace.selectExpr(*_staged_columns("raw_id", {f.name: _from_typed(f) for f in TRACE.fields}))

@@ -1,7 +1,8 @@
 """Named queries over the telemetry derived from ``events``.
 
 Every callable takes ``(spark, sf_dir)`` and reads the whole table. Values are brought to one output
-form: whole numbers as BIGINT, timestamps without zone, doubles rounded to 6 places. The 1e-9 added before
+form: whole numbers as BIGINT (as DOUBLE where they may be missing), timestamps without zone, doubles
+rounded to 6 places. The 1e-9 added before
 rounding moves exact decimal ties off the rounding edge, where the last floating digit would decide.
 """
 
@@ -10,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterline.functions import exprs, timeops
 from meterline.operators import (
     board_report, bounds, clean, cost_report, efficiency_report, fill, heat_report, ingest, kpis,
     leaderboard, merge, selection, staging,
@@ -21,7 +23,7 @@ from meterline.operators import (
 from meterline.schemas import MESSAGE
 from meterline.session import shared_dir
 from meterline.sources import streams, tables
-from meterline.sources.telemetry import read_events, read_telemetry
+from meterline.sources.telemetry import as_trace, read_events, read_telemetry
 from meterline.streaming import ingest as stream_ingest
 from meterline.streaming import kpis as stream_kpis
 
@@ -34,6 +36,7 @@ COST_WINDOW, HEAT_WINDOW, GRID_WINDOW = 7 * DAY, DAY, DAY
 HEAT_BUCKET, HEAT_TOP = 15, 5
 # The share of history that incremental queries treat as already stored, by event time.
 LATEST_DAYS = 3
+NULLABLE_NUMBERS = ("user_id",)
 
 
 def query(fn: Query) -> Query:
@@ -48,17 +51,20 @@ def query(fn: Query) -> Query:
 
 
 def output_form(df: DataFrame) -> DataFrame:
-    def column(f: T.StructField) -> Column:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            c = c.cast("bigint")
+    def column(f: T.StructField) -> str:
+        if f.name in NULLABLE_NUMBERS:
+            form = "CAST({c} AS DOUBLE)"
+        elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            form = "CAST({c} AS BIGINT)"
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            c = F.round(c.cast("double") + F.lit(1e-9), 6)
+            form = "round(CAST({c} AS DOUBLE) + 1e-9D, 6)"
         elif isinstance(f.dataType, T.TimestampType):
-            c = c.cast("timestamp_ntz")
-        return c.alias(f.name)
+            form = "CAST({c} AS TIMESTAMP_NTZ)"
+        else:
+            form = "{c}"
+        return f"{form.format(c=f.name)} AS {f.name}"
 
-    return df.select(*[column(f) for f in df.schema.fields])
+    return df.selectExpr(*[column(f) for f in df.schema.fields])
 
 
 # -- shared inputs -------------------------------------------------------------------------------
@@ -86,9 +92,12 @@ def _gate(spark: SparkSession, sf_dir: str) -> int | None:
 
 
 def _closed_newest(spark: SparkSession, sf_dir: str, gate: int | None) -> int | None:
-    """Newest closed minute that has rows."""
-    minutes = _enriched(spark, sf_dir).select("minute_ts", "arrival_timestamp")
-    return bounds.latest(bounds.fact_range(minutes, gate), "minute_ts")
+    """Newest closed minute that has rows; reads one column."""
+    if gate is None:
+        return None
+    closed = read_events(spark, sf_dir).where(f"ts < {timeops.at(gate + bounds.MINUTE_MICROS)}")
+    newest = bounds.latest(closed, "ts")
+    return None if newest is None else bounds.minute_start(newest)
 
 
 def _efficiency(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
@@ -128,27 +137,27 @@ def _enriched_with_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _enriched(spark, sf_dir).withColumnRenamed("cluster_size", "cluster_size_clean")
 
 
-def _messages(spark: SparkSession, sf_dir: str, value: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The trace as delivered messages: offsets follow event ids, instances are partitions."""
+def _messages(spark: SparkSession, sf_dir: str, value: str = "value") -> DataFrame:
+    """The trace as delivered messages: offsets follow event ids, instances are partitions.
+
+    ``value`` may damage the message text; it sees the trace columns too.
+    """
     trace = read_telemetry(spark, sf_dir)
-    encoded = F.to_json(
-        F.struct(*[c for c in trace.columns if c != "raw_id"]),
-        {"ignoreNullFields": "false", "timestampFormat": ingest.TIME_FORMAT},
-    )
-    return trace.select(
-        F.col("query_id").cast("string").alias("key"),
-        (encoded if value is None else value(encoded)).alias("value"),
-        F.lit("telemetry").alias("topic"),
-        F.coalesce("instance_id", F.lit(0)).alias("partition"),
-        F.col("raw_id").alias("offset"),
+    fields = ", ".join(c for c in trace.columns if c != "raw_id")
+    encoded = trace.selectExpr("*", f"{ingest.JSON_OF.format(f'struct({fields})')} AS value")
+    return encoded.selectExpr(
+        "CAST(query_id AS STRING) AS key",
+        f"{value} AS value",
+        "'telemetry' AS topic",
+        "coalesce(instance_id, 0) AS partition",
+        "raw_id AS offset",
     )
 
 
 def _stream_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read_events(spark, sf_dir).schema
-    from meterline.sources.telemetry import as_trace
-
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    # a pattern, since a file stream does not take a single file as its folder
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     return clean.enrich(staging.stage_trace(as_trace(events)))
 
 
@@ -168,7 +177,7 @@ def ingest_prepare_trace(spark, sf_dir):
 
 @query
 def ingest_json_roundtrip(spark, sf_dir):
-    landed = ingest.land(ingest.decode_messages(_messages(spark, sf_dir)), F.col("offset"))
+    landed = ingest.land(ingest.decode_messages(_messages(spark, sf_dir)), "offset")
     return staging.stage_events(landed)
 
 
@@ -176,35 +185,22 @@ def ingest_json_roundtrip(spark, sf_dir):
 def ingest_rejects(spark, sf_dir):
     """Aborted queries arrive cut off, cached ones empty, unloads as lists, the rest whole."""
 
-    def damage(v: Column) -> Column:
-        return (
-            F.when(F.col("was_aborted") == 1, F.substring(v, 1, 40))
-            .when(F.col("was_cached") == 1, F.lit(""))
-            .when(F.col("query_type") == "unload", F.concat(F.lit("["), v, F.lit("]")))
-            .otherwise(v)
-        )
-
-    decoded = ingest.decode_messages(_messages(spark, sf_dir, damage))
-    ok = F.col("payload").isNotNull()
+    damaged = """CASE WHEN was_aborted = 1 THEN left(value, 40) WHEN was_cached = 1 THEN ''
+        WHEN query_type = 'unload' THEN concat('[', value, ']') ELSE value END"""
+    decoded = ingest.decode_messages(_messages(spark, sf_dir, damaged))
     return decoded.groupBy("partition").agg(
-        F.count_if(ok).alias("kept"), F.count_if(~ok).alias("rejected")
+        *exprs("count_if(payload IS NOT NULL) AS kept", "count_if(payload IS NULL) AS rejected")
     )
 
 
 @query
 def ingest_sanitize(spark, sf_dir):
     """Bare NaN and infinity tokens in the message become NULL sizes and volumes."""
-
-    def poison(v: Column) -> Column:
-        v = F.when(
-            F.col("was_aborted") == 1, F.regexp_replace(v, '"cluster_size":[^,]*', '"cluster_size":NaN')
-        ).otherwise(v)
-        return F.when(
-            F.col("query_type") == "insert",
-            F.regexp_replace(v, '"mbytes_scanned":[^,]*', '"mbytes_scanned":-Infinity'),
-        ).otherwise(v)
-
-    landed = ingest.land(ingest.decode_messages(_messages(spark, sf_dir, poison)), F.col("offset"))
+    poisoned = """CASE
+        WHEN was_aborted = 1 THEN regexp_replace(value, '"cluster_size":[^,]*', '"cluster_size":NaN')
+        WHEN query_type = 'insert' THEN regexp_replace(value, '"mbytes_scanned":[^,]*', '"mbytes_scanned":-Infinity')
+        ELSE value END"""
+    landed = ingest.land(ingest.decode_messages(_messages(spark, sf_dir, poisoned)), "offset")
     return staging.stage_events(landed).select("raw_id", "cluster_size", "mbytes_scanned")
 
 
@@ -216,8 +212,8 @@ def ingest_metadata(spark, sf_dir):
 @query
 def ingest_idempotent(spark, sf_dir):
     """Half of the partitions were landed before; then everything is delivered twice."""
-    rows = ingest.land(ingest.decode_messages(_messages(spark, sf_dir)), F.col("offset"))
-    landed = rows.where(F.col("kafka_partition") >= 4)
+    rows = ingest.land(ingest.decode_messages(_messages(spark, sf_dir)), "offset")
+    landed = rows.where("kafka_partition >= 4")
     after = ingest.idempotent_append(rows.unionByName(rows), landed)
     return after.select("id", "kafka_topic", "kafka_partition", "kafka_offset", "kafka_key")
 
@@ -339,11 +335,10 @@ def inc_progress(spark, sf_dir):
     cut = bounds.minutes_before(_newest(spark, sf_dir), LATEST_DAYS * DAY)
     stored = clean.clean_table(bounds.before(staged, "arrival_timestamp", cut))
     last = bounds.last_id(bounds.before(read_events(spark, sf_dir), "ts", cut), "event_id")
-    position = F.struct("arrival_timestamp", "raw_id")
     seeds = (
-        staged.where((F.col("raw_id") <= last) & F.col("cluster_size").isNotNull())
+        staged.where(f"raw_id <= {last}")
         .groupBy("instance_id")
-        .agg(F.max_by("cluster_size", position).alias("seed_size"))
+        .agg(F.expr(f"{fill.LAST_SIZE} AS seed_size"))
     )
     step = clean.clean_table(bounds.new_rows(staged, last), seeds=seeds)
     return stored.unionByName(step).select(
@@ -402,7 +397,7 @@ def kpi_predator_15m(spark, sf_dir):
 @query
 def kpi_surrogate_key(spark, sf_dir):
     """Key of every query's workload row."""
-    return _enriched(spark, sf_dir).select("raw_id", kpis.workload_key().alias("kpi_key"))
+    return _enriched(spark, sf_dir).selectExpr("raw_id", f"{kpis.WORKLOAD_KEY} AS kpi_key")
 
 
 # -- efficiency and cost reports -----------------------------------------------------------------
@@ -523,13 +518,9 @@ def rep_leaderboard_search(spark, sf_dir):
 def rep_labels(spark, sf_dir):
     """Display cells of the whole leaderboard; values are lengthened so that labels get shortened."""
     board = _board(spark, sf_dir)
-    long = F.concat_ws("/", "dimension_type", "dimension_value", "lb_key")
-    return board_report.display(
-        board.withColumn(
-            "dimension_value",
-            F.when(F.col("dimension_type") == "user", F.col("dimension_value")).otherwise(long),
-        )
-    )
+    longer = """CASE WHEN dimension_type = 'user' THEN dimension_value
+        ELSE concat_ws('/', dimension_type, dimension_value, lb_key) END"""
+    return board_report.display(board.withColumn("dimension_value", F.expr(longer)))
 
 
 @query

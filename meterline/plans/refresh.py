@@ -22,9 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterline.functions import exprs
 from meterline.operators import bounds, kpis
 from meterline.operators.clean import enrich
-from meterline.operators.fill import fill_cluster_size
+from meterline.operators.fill import FIRST_SIZE, LAST_SIZE, fill_cluster_size
 from meterline.operators.leaderboard import leaderboard, resource_predators
 from meterline.schemas import CLEAN_COLUMNS
 from meterline.sources import tables
@@ -40,6 +41,8 @@ KPI_TIME = {
     "leaderboard_15m": "window_start",
     "resource_predator_15m": "window_start",
 }
+# days as text order, rows without a time last
+DAY_ORDER = "coalesce(day, DATE'9999-12-31')"
 KPI_TIE = {"leaderboard_15m": "lb_key", "resource_predator_15m": "pred_key"}
 
 
@@ -79,18 +82,17 @@ def incremental_refresh(
         full_refresh(staged, root, **slicing)
         return True
     days = read(spark, root, "instance_days")
-    old = days.agg(
-        F.max("last_id").alias("last"),
-        F.max("newest").alias("newest"),
-        F.count_if(F.col("day").isNull()).alias("untimed"),
+    old = days.selectExpr(
+        "max(last_id) AS last", "max(newest) AS newest", "count_if(day IS NULL) AS untimed"
     ).first()
     if old["newest"] is None:
         full_refresh(staged, root, **slicing)
         return True
     fresh = enrich(bounds.new_rows(staged, old["last"]))
-    arrival = F.unix_micros("arrival_timestamp")
-    new = fresh.agg(
-        F.count("*").alias("n"), F.min(arrival).alias("first"), F.max(arrival).alias("newest")
+    new = fresh.selectExpr(
+        "count(*) AS n",
+        "unix_micros(min(arrival_timestamp)) AS first",
+        "unix_micros(max(arrival_timestamp)) AS newest",
     ).first()
     if not new["n"]:
         return False
@@ -126,8 +128,7 @@ def _gate(newest: int) -> int:
 
 def _from_day(stored: DataFrame, micros: int) -> DataFrame:
     """Stored rows from a day on, with those that have no time."""
-    day = F.to_date(bounds.at(micros))
-    return stored.where((F.col("event_date") >= day) | F.col("event_date").isNull())
+    return stored.where(f"event_date >= to_date({bounds.at(micros)}) OR event_date IS NULL")
 
 
 def _store_instance_days(spark: SparkSession, lay: Layout, touched: int | None) -> None:
@@ -135,19 +136,17 @@ def _store_instance_days(spark: SparkSession, lay: Layout, touched: int | None)
     clean = spark.read.parquet(lay.path("clean"))
     if touched is not None:
         clean = _from_day(clean, touched)
-    known = F.col("cluster_size").isNotNull()
-    moment = F.coalesce(F.unix_micros("arrival_timestamp"), F.lit(0)).cast("decimal(19,0)")
-    position = F.when(
-        known,
-        (
-            moment * F.lit(str(10**19)).cast("decimal(20,0)") + F.col("raw_id").cast("decimal(19,0)")
-        ).cast("decimal(38,0)"),
-    )
-    summary = clean.groupBy("instance_id", F.col("event_date").alias("day")).agg(
-        F.min_by("cluster_size", position).alias("first_size"),
-        F.max_by("cluster_size", position).alias("last_size"),
-        F.max("raw_id").alias("last_id"),
-        F.max(F.unix_micros("arrival_timestamp")).alias("newest"),
+    summary = (
+        clean.withColumnRenamed("event_date", "day")
+        .groupBy("instance_id", "day")
+        .agg(
+            *exprs(
+                f"{FIRST_SIZE} AS first_size",
+                f"{LAST_SIZE} AS last_size",
+                "max(raw_id) AS last_id",
+                "unix_micros(max(arrival_timestamp)) AS newest",
+            )
+        )
     )
     target = lay.path("instance_days")
     if touched is None:
@@ -158,12 +157,10 @@ def _store_instance_days(spark: SparkSession, lay: Layout, touched: int | None)
 
 def _seeds(days: DataFrame, first_day: int | None) -> DataFrame:
     """Last known size per instance before a day (or of all days)."""
-    earlier = days.where(F.col("last_size").isNotNull())
+    earlier = days.where("last_size IS NOT NULL")
     if first_day is not None:
-        earlier = earlier.where(F.col("day") < F.to_date(bounds.at(first_day)))
-    return earlier.groupBy("instance_id").agg(
-        F.max_by("last_size", F.coalesce("day", F.to_date(F.lit("9999-12-31")))).alias("seed_size")
-    )
+        earlier = earlier.where(f"day < to_date({bounds.at(first_day)})")
+    return earlier.groupBy("instance_id").agg(F.expr(f"max_by(last_size, {DAY_ORDER}) AS seed_size"))
 
 
 def _backfill_start(
@@ -174,28 +171,26 @@ def _backfill_start(
     That happens to instances that had no known size before the batch's first day: if they had none at
     all, or if a late row brings a size other than the one their earlier rows took.
     """
-    first_day = F.to_date(bounds.at(touched - touched % DAY_MICROS))
-    order = F.coalesce("day", F.to_date(F.lit("9999-12-31")))
+    first_day = f"to_date({bounds.at(touched)})"
     unsized = (
         days.groupBy("instance_id")
         .agg(
-            F.min(F.col("day")).alias("since"),
-            F.min_by("first_size", F.when(F.col("first_size").isNotNull(), order)).alias("taken"),
-            F.count_if(F.col("last_size").isNotNull() & (F.col("day") < first_day)).alias("earlier"),
+            *exprs(
+                "min(day) AS since",
+                f"min_by(first_size, CASE WHEN first_size IS NOT NULL THEN {DAY_ORDER} END) AS taken",
+                f"count_if(last_size IS NOT NULL AND day < {first_day}) AS earlier",
+            )
         )
-        .where((F.col("earlier") == 0) & (F.col("since") <= first_day))
+        .where(f"earlier = 0 AND since <= {first_day}")
     )
     brought = (
-        fresh.where(F.col("cluster_size").isNotNull())
-        .select("instance_id", "cluster_size")
+        fresh.where("cluster_size IS NOT NULL")
+        .selectExpr("instance_id AS brought_id", "cluster_size")
         .distinct()
-        .withColumnRenamed("instance_id", "_id")
-    )
-    other = F.lit(False) if in_order else F.col("taken") != F.col("cluster_size")
-    changed = brought.join(unsized, F.col("_id").eqNullSafe(F.col("instance_id"))).where(
-        F.col("taken").isNull() | other
     )
-    return changed.agg(F.min(F.unix_micros(F.col("since").cast("timestamp"))).alias("m")).first()["m"]
+    other = "" if in_order else "OR taken <> cluster_size"
+    changed = brought.join(unsized, F.expr("brought_id <=> instance_id")).where(f"taken IS NULL {other}")
+    return changed.selectExpr("unix_micros(CAST(min(since) AS TIMESTAMP)) AS m").first()["m"]
 
 
 def _refresh_kpis(

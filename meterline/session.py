@@ -11,7 +11,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def build_session(app_name: str = "meterline", master: str | None = None, **conf: str) -> SparkSession:
-    """A UTC, ANSI, adaptive session. ``conf`` overrides any default below (use ``_`` for ``.``-free keys)."""
+    """A UTC, ANSI, adaptive session. ``conf`` overrides any default below."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -23,6 +23,8 @@ def build_session(app_name: str = "meterline", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.parquet.filterPushdown": "true",
+        # call-site capture costs the driver several calls per expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # state of the minute and leaderboard streams stays off the JVM heap
         "spark.sql.streaming.stateStore.providerClass": (
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

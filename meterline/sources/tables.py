@@ -82,7 +82,7 @@ def replace_since(
         return
     start = bounds.at(bound)
     cut_day = spark.read.parquet(path).where(
-        (F.col(PARTITION) == F.to_date(start)) & (F.col(time_col) < start)
+        f"{PARTITION} = to_date({start}) AND {time_col} < {start}"
     )
     kept = cut_day.select(*batch.columns)
     overwrite_days(kept.unionByName(batch), path, time_col, tie)

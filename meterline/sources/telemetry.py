@@ -7,62 +7,47 @@ an instance without any known cluster size, blank table lists).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Event type -> query type; other event types have none.
-QUERY_TYPES = {"click": "select", "view": "unload", "purchase": "insert", "signup": "analyze"}
+from pyspark.sql import DataFrame, SparkSession
+
+# The trace column formulas; ``k`` is the integer in ``props``.
+TRACE_FORMULAS = {
+    "raw_id": "event_id",
+    "instance_id": "CAST(user_id % 8 AS INT)",
+    "user_id": "CAST(CASE WHEN k <> 98 THEN user_id END AS INT)",
+    "database_id": "CAST(user_id % 5 AS INT)",
+    "query_id": "event_id",
+    "cluster_size": "CASE WHEN event_id % 3 = 0 AND user_id % 8 <> 7 THEN 2D * (1 + (event_id div 3) % 4) END",
+    "arrival_timestamp": "CAST(ts AS TIMESTAMP)",
+    "compile_duration_ms": "k * 10D",
+    "queue_duration_ms": "(event_id % 50) * 100D",
+    "execution_duration_ms": "round(value * 1000)",
+    "feature_fingerprint": "CASE WHEN k = 99 THEN '' ELSE concat('fp_', k % 20) END",
+    "was_aborted": "CAST(event_type = 'error' AS INT)",
+    "was_cached": "CAST(k % 10 = 0 AS INT)",
+    "query_type": """CASE event_type WHEN 'click' THEN 'select' WHEN 'view' THEN 'unload'
+        WHEN 'purchase' THEN 'insert' WHEN 'signup' THEN 'analyze' END""",
+    "num_permanent_tables_accessed": "CAST(k % 4 AS DOUBLE)",
+    "num_external_tables_accessed": "CASE WHEN k % 7 = 0 THEN 1D ELSE 0D END",
+    "num_system_tables_accessed": "CASE WHEN k % 11 = 0 THEN 1D ELSE 0D END",
+    "mbytes_scanned": "k * 150D",
+    "mbytes_spilled": "CASE WHEN event_type = 'purchase' THEN k * 20D ELSE 0D END",
+    "num_joins": "CAST(k % 3 AS DOUBLE)",
+    "num_scans": "CAST(k % 5 AS DOUBLE)",
+    "num_aggregations": "CAST(k % 2 AS DOUBLE)",
+    "read_table_ids": "CASE WHEN event_type IN ('click', 'view', 'purchase') AND k % 5 <> 4 THEN '1,2' ELSE ' ' END",
+    "write_table_ids": "CASE WHEN event_type = 'purchase' OR k % 6 = 0 THEN '3' ELSE '' END",
+}
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def trace_columns() -> list[Column]:
-    """Projection from an event row (with ``_k``, the integer in ``props``) to a trace row with ``raw_id``."""
-    event = F.col("event_type")
-    event_id = F.col("event_id")
-    k = F.col("_k")
-    instance = (F.col("user_id") % 8).cast("int")
-    known_size = (event_id % 3 == 0) & (instance != 7)
-    size = 2.0 * (1 + F.expr("event_id div 3") % 4)
-    query_type = F.lit(None).cast("string")
-    for source, target in QUERY_TYPES.items():
-        query_type = F.when(event == source, target).otherwise(query_type)
-    return [
-        event_id.alias("raw_id"),
-        instance.alias("instance_id"),
-        F.when(k != 98, F.col("user_id")).cast("int").alias("user_id"),
-        (F.col("user_id") % 5).cast("int").alias("database_id"),
-        event_id.alias("query_id"),
-        F.when(known_size, size).cast("double").alias("cluster_size"),
-        F.col("ts").cast("timestamp").alias("arrival_timestamp"),
-        (k * 10.0).alias("compile_duration_ms"),
-        ((event_id % 50) * 100.0).alias("queue_duration_ms"),
-        F.round(F.col("value") * 1000).alias("execution_duration_ms"),
-        F.when(k == 99, "").otherwise(F.concat(F.lit("fp_"), k % 20)).alias("feature_fingerprint"),
-        (event == "error").cast("int").alias("was_aborted"),
-        (k % 10 == 0).cast("int").alias("was_cached"),
-        query_type.alias("query_type"),
-        (k % 4).cast("double").alias("num_permanent_tables_accessed"),
-        (k % 7 == 0).cast("int").cast("double").alias("num_external_tables_accessed"),
-        (k % 11 == 0).cast("int").cast("double").alias("num_system_tables_accessed"),
-        (k * 150.0).alias("mbytes_scanned"),
-        F.when(event == "purchase", k * 20.0).otherwise(0.0).alias("mbytes_spilled"),
-        (k % 3).cast("double").alias("num_joins"),
-        (k % 5).cast("double").alias("num_scans"),
-        (k % 2).cast("double").alias("num_aggregations"),
-        F.when(event.isin("click", "view", "purchase") & (k % 5 != 4), "1,2")
-        .otherwise(" ")
-        .alias("read_table_ids"),
-        F.when((event == "purchase") | (k % 6 == 0), "3").otherwise("").alias("write_table_ids"),
-    ]
-
-
 def as_trace(events: DataFrame) -> DataFrame:
+    """Events -> ``raw_id`` and trace columns."""
     # the JSON is read once per row, before the projection that uses it many times
-    parsed = events.withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
-    return parsed.select(*trace_columns())
+    parsed = events.selectExpr("*", "CAST(get_json_object(props, '$.k') AS INT) AS k")
+    return parsed.selectExpr(*[f"{formula} AS {name}" for name, formula in TRACE_FORMULAS.items()])
 
 
 def read_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

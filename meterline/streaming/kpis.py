@@ -9,59 +9,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterline.functions import exprs
 from meterline.functions.aggregates import score_sum
 from meterline.operators import bounds, kpis
-from meterline.operators.leaderboard import DIMENSIONS, WINDOW, rank_totals, unpivot_dimensions
+from meterline.operators.leaderboard import DIMENSION_COLUMNS, WINDOW, rank_totals, unpivot_dimensions
 from meterline.sources import tables
 
 LATENESS = "10 minutes"
 
 
-def _per_minute(rows: DataFrame, keys: list[str], aggregates: list[Column], gate_minutes: int) -> DataFrame:
-    timed = rows.withColumn("arrival_timestamp", F.col("arrival_timestamp").cast("timestamp"))
-    return (
-        timed.withWatermark("arrival_timestamp", f"{gate_minutes - 1} minutes")
-        .groupBy(F.window("arrival_timestamp", "1 minute").alias("_w"), *keys)
-        .agg(*aggregates)
-        .withColumn("minute_ts", F.col("_w.start"))
-        .drop("_w")
-    )
+def _per_minute(
+    rows: DataFrame, keys: list[str], measures: dict[str, str], gate_minutes: int
+) -> DataFrame:
+    timed = rows.withWatermark("arrival_timestamp", f"{gate_minutes - 1} minutes")
+    grouped = timed.groupBy(F.window("arrival_timestamp", "1 minute").alias("w"), *keys)
+    return grouped.agg(*kpis.measures(measures)).selectExpr("w.start AS minute_ts", *keys, *measures)
 
 
 def efficiency_stream(rows: DataFrame, gate_minutes: int = bounds.GATE_MINUTES) -> DataFrame:
-    aggregated = _per_minute(rows, ["instance_id"], kpis.efficiency_aggregates(), gate_minutes)
-    return kpis.finish_efficiency(aggregated)
+    return kpis.finish_efficiency(
+        _per_minute(rows, ["instance_id"], kpis.EFFICIENCY_MEASURES, gate_minutes)
+    )
 
 
 def workload_stream(rows: DataFrame, gate_minutes: int = bounds.GATE_MINUTES) -> DataFrame:
     keys = [k for k in kpis.WORKLOAD_KEYS if k != "minute_ts"]
-    aggregated = _per_minute(rows, keys, kpis.workload_aggregates(), gate_minutes)
-    return aggregated.select(
-        kpis.workload_key().alias("kpi_key"), *kpis.WORKLOAD_KEYS, *kpis.WORKLOAD_MEASURES
-    )
+    return kpis.finish_workload(_per_minute(rows, keys, kpis.WORKLOAD_MEASURES, gate_minutes))
 
 
-def leaderboard_totals_stream(rows: DataFrame, width: str = WINDOW, lateness: str = LATENESS) -> DataFrame:
+def leaderboard_totals_stream(
+    rows: DataFrame, width: str = WINDOW, lateness: str = LATENESS
+) -> DataFrame:
     """Totals per closed window, dimension and value; ranks follow per batch."""
-    timed = rows.select(
-        F.col("arrival_timestamp").cast("timestamp").alias("arrival_timestamp"),
-        "heavy_unit",
-        *[c for c, _ in DIMENSIONS.values()],
-    ).withWatermark("arrival_timestamp", lateness)
-    long = unpivot_dimensions(timed, ["arrival_timestamp", "heavy_unit"])
+    timed = rows.select("arrival_timestamp", "heavy_unit", *DIMENSION_COLUMNS).withWatermark(
+        "arrival_timestamp", lateness
+    )
+    keys = ["dimension_type", "dimension_value"]
     return (
-        long.groupBy(F.window("arrival_timestamp", width).alias("_w"), "dimension_type", "dimension_value")
-        .agg(F.count("*").alias("queries_count"), score_sum(F.col("heavy_unit")).alias("exact_sum"))
-        .select(
-            F.col("_w.start").alias("window_start"),
-            F.col("_w.end").alias("window_end"),
-            "dimension_type",
-            "dimension_value",
-            "queries_count",
-            "exact_sum",
+        unpivot_dimensions(timed, ["arrival_timestamp", "heavy_unit"])
+        .groupBy(F.window("arrival_timestamp", width).alias("w"), *keys)
+        .agg(*exprs("count(*) AS queries_count", f"{score_sum()} AS exact_sum"))
+        .selectExpr(
+            "w.start AS window_start", "w.end AS window_end", *keys, "queries_count", "exact_sum"
         )
     )
 

@@ -17,7 +17,8 @@ def spark():
     session = build_session(
         "tests",
         "local[8]",
-        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"},
+        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g",
+           "spark.sql.maxMetadataStringLength": "20000", "spark.sql.debug.maxToStringFields": "200"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

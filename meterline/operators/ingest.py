@@ -32,27 +32,33 @@ def encode_messages(rows: DataFrame, key_col: str = "query_id") -> DataFrame:
     return rows.selectExpr(f"CAST({key_col} AS STRING) AS key", f"{JSON_OF.format('struct(*)')} AS value")
 
 
+# NULL unless the value is one JSON object. The parser stops at the closing brace; anything behind it
+# makes the document invalid.
+PAYLOAD = """CASE WHEN rtrim(CAST(value AS STRING)) LIKE '%}'
+    THEN from_json(CAST(value AS STRING), 'map<string,string>') END"""
+
+
 def decode_messages(messages: DataFrame) -> DataFrame:
     """Adds ``payload``: the top-level fields as text, NULL unless the value is one JSON object.
 
     Field text is what a JSON text extraction yields, so unknown fields survive and one parse serves
     the whole row. Rejects keep their row; see :func:`accepted` and :func:`rejected`.
     """
-    # the parser stops at the closing brace; anything behind it makes the document invalid
-    parsed = messages.selectExpr(
-        "*",
-        """CASE WHEN rtrim(CAST(value AS STRING)) LIKE '%}'
-            THEN from_json(CAST(value AS STRING), 'map<string,string>') END AS payload""",
-    )
-    return parsed
+    return messages.selectExpr("*", f"{PAYLOAD} AS payload")
 
 
-def accepted(decoded: DataFrame) -> DataFrame:
-    return decoded.where("payload IS NOT NULL")
+def accepted(messages: DataFrame) -> DataFrame:
+    """Messages with a payload.
+
+    A filter on ``payload`` would be pushed below the projection and parse every message twice, so the
+    parse itself yields no row for a bad message.
+    """
+    names = [c for c in messages.columns if c != "payload"]
+    return messages.selectExpr(*names, f"inline(filter(array(struct({PAYLOAD} AS payload)), p -> p.payload IS NOT NULL))")
 
 
-def rejected(decoded: DataFrame) -> DataFrame:
-    return decoded.where("payload IS NULL")
+def rejected(messages: DataFrame) -> DataFrame:
+    return messages.where(f"{PAYLOAD} IS NULL")
 
 
 def finite_payload(payload: str) -> str:
@@ -69,8 +75,8 @@ def sanitize_nonfinite(df: DataFrame) -> DataFrame:
     return df.select(*[V.sanitize(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
-def land(decoded: DataFrame, id_expr: str | None = None) -> DataFrame:
-    """Decoded messages -> landing rows: sanitized event with ingest time and origin.
+def land(messages: DataFrame, id_expr: str | None = None) -> DataFrame:
+    """Messages -> landing rows of the decodable ones: sanitized event with ingest time and origin.
 
     The origin is also written into the event, under ``_``-prefixed names. ``id_expr`` defaults to
     :func:`arrival_id`.
@@ -85,9 +91,9 @@ def land(decoded: DataFrame, id_expr: str | None = None) -> DataFrame:
     names = ", ".join(f"'{n}'" for n in origin)
     pairs = ", ".join(f"'{n}', {text}" for n, text in origin.items())
     own = f"map_filter({finite_payload('payload')}, (k, v) -> k NOT IN ({names}))"
-    return accepted(decoded).selectExpr(
+    return accepted(messages).selectExpr(
         f"CAST({id_expr or arrival_id()} AS BIGINT) AS id",
-        f"{JSON_OF.format(f'map_concat({own}, map({pairs}))')} AS event",
+        f"coalesce({JSON_OF.format(f'map_concat({own}, map({pairs}))')}, '{{}}') AS event",
         "current_timestamp() AS ingest_ts",
         "topic AS kafka_topic",
         "CAST(coalesce(partition, 0) AS INT) AS kafka_partition",

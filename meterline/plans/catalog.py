@@ -23,7 +23,7 @@ from meterline.operators import (
 from meterline.schemas import MESSAGE
 from meterline.session import shared_dir
 from meterline.sources import streams, tables
-from meterline.sources.telemetry import as_trace, read_events, read_telemetry
+from meterline.sources.telemetry import as_trace, read_events, read_telemetry, spread_small_input
 from meterline.streaming import ingest as stream_ingest
 from meterline.streaming import kpis as stream_kpis
 
@@ -142,7 +142,7 @@ def _messages(spark: SparkSession, sf_dir: str, value: str = "value") -> DataFra
 
     ``value`` may damage the message text; it sees the trace columns too.
     """
-    trace = read_telemetry(spark, sf_dir)
+    trace = as_trace(spread_small_input(read_events(spark, sf_dir)))
     fields = ", ".join(c for c in trace.columns if c != "raw_id")
     encoded = trace.selectExpr("*", f"{ingest.JSON_OF.format(f'struct({fields})')} AS value")
     return encoded.selectExpr(
@@ -177,7 +177,7 @@ def ingest_prepare_trace(spark, sf_dir):
 
 @query
 def ingest_json_roundtrip(spark, sf_dir):
-    landed = ingest.land(ingest.decode_messages(_messages(spark, sf_dir)), "offset")
+    landed = ingest.land(_messages(spark, sf_dir), "offset")
     return staging.stage_events(landed)
 
 
@@ -200,19 +200,19 @@ def ingest_sanitize(spark, sf_dir):
         WHEN was_aborted = 1 THEN regexp_replace(value, '"cluster_size":[^,]*', '"cluster_size":NaN')
         WHEN query_type = 'insert' THEN regexp_replace(value, '"mbytes_scanned":[^,]*', '"mbytes_scanned":-Infinity')
         ELSE value END"""
-    landed = ingest.land(ingest.decode_messages(_messages(spark, sf_dir, poisoned)), "offset")
+    landed = ingest.land(_messages(spark, sf_dir, poisoned), "offset")
     return staging.stage_events(landed).select("raw_id", "cluster_size", "mbytes_scanned")
 
 
 @query
 def ingest_metadata(spark, sf_dir):
-    return ingest.land(ingest.decode_messages(_messages(spark, sf_dir)))
+    return ingest.land(_messages(spark, sf_dir))
 
 
 @query
 def ingest_idempotent(spark, sf_dir):
     """Half of the partitions were landed before; then everything is delivered twice."""
-    rows = ingest.land(ingest.decode_messages(_messages(spark, sf_dir)), "offset")
+    rows = ingest.land(_messages(spark, sf_dir), "offset")
     landed = rows.where("kafka_partition >= 4")
     after = ingest.idempotent_append(rows.unionByName(rows), landed)
     return after.select("id", "kafka_topic", "kafka_partition", "kafka_offset", "kafka_key")

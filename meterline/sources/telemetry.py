@@ -43,6 +43,15 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def spread_small_input(rows: DataFrame) -> DataFrame:
+    """Rows over all cores if their files are fewer than the cores; larger inputs stay as they are.
+
+    For CPU-heavy steps (JSON) on a few small files, which Spark cannot split below a row group.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def as_trace(events: DataFrame) -> DataFrame:
     """Events -> ``raw_id`` and trace columns."""
     # the JSON is read once per row, before the projection that uses it many times

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from meterline.operators.ingest import decode_messages, first_deliveries, land, rejected
-from meterline.schemas import LANDING
+from meterline.functions import exprs
+from meterline.operators.ingest import first_deliveries, land, rejected
+from meterline.schemas import LANDING, MESSAGE_KEY
 from meterline.sources.tables import table_exists
 
 FLUSH_INTERVAL = "2 seconds"
@@ -36,47 +37,44 @@ def landing_writer(landing_path: str, rejects_path: str | None = None) -> Callab
     def write(batch: DataFrame, _batch_id: int) -> None:
         batch = batch.persist()
         try:
-            decoded = decode_messages(batch)
-            append_new(land(decoded), landing_path)
+            append_new(land(batch), landing_path, _offset_ranges(batch))
             if rejects_path is not None:
-                append_rejects(rejected(decoded).drop("payload"), rejects_path)
+                append_rejects(rejected(batch), rejects_path)
         finally:
             batch.unpersist()
 
     return write
 
 
-def append_new(rows: DataFrame, path: str) -> None:
+def _offset_ranges(batch: DataFrame) -> list[Row]:
+    """Lowest and highest offset per topic and partition: one row per broker partition."""
+    return (
+        batch.groupBy("topic", "partition")
+        .agg(*exprs("min(offset) AS low", "max(offset) AS high"))
+        .collect()
+    )
+
+
+def append_new(rows: DataFrame, path: str, ranges: list[Row]) -> None:
     """Append landing rows that the table does not hold yet.
 
-    A replay can only repeat offsets from the batch's own range, so just that range of the table is read:
-    topic and partition are folders, and row-group statistics on the offset skip the rest.
+    A replay can only repeat offsets from the batch's own ``ranges``, so just those are read from the
+    table: topic and partition are folders, and row-group statistics on the offset skip the rest.
     """
     spark = rows.sparkSession
-    fresh = rows.dropDuplicates(["kafka_topic", "kafka_partition", "kafka_offset"])
-    if table_exists(spark, path):
-        fresh = first_deliveries(rows, _same_range(spark, path, rows))
+    fresh = rows.dropDuplicates(MESSAGE_KEY)
+    if ranges and table_exists(spark, path):
+        wanted = F.lit(False)
+        for r in ranges:
+            wanted = wanted | (
+                (F.col("kafka_topic") == r["topic"])
+                & (F.col("kafka_partition") == r["partition"])
+                & F.col("kafka_offset").between(r["low"], r["high"])
+            )
+        fresh = first_deliveries(rows, read_landing(spark, path).where(wanted))
     _append(fresh, path)
 
 
-def _same_range(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    landed = spark.read.schema(LANDING).parquet(path)
-    # one row per topic and partition of the batch: a handful, collected to become literal filters
-    ranges = (
-        rows.groupBy("kafka_topic", "kafka_partition")
-        .agg(F.min("kafka_offset").alias("lo"), F.max("kafka_offset").alias("hi"))
-        .collect()
-    )
-    wanted = F.lit(False)
-    for r in ranges:
-        wanted = wanted | (
-            (F.col("kafka_topic") == r["kafka_topic"])
-            & (F.col("kafka_partition") == r["kafka_partition"])
-            & F.col("kafka_offset").between(r["lo"], r["hi"])
-        )
-    return landed.where(wanted)
-
-
 def append_rejects(rows: DataFrame, path: str) -> None:
     """Keep undecodable messages, also once each."""
     keys = ["topic", "partition", "offset"]

@@ -587,7 +587,7 @@ def rep_cluster_series(spark, sf_dir):
 def stream_efficiency(spark, sf_dir):
     work = shared_dir(spark, "stream-efficiency")
     out = stream_kpis.efficiency_stream(_stream_of_events(spark, sf_dir))
-    _run_to_end(out, stream_kpis.closed_writer(f"{work}/out", "minute_ts"), work)
+    _run_to_end(out, stream_kpis.closed_writer(f"{work}/out"), work)
     return stream_kpis.read_closed(spark, f"{work}/out")
 
 
@@ -596,10 +596,10 @@ def stream_cluster_workload(spark, sf_dir):
     """Streams the stored cleaned fact, whose cluster sizes are already filled."""
     work = shared_dir(spark, "stream-workload")
     fact = _clean(spark, sf_dir)
-    tables.write_by_day(fact, f"{work}/clean", "arrival_timestamp", "raw_id")
+    tables.write_by_day(fact, f"{work}/clean", "arrival_timestamp")
     rows = spark.readStream.schema(fact.schema).parquet(f"{work}/clean")
     _run_to_end(
-        stream_kpis.workload_stream(rows), stream_kpis.closed_writer(f"{work}/out", "minute_ts"), work
+        stream_kpis.workload_stream(rows), stream_kpis.closed_writer(f"{work}/out"), work
     )
     return stream_kpis.read_closed(spark, f"{work}/out")
 

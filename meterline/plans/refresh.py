@@ -27,6 +27,7 @@ from meterline.operators import bounds, kpis
 from meterline.operators.clean import enrich
 from meterline.operators.fill import FIRST_SIZE, LAST_SIZE, fill_cluster_size
 from meterline.operators.leaderboard import leaderboard, resource_predators
+from meterline.operators.staging import stage_events
 from meterline.schemas import CLEAN_COLUMNS
 from meterline.sources import tables
 
@@ -43,7 +44,6 @@ KPI_TIME = {
 }
 # days as text order, rows without a time last
 DAY_ORDER = "coalesce(day, DATE'9999-12-31')"
-KPI_TIE = {"leaderboard_15m": "lb_key", "resource_predator_15m": "pred_key"}
 
 
 @dataclass(frozen=True)
@@ -58,12 +58,24 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(Layout(root).path(table))
 
 
+def store_staged(landing: DataFrame, root: str, last: int = 0) -> DataFrame:
+    """Parse landing rows with ids above ``last`` once into the ``staged`` table, and read that table.
+
+    A refresh reads its input several times; JSON should not be parsed as often.
+    """
+    path = Layout(root).path("staged")
+    staged = stage_events(bounds.new_rows(landing, last, "id"))
+    write = tables.append_by_day if last else tables.write_by_day
+    write(staged, path, "arrival_timestamp")
+    return landing.sparkSession.read.parquet(path).drop(tables.PARTITION)
+
+
 def full_refresh(staged: DataFrame, root: str, **slicing) -> None:
     """Every table from scratch."""
     spark = staged.sparkSession
     lay = Layout(root)
     clean = fill_cluster_size(enrich(staged), **slicing).select(*STORED_COLUMNS)
-    tables.write_by_day(clean, lay.path("clean"), "arrival_timestamp", "raw_id")
+    tables.write_by_day(clean, lay.path("clean"), "arrival_timestamp")
     _store_instance_days(spark, lay, None)
     _refresh_kpis(spark, lay, bounds.gate_of(read(spark, root, "clean")), None, None)
 
@@ -104,7 +116,7 @@ def incremental_refresh(
     reach = _backfill_start(fresh, days, touched, in_order)
     if in_order and reach is None:
         rows = fill_cluster_size(fresh, seeds=_seeds(days, None), **slicing).select(*STORED_COLUMNS)
-        tables.append_by_day(rows, lay.path("clean"), "arrival_timestamp", "raw_id")
+        tables.append_by_day(rows, lay.path("clean"), "arrival_timestamp")
     else:
         touched = touched if reach is None else min(touched, reach)
         first_day = touched - touched % DAY_MICROS
@@ -112,7 +124,7 @@ def incremental_refresh(
         rows = fill_cluster_size(
             again.unionByName(fresh), seeds=_seeds(days, first_day), **slicing
         ).select(*STORED_COLUMNS)
-        tables.overwrite_days(rows, lay.path("clean"), "arrival_timestamp", "raw_id")
+        tables.overwrite_days(rows, lay.path("clean"), "arrival_timestamp")
     _store_instance_days(spark, lay, touched)
 
     minute = touched - touched % MINUTE_MICROS
@@ -212,6 +224,4 @@ def _refresh_kpis(
     }
     for name, compute in fresh.items():
         bound = minute if KPI_TIME[name] == "minute_ts" else window
-        tables.replace_since(
-            compute(), lay.path(name), KPI_TIME[name], bound, KPI_TIE.get(name, "kpi_key")
-        )
+        tables.replace_since(compute(), lay.path(name), KPI_TIME[name], bound)

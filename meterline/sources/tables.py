@@ -36,14 +36,14 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def _by_day(rows: DataFrame, time_col: str, tie: str | None) -> DataFrame:
-    """Rows with their day, range-partitioned by time and ``tie``.
+def _by_day(rows: DataFrame, time_col: str) -> DataFrame:
+    """Rows with their day, brought together by day and sorted by time.
 
-    A day then lands in few large files of short time spans, while a day, minute or instant that holds
-    most of the data is still spread over tasks.
+    A rebalance merges small days into few tasks and splits a day that holds much of the data over
+    many, from the sizes seen at run time. Sorted files have row groups of short time spans.
     """
-    keys = [PARTITION, time_col] + ([tie] if tie else [])
-    return rows.withColumn(PARTITION, F.to_date(time_col)).repartitionByRange(*keys)
+    dated = rows.withColumn(PARTITION, F.to_date(time_col))
+    return dated.hint("rebalance", F.col(PARTITION)).sortWithinPartitions(PARTITION, time_col)
 
 
 def _write(rows: DataFrame, path: str, mode: str, overwrite: str) -> None:
@@ -51,38 +51,36 @@ def _write(rows: DataFrame, path: str, mode: str, overwrite: str) -> None:
     writer.partitionBy(PARTITION).parquet(path)
 
 
-def write_by_day(rows: DataFrame, path: str, time_col: str, tie: str | None = None) -> None:
+def write_by_day(rows: DataFrame, path: str, time_col: str) -> None:
     """The whole table anew, one folder per day."""
-    _write(_by_day(rows, time_col, tie), path, "overwrite", "static")
+    _write(_by_day(rows, time_col), path, "overwrite", "static")
 
 
-def append_by_day(rows: DataFrame, path: str, time_col: str, tie: str | None = None) -> None:
-    _write(_by_day(rows, time_col, tie), path, "append", "static")
+def append_by_day(rows: DataFrame, path: str, time_col: str) -> None:
+    _write(_by_day(rows, time_col), path, "append", "static")
 
 
-def overwrite_days(rows: DataFrame, path: str, time_col: str, tie: str | None = None) -> None:
+def overwrite_days(rows: DataFrame, path: str, time_col: str) -> None:
     """Replace exactly the days present in ``rows``; other days stay untouched.
 
     Spark stages the new files and swaps folders after all tasks are done, so a lost executor only
     repeats tasks, and ``rows`` may be computed from the very table being changed.
     """
-    _write(_by_day(rows, time_col, tie), path, "overwrite", "dynamic")
+    _write(_by_day(rows, time_col), path, "overwrite", "dynamic")
 
 
-def replace_since(
-    batch: DataFrame, path: str, time_col: str, bound: int | None, tie: str | None = None
-) -> None:
+def replace_since(batch: DataFrame, path: str, time_col: str, bound: int | None) -> None:
     """Store ``batch`` as the table's content from ``bound`` on.
 
     Only the day that ``bound`` cuts is partly kept; it is read back and rewritten with the batch.
     """
     spark = batch.sparkSession
     if bound is None or not table_exists(spark, path):
-        write_by_day(batch, path, time_col, tie)
+        write_by_day(batch, path, time_col)
         return
     start = bounds.at(bound)
     cut_day = spark.read.parquet(path).where(
         f"{PARTITION} = to_date({start}) AND {time_col} < {start}"
     )
     kept = cut_day.select(*batch.columns)
-    overwrite_days(kept.unionByName(batch), path, time_col, tie)
+    overwrite_days(kept.unionByName(batch), path, time_col)

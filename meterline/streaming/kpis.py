@@ -60,7 +60,7 @@ def leaderboard_totals_stream(
 
 def ranked_writer(path: str, top: int = 10) -> Callable[[DataFrame, int], None]:
     """Batch function: rank the windows a batch closes. All rows of a window close in the same batch."""
-    write = closed_writer(path, "window_start", "lb_key")
+    write = closed_writer(path)
 
     def ranked(batch: DataFrame, batch_id: int) -> None:
         write(rank_totals(batch, top), batch_id)
@@ -68,12 +68,14 @@ def ranked_writer(path: str, top: int = 10) -> Callable[[DataFrame, int], None]:
     return ranked
 
 
-def closed_writer(path: str, time_col: str, tie: str = "kpi_key") -> Callable[[DataFrame, int], None]:
-    """Batch function: store closed rows, one folder per batch, so that a replayed batch replaces itself."""
+def closed_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """Batch function: store closed rows, one folder per batch, so that a replayed batch replaces itself.
+
+    Rows are written from the tasks that hold them: another shuffle would evaluate the state again.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spread = batch.repartitionByRange(time_col, tie)
-        spread.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write
 

@@ -1,4 +1,5 @@
 from meterline.operators import bounds, clean, ingest, kpis, staging
+from meterline.plans import refresh
 from meterline.schemas import TRACE
 from meterline.sources import streams, tables
 from meterline.sources.telemetry import read_telemetry
@@ -38,7 +39,7 @@ def test_landed_messages_stage_like_the_trace(spark, sf_dir, tmp_path, same):
     source, landing = str(tmp_path / "in"), str(tmp_path / "landing")
     sent(spark, sf_dir).write.parquet(source)
     run(streams.read_message_stream(spark, source), si.landing_writer(landing), str(tmp_path / "c"))
-    got = staging.stage_events(si.read_landing(spark, landing)).drop("raw_id")
+    got = refresh.store_staged(si.read_landing(spark, landing), str(tmp_path / "tables"), last=-1).drop("raw_id")
     same(got, staging.stage_trace(read_telemetry(spark, sf_dir)).drop("raw_id"))
 
 
@@ -52,7 +53,7 @@ def test_stream_in_many_batches_equals_batch_for_closed_minutes(spark, sf_dir, t
     stream = clean.enrich(
         staging.stage_trace(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
     )
-    write = sk.closed_writer(out, "minute_ts")
+    write = sk.closed_writer(out)
     run(sk.efficiency_stream(stream), write, str(tmp_path / "c"))
     trace.where("raw_id >= 750").coalesce(1).write.mode("append").parquet(source)
     run(sk.efficiency_stream(stream), write, str(tmp_path / "c"))

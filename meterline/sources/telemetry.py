@@ -44,12 +44,13 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread_small_input(rows: DataFrame) -> DataFrame:
-    """Rows over all cores if their files are fewer than the cores; larger inputs stay as they are.
+    """Rows over all cores if the scan has fewer splits than cores; larger inputs stay as they are.
 
-    For CPU-heavy steps (JSON) on a few small files, which Spark cannot split below a row group.
+    A split holds at most ``spark.sql.files.maxPartitionBytes`` unless it is one row group, so this only
+    ever shuffles inputs below cores times that size.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def as_trace(events: DataFrame) -> DataFrame:
@@ -60,4 +61,4 @@ def as_trace(events: DataFrame) -> DataFrame:
 
 
 def read_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_trace(read_events(spark, sf_dir))
+    return as_trace(spread_small_input(read_events(spark, sf_dir)))

@@ -132,10 +132,10 @@ def test_resolve_column_ignores_case_and_blanks(spark):
 
 
 @pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.8, 1.0])
-@pytest.mark.parametrize("kind", ["spread", "ties", "single"])
+@pytest.mark.parametrize("kind", ["spread", "ties", "single", "few", "pair"])
 def test_exact_quantile_matches_numpy(spark, q, kind):
     rng = np.random.default_rng(3)
-    values = {"spread": rng.normal(size=25_000), "ties": rng.integers(0, 4, 9_000) * 1.0, "single": np.array([7.0])}[kind]
+    values = {"spread": rng.normal(size=25_000), "ties": rng.integers(0, 4, 9_000) * 1.0, "single": np.array([7.0]), "few": rng.normal(size=236), "pair": np.array([1.0, 4.0])}[kind]
     df = spark.createDataFrame(pd.DataFrame({"v": values}))
     assert selection.exact_quantile(df, "v", q) == pytest.approx(np.quantile(values, q), abs=1e-12)
 

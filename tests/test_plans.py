@@ -6,7 +6,9 @@ import pytest
 
 import __spark_entry__ as contract
 from meterline.operators import bounds, clean, fill, kpis, leaderboard
+from meterline.operators.staging import stage_trace
 from meterline.plans import refresh
+from meterline.sources.telemetry import as_trace, read_events
 
 
 def plan(df) -> str:
@@ -73,5 +75,6 @@ def test_sliced_fill_shuffles_the_rows_once(stored):
     assert "SortAggregate" not in text
 
 
-def test_row_features_need_no_shuffle(staged):
-    assert "Exchange" not in plan(clean.enrich(staged))
+def test_row_features_need_no_shuffle(spark, sf_dir):
+    trace = as_trace(read_events(spark, sf_dir))
+    assert "Exchange" not in plan(clean.enrich(stage_trace(trace)))

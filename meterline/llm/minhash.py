@@ -128,17 +128,31 @@ def _may_link(sx: str, sy: str, nx: str, ny: str, percent: int) -> Column:
     The bar lies five standard errors (without replacement) below the threshold; an estimate over the whole union is
     exact and gets no slack.
     """
-    union = F.slice(F.array_sort(F.array_union(sx, sy)), 1, SKETCH)
-    both = F.array_intersect(sx, sy)
+    union = F.slice(F.sort_array(F.array_union(sx, sy)), 1, SKETCH)
     k = F.size(union)
-    last = F.element_at(union, -1)
-    share = F.size(F.filter(both, lambda v: v <= last)) / k
+    share = F.size(F.array_intersect(F.array_intersect(sx, sy), union)) / k
     t = percent / 100
     part = F.greatest(F.lit(0.0), 1 - SKETCH * (1 + t) / (F.col(nx) + F.col(ny)))
     slack = F.when(k < SKETCH, 0.0).otherwise(5 * F.sqrt(part * (t * (1 - t) / SKETCH)))
     return share >= t - slack - 1e-9
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """The lists whose members do not all lie in one component."""
+    return rows.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("v")
+
+
+def _unshared(sets: DataFrame) -> DataFrame:
+    """nid and ``u``: how many shingles of a set are in no other of the sets."""
+    values = sets.select("nid", F.explode("shingles").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min("nid").alias("nid"))
+    return values.where("c = 1").groupBy("nid").agg(F.count(F.lit(1)).alias("u"))
+
+
+def _room(ux: str, uy: str, shared: Column, percent: int) -> Column:
+    """Unshared shingles of both sides fit beside at most ``shared`` common ones at the threshold."""
+    return (F.col(ux) + F.col(uy)) * percent <= shared * (100 - percent)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, estimated: bool) -> DataFrame:
     """Of the pairs (x, y) those whose full sets reach the threshold."""
 
@@ -166,8 +180,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
        class enters only as many lists as two linked classes need to meet in one, so a passage that many documents
        share makes no pairs, while copies do.
     3. Every list compares its members with the one that has fewest values of its own; what that links is one
-       component already. Only classes of a list that are still apart are then compared with each other, each
-       pair in the first list they share, filtered by the union-sketch estimate inside the join.
+       component already. Classes of a list that are still apart are then compared with each other, each pair in the
+       first list they share. Shingles that no other of these classes has bound what two classes can share, which
+       takes out nearly all members of large groups of looser copies; the union-sketch estimate filters the rest
+       inside the join.
     4. Full sets confirm every link.
 
     A text without words has an empty set and stays alone. A null doc_id is never linked: its component_id is null
@@ -205,19 +221,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
     roots = common.stored(components(links), "roots")
 
     labelled = lists.join(roots.withColumnRenamed("node", "nid"), "nid", "left")
-    labelled = labelled.withColumn("root", F.coalesce("root", "nid"))
-    labelled = common.stored(labelled.join(sets.select("nid", "sketch"), "nid"), "labelled")
-    spread = labelled.select("root", F.explode("lists").alias("v"))
-    apart = spread.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("v")
-    apart = common.stored(apart, "apart")
-    rows = common.stored(labelled.withColumn("v", F.explode("lists")).join(apart, "v"), "apart-members")
-    left = rows.select("v", *[F.col(c).alias(f"{c}x") for c in ("nid", "n", "root", "lists", "sketch")])
-    right = rows.select("v", *[F.col(c).alias(f"{c}y") for c in ("nid", "n", "root", "lists", "sketch")])
+    labelled = common.stored(labelled.withColumn("root", F.coalesce("root", "nid")), "labelled")
+    spread = labelled.select("nid", "root", F.explode("lists").alias("v"))
+    first = common.stored(spread.join(common.stored(_apart(spread), "apart"), "v").select("nid", "v"), "apart")
+    alone = _unshared(sets.join(first.select("nid").distinct(), "nid", "left_semi"))
+    rows = first.join(labelled.select("nid", "n", "root", "lists"), "nid").join(common.stored(alone, "unshared"), "nid", "left")
+    rows = common.stored(rows.withColumn("u", F.coalesce("u", F.lit(0))), "apart-members")
+    least = common.stored(rows.groupBy("v").agg(F.min("u").alias("low")), "apart-least")
+    rows = common.stored(rows.join(least, "v").where(_room("u", "low", F.col("n") - F.col("u"), percent)).drop("low"), "apart-near")
+    rows = rows.join(common.stored(_apart(rows), "apart"), "v").join(sets.select("nid", "sketch"), "nid")
+    rows = common.stored(rows, "apart-rest")
+    left = rows.select("v", *[F.col(c).alias(f"{c}x") for c in ("nid", "n", "u", "root", "lists", "sketch")])
+    right = rows.select("v", *[F.col(c).alias(f"{c}y") for c in ("nid", "n", "u", "root", "lists", "sketch")])
     meet = (
         (left["v"] == right["v"])
         & (F.col("nidx") < F.col("nidy"))
         & (F.col("rootx") != F.col("rooty"))
         & _near_in_size("nx", "ny", percent)
+        & _room("ux", "uy", F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy")), percent)
         & (F.element_at(F.array_intersect("listsx", "listsy"), 1) == left["v"])
         & _may_link("sketchx", "sketchy", "nx", "ny", percent)
     )

@@ -20,6 +20,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
+_CHUNK = 1 << 19
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -116,13 +117,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same wherever the span lies."""
+    """A 64-bit hash of the bytes of each span, the same wherever the span lies. Spans rise and do not overlap.
+
+    Works on runs of spans of about _CHUNK bytes, so memory beyond ``data`` does not grow with it.
+    """
     global _powers
-    if len(_powers[0]) < len(data) + 1:
-        up, down = np.full(len(data) + 1, _BASE, np.uint64), np.full(len(data) + 1, _UNBASE, np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    up, down = _powers
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        begin = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, begin + _CHUNK, "right")))
+        piece = data[begin : ends[j - 1]]
+        if len(_powers[0]) <= len(piece):
+            n = max(len(piece), _CHUNK) + 1
+            up, down = np.full(n, _BASE, np.uint64), np.full(n, _UNBASE, np.uint64)
+            up[0] = down[0] = 1
+            _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        up, down = _powers
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1:])
+        a, b = starts[i:j] - begin, ends[i:j] - begin
+        out[i:j] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        i = j
+    return out

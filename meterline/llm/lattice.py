@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -187,7 +188,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
                         pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                         pa.array([held.tolist()], pa.list_(pa.bool_())),
                         pa.array([bounds.tolist()], pa.list_(pa.int64())),
-                        pa.array([code.astype("<u4").tobytes()], pa.binary()),
+                        pa.array([zlib.compress(code.astype("<u4").tobytes(), 1)], pa.binary()),
                         pa.array([spelled], pa.list_(pa.string())),
                         pa.array([train.tolist()], pa.list_(pa.int64())),
                     ],
@@ -290,7 +291,7 @@ def score_documents(
             for i in range(batch.num_rows):
                 ids = batch.column("doc_ids")[i].values
                 bounds = batch.column("bounds")[i].values.to_numpy()
-                codes = np.frombuffer(batch.column("codes")[i].as_buffer(), "<u4")
+                codes = np.frombuffer(zlib.decompress(batch.column("codes")[i].as_buffer()), "<u4")
                 table = batch.column("table")[i]
                 size = len(table) if table.is_valid else 0
                 c, lp = np.zeros(size), np.zeros(size)

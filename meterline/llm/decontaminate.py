@@ -13,8 +13,11 @@ from pyspark.sql import types as T
 
 from meterline.llm import common
 
-#: Independent walks; output positions of a walk; positions that one hash samples.
-WALKS, STEPS, SAMPLED = 3, 20, 8
+#: Independent walks, each with output positions and how many of them its hash samples. A walk moves on at every second
+#: position on average: the short walks read about 6 words and serve the items of fewer than LONG words, the long ones
+#: about 14.
+WALKS = ((12, 8), (12, 8), (12, 8), (28, 12), (28, 12), (28, 12))
+LONG = 24
 #: Items of fewer words tell a leak from chance as little as any common phrase does.
 MIN_WORDS = 8
 #: Largest edit distance of a leak as a share of the item's characters.
@@ -38,15 +41,15 @@ def _walks(hashes: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
     A walk reads a word, copies it to the output and moves on only if the step's random bit of that word says so. Two
     windows that differ by a few inserted, dropped or changed words fall back into step, so their outputs differ in few
-    places. A hash takes SAMPLED of the STEPS output places. Behind a row's last word the walk reads padding.
+    places, and a hash takes only some of these. Behind a row's last word the walk reads padding.
     """
-    n = len(hashes)
-    padded = np.full(n + (int(row[-1]) + 1) * STEPS if n else 0, np.uint64(0x9D8A7C6B5F4E3D21))
-    start = np.arange(n) + row * STEPS
+    n, pad = len(hashes), max(steps for steps, _ in WALKS)
+    padded = np.full(n + (int(row[-1]) + 1) * pad if n else 0, np.uint64(0x9D8A7C6B5F4E3D21))
+    start = np.arange(n) + row * pad
     padded[start] = hashes
-    for w in range(WALKS):
+    for w, (steps, samples) in enumerate(WALKS):
         rng = np.random.default_rng(7919 + w)
-        sampled = set(rng.choice(STEPS, SAMPLED, replace=False).tolist())
+        sampled = set(rng.choice(steps, samples, replace=False).tolist())
         bits = common.mix(padded + np.uint64(w + 1)) if n else padded
         at, out = start.copy(), np.zeros(n, np.uint64)
         for step in range(max(sampled) + 1):
@@ -70,8 +73,10 @@ class Items:
         offset = np.arange(len(row)) - bounds[row] if len(row) else np.zeros(0, np.int64)
         usable = self.lengths[row] >= MIN_WORDS
         self.tables = []
-        for out, span in _walks(common.span_hashes(data, starts, ends), row):
-            keep = np.flatnonzero(usable & ((offset + span <= self.lengths[row]) | (offset == 0)))
+        long = self.lengths[row] >= LONG
+        for (steps, _), (out, span) in zip(WALKS, _walks(common.span_hashes(data, starts, ends), row), strict=True):
+            served = usable & (long == (steps > LONG))
+            keep = np.flatnonzero(served & ((offset + span <= self.lengths[row]) | (offset == 0)))
             keep = keep[np.argsort(out[keep], kind="stable")]
             known = np.zeros(_FILTER, bool)
             known[out[keep] & np.uint64(_FILTER - 1)] = True

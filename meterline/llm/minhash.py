@@ -179,11 +179,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
     2. The LISTED smallest hashes of a class go into inverted lists. Values are ordered from rare to frequent, and a
        class enters only as many lists as two linked classes need to meet in one, so a passage that many documents
        share makes no pairs, while copies do.
-    3. Every list compares its members with the one that has fewest values of its own; what that links is one
-       component already. Classes of a list that are still apart are then compared with each other, each pair in the
-       first list they share. Shingles that no other of these classes has bound what two classes can share, which
-       takes out nearly all members of large groups of looser copies; the union-sketch estimate filters the rest
-       inside the join.
+    3. Shingles that no other candidate has bound what two classes can share. Every list compares its most central
+       member, the one with fewest such shingles, with all members that this bound lets it link with; what that links
+       is one component already, and for copies of one original that is nearly all. Only classes of a list that are
+       still apart are then compared with each other, each pair in the first list they share, filtered by the same
+       bound and by the union-sketch estimate inside the join.
     4. Full sets confirm every link.
 
     A text without words has an empty set and stays alone. A null doc_id is never linked: its component_id is null
@@ -211,26 +211,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
     members = lists.join(classes.select("nid", "rep", "fp"), "nid").select("nid", "rep")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     sets = common.stored(full_sets(texts.join(members, "rep"), shingle).dropDuplicates(["nid", "n"]), "sets")
-    in_list = lists.select("nid", "n", "own", F.explode("lists").alias("v"))
-    heads = common.stored(
-        in_list.groupBy("v").agg(F.min(F.struct("own", "nid")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1"), "heads"
-    )
-    stars = in_list.join(heads.select("v", F.col("head.nid").alias("x")), "v").where("x <> nid")
-    stars = stars.select("x", F.col("nid").alias("y")).distinct()
+    alone = common.stored(_unshared(sets), "unshared")
+    central = lists.join(alone, "nid", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    in_list = common.stored(central.select("nid", "n", "u", F.explode("lists").alias("v")), "members")
+    heads = in_list.groupBy("v").agg(F.min(F.struct("u", "nid")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    heads = common.stored(heads.select("v", F.col("head.nid").alias("x"), F.col("head.u").alias("low")), "heads")
+    near = in_list.join(heads, "v").where(_room("u", "low", F.col("n") - F.col("u"), percent))
+    near = common.stored(near, "near-members")
+    stars = near.where("x <> nid").select("x", F.col("nid").alias("y")).distinct()
     links = _confirmed(stars, sets, percent, estimated=False)
     roots = common.stored(components(links), "roots")
 
     labelled = lists.join(roots.withColumnRenamed("node", "nid"), "nid", "left")
     labelled = common.stored(labelled.withColumn("root", F.coalesce("root", "nid")), "labelled")
-    spread = labelled.select("nid", "root", F.explode("lists").alias("v"))
-    first = common.stored(spread.join(common.stored(_apart(spread), "apart"), "v").select("nid", "v"), "apart")
-    alone = _unshared(sets.join(first.select("nid").distinct(), "nid", "left_semi"))
-    rows = first.join(labelled.select("nid", "n", "root", "lists"), "nid").join(common.stored(alone, "unshared"), "nid", "left")
-    rows = common.stored(rows.withColumn("u", F.coalesce("u", F.lit(0))), "apart-members")
-    least = common.stored(rows.groupBy("v").agg(F.min("u").alias("low")), "apart-least")
-    rows = common.stored(rows.join(least, "v").where(_room("u", "low", F.col("n") - F.col("u"), percent)).drop("low"), "apart-near")
+    rows = common.stored(near.join(labelled.select("nid", "root", "lists"), "nid"), "rooted-members")
     rows = rows.join(common.stored(_apart(rows), "apart"), "v").join(sets.select("nid", "sketch"), "nid")
-    rows = common.stored(rows, "apart-rest")
+    rows = common.stored(rows, "apart-members")
     left = rows.select("v", *[F.col(c).alias(f"{c}x") for c in ("nid", "n", "u", "root", "lists", "sketch")])
     right = rows.select("v", *[F.col(c).alias(f"{c}y") for c in ("nid", "n", "u", "root", "lists", "sketch")])
     meet = (

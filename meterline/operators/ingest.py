@@ -9,13 +9,15 @@ from meterline.functions import values as V
 from meterline.schemas import LANDING, MESSAGE_KEY
 
 BATCH_ROWS = 5000
+PARTITION_BITS, TOPIC_BITS = 20, 6
+SOURCE_BITS = PARTITION_BITS + TOPIC_BITS
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSSxxx"
 JSON_OF = f"to_json({{}}, map('ignoreNullFields', 'false', 'timestampFormat', '{TIME_FORMAT}'))"
 
 
 def require_column(df: DataFrame, name: str) -> None:
     if name not in df.columns:
-        raise ValueError(f"Timestamp column '{name}' not found. Available: {df.columns}")
+        raise ValueError(f"the trace lacks its time column {name}; its columns are {', '.join(df.columns)}")
 
 
 def prepare_trace(trace: DataFrame, time_col: str = "arrival_timestamp", ordered: bool = True) -> DataFrame:
@@ -32,10 +34,17 @@ def encode_messages(rows: DataFrame, key_col: str = "query_id") -> DataFrame:
     return rows.selectExpr(f"CAST({key_col} AS STRING) AS key", f"{JSON_OF.format('struct(*)')} AS value")
 
 
-# NULL unless the value is one JSON object. The parser stops at the closing brace; anything behind it
-# makes the document invalid.
-PAYLOAD = """CASE WHEN rtrim(CAST(value AS STRING)) LIKE '%}'
-    THEN from_json(CAST(value AS STRING), 'map<string,string>') END"""
+# NULL unless the value is one JSON object. It is read as the first of a list of two whose second is a mark: the
+# parser must get past the whole text to the mark, so anything else behind the object is an error. Of repeated names
+# the last one counts.
+_MARK = "end of message"
+_LISTED = f"""from_json(concat('[', CAST(value AS STRING), ',{{"{_MARK}":"1"}}]'), 'array<map<string,string>>')"""
+_LAST_NAMED = """map_from_arrays(array_distinct(map_keys(m)), transform(array_distinct(map_keys(m)),
+    k -> get(filter(map_entries(m), e -> e.key = k), size(filter(map_keys(m), n -> n = k)) - 1).value))"""
+PAYLOAD = f"""get(transform(
+    filter(array({_LISTED}), l -> size(l) = 2 AND get(l, 0) IS NOT NULL AND map_contains_key(get(l, 1), '{_MARK}')),
+    l -> get(transform(slice(l, 1, 1), m -> CASE WHEN size(map_keys(m)) = size(array_distinct(map_keys(m))) THEN m
+        ELSE {_LAST_NAMED} END), 0)), 0)"""
 
 
 def decode_messages(messages: DataFrame) -> DataFrame:
@@ -102,13 +111,21 @@ def land(messages: DataFrame, id_expr: str | None = None) -> DataFrame:
     )
 
 
-def arrival_id(partition_bits: int = 12) -> str:
-    """A stable id from (partition, offset): the same message gets the same id on every replay.
+def arrival_id(partition_bits: int = PARTITION_BITS, topics: tuple[str, ...] = ()) -> str:
+    """A stable id from (topic, partition, offset): the same message gets the same id on every replay.
 
-    Offsets take the high bits, so ids of one partition grow with its offsets. 12 bits hold 4096
-    partitions.
+    Offsets take the high bits, so ids of one source grow with its offsets; the low ``partition_bits`` + TOPIC_BITS
+    name the source and are what progress is kept by. ``topics`` numbers the topics of a landing table that holds
+    several. A partition, offset or topic that does not fit raises, rather than taking the id of another message.
     """
-    return f"(shiftleft(CAST(offset AS BIGINT), {partition_bits}) + CAST(partition AS BIGINT))"
+    bits = partition_bits + TOPIC_BITS
+    name = "coalesce(topic, '')"
+    listed = ", ".join(f"'{t}'" for t in topics)
+    topic = f"CAST(array_position(array({listed}), {name}) - 1 AS BIGINT)" if topics else "0L"
+    part, place = "CAST(coalesce(partition, 0) AS BIGINT)", "CAST(coalesce(offset, 0) AS BIGINT)"
+    fits = f"{part} BETWEEN 0 AND {(1 << partition_bits) - 1} AND {place} BETWEEN 0 AND {(1 << 63 - bits) - 1} AND {topic} BETWEEN 0 AND {(1 << TOPIC_BITS) - 1}"
+    return f"""CASE WHEN {fits} THEN shiftleft({place}, {bits}) + shiftleft({topic}, {partition_bits}) + {part}
+        ELSE CAST(raise_error('no id for this topic, partition and offset') AS BIGINT) END"""
 
 
 def first_deliveries(batch: DataFrame, landed: DataFrame, key: list[str] = MESSAGE_KEY) -> DataFrame:

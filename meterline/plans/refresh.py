@@ -13,10 +13,17 @@ arrive:
 * The first size an instance ever reports changes its earlier rows (backward fill), so the days since
   that instance appeared are rewritten.
 * KPIs are replaced from the earliest touched minute, or from the usual look-back if that is earlier.
+
+``refresh_log`` makes a refresh safe to repeat. Before its first write a batch notes the bounds it will rewrite from;
+after its last write it notes that it is done and the last id it took of each source. Progress is kept per source
+(broker topic and partition), so a source whose offsets lag behind the others loses nothing. If a batch is found open,
+the days from its bound on are computed again from the staged rows, which overwrites whatever it left half done, and the
+KPIs are replaced from its bound too. The log is only appended to, in single commits.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,26 +65,76 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(Layout(root).path(table))
 
 
+LOG = "batch STRING, state STRING, source LONG, last_id LONG, since_minute LONG, since_window LONG"
+
+
+def _note(spark: SparkSession, lay: Layout, rows: list[tuple], mode: str = "append") -> None:
+    """Log rows in one file, so that all of them appear or none."""
+    spark.createDataFrame(rows, LOG).coalesce(1).write.mode(mode).parquet(lay.path("refresh_log"))
+
+
+def source_of(source_bits: int, id_col: str = "raw_id") -> str:
+    """The source in the low bits of an id; without such bits all rows are one source."""
+    return f"({id_col} & {(1 << source_bits) - 1}L)" if source_bits else "0L"
+
+
+def _last_ids(rows: DataFrame, source_bits: int) -> list[tuple[int, int]]:
+    """Source and largest id: one row per broker partition."""
+    return [tuple(r) for r in rows.groupBy(F.expr(source_of(source_bits)).alias("s")).agg(F.max("raw_id")).collect()]
+
+
+def _fresh(staged: DataFrame, log: DataFrame, source_bits: int) -> DataFrame:
+    """Staged rows beyond the last id taken of their source."""
+    done = log.where("state = 'done' AND source IS NOT NULL").groupBy("source").agg(F.max("last_id").alias("_last"))
+    if not source_bits:
+        last = done.first()
+        return staged if last is None else bounds.new_rows(staged, last["_last"])
+    numbered = staged.withColumn("source", F.expr(source_of(source_bits))).join(done, "source", "left")
+    return numbered.where("_last IS NULL OR raw_id > _last").select(*staged.columns)
+
+
+def _open(log: DataFrame) -> tuple[list[str], int | None, int | None]:
+    """Batches begun and not done, and the earliest bounds they rewrite from (None: everything)."""
+    rows = (
+        log.groupBy("batch")
+        .agg(*exprs("count_if(state = 'done') AS n", "min(since_minute) AS minute", "min(since_window) AS window"))
+        .where("n = 0")
+        .collect()
+    )
+    minutes, windows = [r["minute"] for r in rows], [r["window"] for r in rows]
+    everything = not rows or None in minutes
+    return [r["batch"] for r in rows], None if everything else min(minutes), None if everything else min(windows)
+
+
 def store_staged(landing: DataFrame, root: str, last: int = 0) -> DataFrame:
     """Parse landing rows with ids above ``last`` once into the ``staged`` table, and read that table.
 
-    A refresh reads its input several times; JSON should not be parsed as often.
+    A refresh reads its input several times; JSON should not be parsed as often. Rows that an earlier attempt
+    has stored are not stored again.
     """
     path = Layout(root).path("staged")
-    staged = stage_events(bounds.new_rows(landing, last, "id"))
-    write = tables.append_by_day if last else tables.write_by_day
-    write(staged, path, "arrival_timestamp")
-    return landing.sparkSession.read.parquet(path).drop(tables.PARTITION)
+    spark = landing.sparkSession
+    fresh = bounds.new_rows(landing, last, "id")
+    if tables.table_exists(spark, path):
+        stored = bounds.new_rows(spark.read.parquet(path), last).select(F.col("raw_id").alias("id"))
+        tables.append_by_day(stage_events(fresh.join(stored, "id", "left_anti")), path, "arrival_timestamp")
+    else:
+        tables.write_by_day(stage_events(fresh), path, "arrival_timestamp")
+    return spark.read.parquet(path).drop(tables.PARTITION)
 
 
-def full_refresh(staged: DataFrame, root: str, **slicing) -> None:
+def full_refresh(staged: DataFrame, root: str, source_bits: int = 0, **slicing) -> None:
     """Every table from scratch."""
     spark = staged.sparkSession
     lay = Layout(root)
+    batch = uuid.uuid4().hex
+    last = _last_ids(staged, source_bits)
+    _note(spark, lay, [(batch, "open", None, None, None, None)], mode="overwrite")
     clean = fill_cluster_size(enrich(staged), **slicing).select(*STORED_COLUMNS)
     tables.write_by_day(clean, lay.path("clean"), "arrival_timestamp")
     _store_instance_days(spark, lay, None)
     _refresh_kpis(spark, lay, bounds.gate_of(read(spark, root, "clean")), None, None)
+    _note(spark, lay, [(batch, "done", None, None, None, None), *[(batch, "done", s, i, None, None) for s, i in last]])
 
 
 def incremental_refresh(
@@ -85,52 +142,68 @@ def incremental_refresh(
     root: str,
     minute_lookback: int = bounds.MINUTE_LOOKBACK,
     window_lookback: int = bounds.WINDOW_LOOKBACK,
+    source_bits: int = 0,
     **slicing,
 ) -> bool:
-    """Add the staged rows with ids above the stored ones. False if there are none."""
+    """Add the staged rows beyond those taken of their source. False if there are none and no batch is open.
+
+    ``source_bits`` low bits of raw_id name the source; landed messages have ``ingest.SOURCE_BITS``. A redo reads
+    the days it rewrites from ``staged``, which must still hold them.
+    """
     spark = staged.sparkSession
     lay = Layout(root)
-    if not tables.table_exists(spark, lay.path("clean")):
-        full_refresh(staged, root, **slicing)
+    if not tables.table_exists(spark, lay.path("refresh_log")):
+        full_refresh(staged, root, source_bits, **slicing)
         return True
-    days = read(spark, root, "instance_days")
-    old = days.selectExpr(
-        "max(last_id) AS last", "max(newest) AS newest", "count_if(day IS NULL) AS untimed"
-    ).first()
-    if old["newest"] is None:
-        full_refresh(staged, root, **slicing)
+    log = read(spark, root, "refresh_log")
+    unfinished, open_minute, open_window = _open(log)
+    days = read(spark, root, "instance_days") if not unfinished or open_minute is not None else None
+    old = None if days is None else days.selectExpr("max(newest) AS newest", "count_if(day IS NULL) AS untimed").first()
+    if old is None or old["newest"] is None:
+        full_refresh(staged, root, source_bits, **slicing)
         return True
-    fresh = enrich(bounds.new_rows(staged, old["last"]))
+    taken = _fresh(staged, log, source_bits)
+    last = _last_ids(taken, source_bits)
+    if not last and not unfinished:
+        return False
+    fresh = enrich(taken)
     new = fresh.selectExpr(
-        "count(*) AS n",
-        "unix_micros(min(arrival_timestamp)) AS first",
-        "unix_micros(max(arrival_timestamp)) AS newest",
+        "unix_micros(min(arrival_timestamp)) AS first", "unix_micros(max(arrival_timestamp)) AS newest"
     ).first()
-    if not new["n"]:
-        return False
 
     # rows without a time stay last in the fill order, so they are refilled with any batch
     touched = old["newest"] if new["first"] is None else new["first"]
     newest = max(old["newest"], new["newest"] or old["newest"])
-    in_order = not old["untimed"] and new["first"] is not None and new["first"] >= old["newest"]
+    in_order = not unfinished and not old["untimed"] and new["first"] is not None and new["first"] >= old["newest"]
     reach = _backfill_start(fresh, days, touched, in_order)
-    if in_order and reach is None:
+    append = in_order and reach is None
+    touched = min(t for t in (touched, reach, open_minute) if t is not None)
+    minute, window = touched - touched % MINUTE_MICROS, touched
+    since_minute = min(minute, bounds.minutes_before(_gate(old["newest"]), minute_lookback))
+    since_window = min(window, bounds.minutes_before(old["newest"], window_lookback))
+    since_window -= since_window % WINDOW_MICROS
+    if unfinished:
+        # whole days: a day that the open batch left half replaced is not read back
+        since_minute = min(since_minute, open_minute) // DAY_MICROS * DAY_MICROS
+        since_window = min(since_window, open_window) // DAY_MICROS * DAY_MICROS
+
+    batch = uuid.uuid4().hex
+    _note(spark, lay, [(batch, "open", None, None, since_minute, since_window)])
+    if append:
         rows = fill_cluster_size(fresh, seeds=_seeds(days, None), **slicing).select(*STORED_COLUMNS)
         tables.append_by_day(rows, lay.path("clean"), "arrival_timestamp")
     else:
-        touched = touched if reach is None else min(touched, reach)
-        first_day = touched - touched % DAY_MICROS
-        again = _from_day(read(spark, root, "clean"), first_day).select(*fresh.columns)
-        rows = fill_cluster_size(
-            again.unionByName(fresh), seeds=_seeds(days, first_day), **slicing
-        ).select(*STORED_COLUMNS)
+        first_day = touched // DAY_MICROS * DAY_MICROS
+        if unfinished:
+            again = enrich(staged.where(f"arrival_timestamp >= {bounds.at(first_day)} OR arrival_timestamp IS NULL"))
+        else:
+            again = _from_day(read(spark, root, "clean"), first_day).select(*fresh.columns).unionByName(fresh)
+        rows = fill_cluster_size(again, seeds=_seeds(days, first_day), **slicing).select(*STORED_COLUMNS)
         tables.overwrite_days(rows, lay.path("clean"), "arrival_timestamp")
     _store_instance_days(spark, lay, touched)
-
-    minute = touched - touched % MINUTE_MICROS
-    since_minute = min(minute, bounds.minutes_before(_gate(old["newest"]), minute_lookback))
-    since_window = min(touched, bounds.minutes_before(old["newest"], window_lookback))
-    _refresh_kpis(spark, lay, _gate(newest), since_minute, since_window - since_window % WINDOW_MICROS)
+    _refresh_kpis(spark, lay, _gate(newest), since_minute, since_window)
+    done = [(b, "done", None, None, None, None) for b in (batch, *unfinished)]
+    _note(spark, lay, done + [(batch, "done", s, i, None, None) for s, i in last])
     return True
 
 

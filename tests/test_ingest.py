@@ -28,8 +28,9 @@ def test_prepare_drops_bad_times_and_sorts(spark):
 
 
 def test_only_whole_json_objects_are_accepted(spark):
-    good = ['{"a":1}', ' {"a":{"b":2}} ', "{}"]
-    bad = ["", "null", "12", "[1]", '[{"a":1}]', "{bad", '{"a":1} x', None]
+    good = ['{"a":1}', ' {"a":{"b":2}} ', "{}", '{"a":1}\n', '{"a":1}\t', '{"a":1,"a":2}']
+    bad = ["", "null", "12", "[1]", '[{"a":1}]', "{bad", '{"a":1} x', None, '{"a":1}{"b":2}', '{"a":1} x}', '{"a":1},{"b":2}']
+    bad += ['{"a":1}],[{"b":1}', '{"a":1},', "]"]
     decoded = ingest.decode_messages(messages(spark, *good, *bad))
     assert decoded.where("payload IS NOT NULL").count() == ingest.accepted(decoded).count() == len(good)
     assert ingest.rejected(decoded).count() == len(bad)
@@ -44,6 +45,21 @@ def test_nonfinite_tokens_become_null_at_any_depth(spark):
     assert got["_kafka_topic"] == "t" and got["_kafka_offset"] == "0" and got["_kafka_key"] == "0"
 
 
+def test_of_repeated_names_the_last_counts_and_nothing_stops(spark):
+    event = ingest.land(messages(spark, '{"a":1,"b":0,"a":2}')).first().event
+    assert json.loads(event)["a"] == "2"
+
+
+def test_ids_name_topic_and_partition(spark):
+    rows = [("t", 4096, 5), ("t", 0, 6), ("t", 0, 5), ("u", 0, 5), ("u", 1_000_000, 5)]
+    df = spark.createDataFrame(rows, "topic STRING, partition INT, offset BIGINT")
+    ids = [r[0] for r in df.selectExpr(ingest.arrival_id(topics=("t", "u"))).collect()]
+    assert len(set(ids)) == len(rows)
+    for bad in (("t", 1 << 20, 1), ("other", 0, 1), ("t", 0, 1 << 40)):
+        with pytest.raises(Exception, match="no id for this"):
+            spark.createDataFrame([bad], df.schema).selectExpr(ingest.arrival_id(topics=("t", "u"))).collect()
+
+
 def test_typed_sanitizer_walks_structs_arrays_and_maps(spark):
     nan, inf = float("nan"), float("inf")
     schema = "a DOUBLE, s STRUCT<x: DOUBLE, y: STRING>, l ARRAY<DOUBLE>, m MAP<STRING, ARRAY<DOUBLE>>"

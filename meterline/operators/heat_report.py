@@ -54,35 +54,25 @@ def keep_clusters(cells: DataFrame, clusters: DataFrame) -> DataFrame:
     return cells.join(clusters.select("cluster"), "cluster", "left_semi")
 
 
-def heat_grid(cells: DataFrame, bucket_minutes: int) -> DataFrame:
+def heat_grid(cells: DataFrame) -> DataFrame:
     """Every kept cluster at every bucket that any of them has, 0 where a cluster has no value.
 
-    ``cluster_position`` orders clusters by their newest bucket. Each cluster generates its own buckets
-    over the grid's time span and keeps those that are present in the data.
+    ``cluster_position`` orders clusters by their value in the newest bucket. Each bucket is one row with the
+    values of its clusters, and gets the ordered cluster list (a few dozen names) from a one-row subquery, so
+    the work is linear in the buckets and spread over tasks.
     """
-    spread = cells.selectExpr(
-        "*",
-        "min(bucket_ts) OVER () AS lo",
-        "max(bucket_ts) OVER () AS hi",
-        "collect_set(bucket_ts) OVER () AS present",
-    )
-    own = spread.groupBy("cluster").agg(
-        *exprs(
-            "map_from_entries(collect_list(struct(bucket_ts, value))) AS own",
-            "first(lo) AS lo",
-            "first(hi) AS hi",
-            "first(present) AS present",
-        )
+    newest = cells.groupBy("cluster").agg(*exprs("max(bucket_ts) AS last", "max_by(value, bucket_ts) AS value"))
+    named = newest.groupBy().agg(
+        *exprs("collect_list(struct(cluster, last, value)) AS found", "max(last) AS hi")
     )
-    slots = f"filter(sequence(lo, hi, INTERVAL {bucket_minutes} MINUTES), b -> array_contains(present, b))"
-    grid = own.selectExpr(
-        "cluster", "own", "coalesce(own[hi], 0D) AS newest", f"explode({slots}) AS bucket_ts"
+    ranked = "transform(found, c -> struct(if(c.last = hi, 0D - coalesce(c.value, 0D), 0D) AS below, c.cluster AS cluster))"
+    names = named.select(F.expr(f"transform(sort_array({ranked}), c -> c.cluster) AS names"))
+    buckets = cells.groupBy("bucket_ts").agg(
+        F.expr("map_from_entries(collect_list(struct(cluster, value))) AS own")
     )
+    grid = buckets.select("bucket_ts", "own", F.posexplode(names.scalar()).alias("at", "cluster"))
     return grid.selectExpr(
-        "cluster",
-        "bucket_ts",
-        "coalesce(own[bucket_ts], 0D) AS value",
-        "dense_rank() OVER (ORDER BY newest DESC, cluster) AS cluster_position",
+        "cluster", "bucket_ts", "coalesce(own[cluster], 0D) AS value", "at + 1 AS cluster_position"
     )
 
 

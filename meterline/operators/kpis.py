@@ -9,6 +9,8 @@ from meterline.functions import exprs, timeops
 from meterline.functions.aggregates import as_double, ratio, score_sum, surrogate_key
 from meterline.operators import bounds
 
+PIECE_MINUTES = 1440  # no array of minutes is longer, however long a query runs
+
 MINUTE_KEY = surrogate_key(timeops.key_text("minute_ts"), "instance_id")
 WORKLOAD_KEY = surrogate_key(
     timeops.key_text("minute_ts"),
@@ -144,17 +146,25 @@ def _with_end_minute(clean: DataFrame, gate: int | None) -> DataFrame:
     )
 
 
+def _pieces(first: str, last: str) -> str:
+    """Array of (lo, hi) pieces of at most ``PIECE_MINUTES`` minutes that cover ``first`` to ``last``."""
+    end = timeops.plus_minutes("p", PIECE_MINUTES - 1)
+    starts = f"sequence({first}, {last}, INTERVAL {PIECE_MINUTES} MINUTES)"
+    return f"transform({starts}, p -> struct(p AS lo, least({end}, {last}) AS hi))"
+
+
 def active_minutes(clean: DataFrame, gate: int | None) -> DataFrame:
     """One row per query and minute it runs in, both ends included; reversed or unknown ends give none."""
     return (
         _with_end_minute(clean, gate)
         .where("end_minute >= minute_ts")
+        .selectExpr("*", f"explode({_pieces('minute_ts', 'end_minute')}) AS piece")
         .selectExpr(
             "raw_id",
             "instance_id",
             "minute_ts AS start_minute",
             "end_minute",
-            "explode(sequence(minute_ts, end_minute, INTERVAL 1 MINUTE)) AS minute_ts",
+            "explode(sequence(piece.lo, piece.hi, INTERVAL 1 MINUTE)) AS minute_ts",
         )
     )
 
@@ -198,8 +208,10 @@ def minute_concurrency(clean: DataFrame, gate: int | None, since: int | None = N
     )
     gap_start, gap_end = timeops.plus_minutes("minute_ts", 1), timeops.plus_minutes("next_ts", -1)
     gap = f"""CASE WHEN after > 0 AND {gap_end} >= {gap_start}
-        THEN sequence({gap_start}, {gap_end}, INTERVAL 1 MINUTE) ELSE array() END"""
-    slots = stepped.selectExpr("*", f"explode(concat(array(minute_ts), {gap})) AS slot")
+        THEN {_pieces(gap_start, gap_end)} ELSE array() END"""
+    own_slot = "array(struct(minute_ts AS lo, minute_ts AS hi))"
+    pieces = stepped.selectExpr("*", f"explode(concat({own_slot}, {gap})) AS piece")
+    slots = pieces.selectExpr("*", "explode(sequence(piece.lo, piece.hi, INTERVAL 1 MINUTE)) AS slot")
     marked = "slot = minute_ts"
     # a query that ends in a minute still ran in it
     counted = slots.selectExpr(

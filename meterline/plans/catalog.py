@@ -576,19 +576,19 @@ def rep_time_bucket(spark, sf_dir):
 
 @query
 def rep_heat_grid(spark, sf_dir):
-    return heat_report.heat_grid(_heat_cells(spark, sf_dir), HEAT_BUCKET)
+    return heat_report.heat_grid(_heat_cells(spark, sf_dir))
 
 
 @query
 def rep_heat_normalized(spark, sf_dir):
     return heat_report.normalize_per_cluster(
-        heat_report.heat_grid(_heat_cells(spark, sf_dir), HEAT_BUCKET)
+        heat_report.heat_grid(_heat_cells(spark, sf_dir))
     )
 
 
 @query
 def rep_heat_scaled(spark, sf_dir):
-    return heat_report.heat_scale(heat_report.heat_grid(_heat_cells(spark, sf_dir), HEAT_BUCKET))
+    return heat_report.heat_scale(heat_report.heat_grid(_heat_cells(spark, sf_dir)))
 
 
 @query

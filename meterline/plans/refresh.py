@@ -230,6 +230,7 @@ def _store_instance_days(spark: SparkSession, lay: Layout, touched: int | None)
                 f"{LAST_SIZE} AS last_size",
                 "max(raw_id) AS last_id",
                 "unix_micros(max(arrival_timestamp)) AS newest",
+                "coalesce(unix_micros(max(query_end_timestamp)), unix_micros(max(arrival_timestamp)), 0L) AS latest_end",
             )
         )
     )
@@ -278,13 +279,26 @@ def _backfill_start(
     return changed.selectExpr("unix_micros(CAST(min(since) AS TIMESTAMP)) AS m").first()["m"]
 
 
+def still_running(clean: DataFrame, days: DataFrame, minute: int) -> DataFrame:
+    """``clean`` from the first day on that has a query ending at ``minute`` or later (or ``minute``'s own day).
+
+    Earlier days are not listed or read. Days stored without their latest end are kept.
+    """
+    if "latest_end" not in days.columns:
+        return clean
+    open_days = days.where(f"day IS NOT NULL AND (latest_end IS NULL OR latest_end >= {minute})")
+    first = open_days.selectExpr("unix_micros(CAST(min(day) AS TIMESTAMP)) AS m").first()["m"]
+    return clean.where(f"event_date >= to_date({bounds.at(min(minute, minute if first is None else first))})")
+
+
 def _refresh_kpis(
     spark: SparkSession, lay: Layout, gate: int | None, minute: int | None, window: int | None
 ) -> None:
     clean = spark.read.parquet(lay.path("clean"))
+    running = clean if minute is None else still_running(clean, read(spark, lay.root, "instance_days"), minute)
     fresh = {
         "minute_cluster_workload": lambda: kpis.minute_cluster_workload(clean, gate, minute),
-        "minute_concurrency_cluster": lambda: kpis.minute_concurrency(clean, gate, minute),
+        "minute_concurrency_cluster": lambda: kpis.minute_concurrency(running, gate, minute),
         "minute_query_efficiency": lambda: kpis.minute_query_efficiency(clean, gate, minute),
         "minute_shadow_cost": lambda: kpis.minute_shadow_cost(clean, gate, minute),
         "leaderboard_15m": lambda: leaderboard(clean, since=window),

@@ -3,9 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from meterline.operators import bounds, clean, fill, kpis, leaderboard
+from meterline.operators import bounds, clean, fill, heat_report, kpis, leaderboard
 from meterline.operators.staging import stage_trace
 from meterline.plans import refresh
 from meterline.sources.telemetry import as_trace, read_events
@@ -60,6 +61,29 @@ def test_kpis_scan_once_and_prune(stored, table, unused):
     assert "event_date" in re.search(r"PartitionFilters: \[(.*?)\]", text, re.S).group(1)
 
 
+def test_incremental_concurrency_reads_only_days_that_still_run(stored):
+    gate = bounds.gate_of(stored)
+    start = bounds.minutes_before(gate, 2880)
+    days = stored.groupBy(F.to_date("arrival_timestamp").alias("day")).agg(
+        F.expr("unix_micros(max(query_end_timestamp)) AS latest_end")
+    )
+    running = refresh.still_running(stored, days, start)
+    text = plan(kpis.minute_concurrency(running, gate, start))
+    assert re.search(r"event_date#\d+ >= ", re.search(r"PartitionFilters: \[(.*?)\]", text, re.S).group(1))
+    full, pruned = (kpis.minute_concurrency(rows, gate, start) for rows in (stored, running))
+    assert full.count() == pruned.count() > 0 and full.exceptAll(pruned).isEmpty()
+
+
+def test_heat_grid_has_no_window_over_cells(spark):
+    cells = spark.createDataFrame(
+        [("1", 0, 2.0), ("1", 600, 1.0), ("2", 600, 5.0)], "cluster string, t long, value double"
+    ).selectExpr("cluster", "timestamp_seconds(t) AS bucket_ts", "value")
+    grid = heat_report.heat_grid(cells)
+    assert "Window" not in plan(grid) and "CartesianProduct" not in plan(grid)
+    got = sorted((r["cluster"], r["bucket_ts"].minute, r["value"], r["cluster_position"]) for r in grid.collect())
+    assert got == [("1", 0, 2.0, 2), ("1", 10, 1.0, 2), ("2", 0, 0.0, 1), ("2", 10, 5.0, 1)]
+
+
 def test_sliced_fill_shuffles_the_rows_once(stored):
     """The window and the join of carried sizes share one hash partitioning."""
     spark = stored.sparkSession

@@ -191,7 +191,7 @@ def test_heat_grid_normalization_and_shades(spark):
     assert {(r.cluster, r.value) for r in cells.collect() if r.bucket_ts.minute == 0} == {("1", 6.0), ("2", 3.0), ("3", 0.5)}
     top = heat.top_clusters(cells, 2)
     assert [(r.cluster, r.total) for r in top.collect()] == [("2", 11.0), ("1", 7.0)]
-    grid = heat.heat_grid(heat.keep_clusters(cells, top), 5).persist()
+    grid = heat.heat_grid(heat.keep_clusters(cells, top)).persist()
     got = {(r.cluster, r.bucket_ts.minute): (r.value, r.cluster_position) for r in grid.collect()}
     # the bucket of cluster 3 alone (minute 10) is not part of the grid
     assert got == {("1", 0): (6.0, 2), ("1", 5): (1.0, 2), ("1", 30): (0.0, 2), ("2", 0): (3.0, 1), ("2", 5): (0.0, 1), ("2", 30): (8.0, 1)}
@@ -214,7 +214,7 @@ def test_heat_grid_normalization_and_shades(spark):
 
 def test_constant_cluster_normalizes_to_zero(spark):
     cells = heat.bucket_totals(table(spark, [(0.0, 1, 5.0), (7.0, 1, 5.0)], "m DOUBLE, instance_id INT, v DOUBLE"), "v", 5)
-    assert {r.value for r in heat.normalize_per_cluster(heat.heat_grid(cells, 5)).collect()} == {0.0}
+    assert {r.value for r in heat.normalize_per_cluster(heat.heat_grid(cells)).collect()} == {0.0}
 
 
 def test_per_minute_mean(spark):

@@ -8,13 +8,10 @@ Only one forward pass is needed for both directions: every row a forward fill ca
 the instance's first known size, so its backward fill *is* that first size. (A window running from the
 current row to the end would cost O(n^2) in Spark.)
 
-One instance may own a third of all rows, so the pass is cut into slices when it has to be:
-
-* ``instance``: one window per instance. Used only if the whole input is below ``slice_rows``.
-* ``cells``: one window per (instance, hour); last/first known sizes per cell are carried across cells
-  by a window over that small summary.
-* ``slices``: as ``cells``, and cells above ``slice_rows`` are cut further at quantiles of their own
-  (time, id) order, so that no task sorts more than about ``slice_rows`` rows.
+One instance may own a third of all rows, so no window runs over an instance. There is one plan for
+every size: rows are windowed per (instance, hour) cell, cells above ``slice_rows`` are cut at quantiles
+of their own (time, id) order, and last/first known sizes per slice are carried across slices by a window
+over that small summary. No count runs first: whether a cell is cut is decided inside the plan.
 """
 
 from __future__ import annotations
@@ -49,19 +46,6 @@ def attach_median(rows: DataFrame, medians: DataFrame | None = None) -> DataFram
     return rows.join(medians, "instance_id", "left")
 
 
-def choose_strategy(rows: DataFrame, slice_rows: int = SLICE_ROWS, cell: str = CELL_UNIT) -> str:
-    """Pick the slicing by measured sizes: a row count, then (only above it) the largest cell."""
-    if rows.count() <= slice_rows:
-        return "instance"
-    largest = (
-        rows.groupBy("instance_id", F.expr(f"date_trunc('{cell}', arrival_timestamp)"))
-        .agg(F.count("*").alias("n"))
-        .agg(F.max("n").alias("n"))
-        .first()["n"]
-    )
-    return "cells" if largest <= slice_rows else "slices"
-
-
 def forward_fill(rows: DataFrame, out: str = "cluster_size_ff", **slicing) -> DataFrame:
     """Last known size at or before each row."""
     known = with_known_sizes(rows, **slicing)
@@ -96,7 +80,6 @@ def fill_cluster_size(
 
 def with_known_sizes(
     rows: DataFrame,
-    strategy: str = "auto",
     slice_rows: int = SLICE_ROWS,
     cell: str = CELL_UNIT,
     reverse: bool = False,
@@ -105,22 +88,13 @@ def with_known_sizes(
 
     With ``reverse`` both are taken in descending order.
     """
-    if strategy == "auto":
-        strategy = choose_strategy(rows, slice_rows, cell)
     order = _row_order(reverse)
-    if strategy == "instance":
-        w = Window.partitionBy("instance_id").orderBy(*order)
-        return _windowed(rows, w).withColumn("_last_known", F.col("_local"))
-
     keyed = rows.selectExpr(
         "*",
         f"coalesce(CAST(instance_id AS BIGINT), {NO_INSTANCE}) AS _instance",
         f"coalesce(unix_micros(date_trunc('{cell}', arrival_timestamp)), {NO_TIME}L) AS _cell",
     )
-    if strategy == "slices":
-        keyed = _cut_hot_cells(keyed, slice_rows, cell)
-    else:
-        keyed = keyed.selectExpr("*", "0 AS _slice")
+    keyed = _cut_hot_cells(keyed, slice_rows, cell)
 
     place = ["_instance", "_cell", "_slice"]
     carried = _carry(keyed, place, reverse)
@@ -142,16 +116,6 @@ def _running(w):
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _windowed(rows: DataFrame, w) -> DataFrame:
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumns(
-        {
-            "_local": F.last("cluster_size", ignorenulls=True).over(_running(w)),
-            "_first_known": F.first("cluster_size", ignorenulls=True).over(whole),
-        }
-    )
-
-
 # One decimal orders (time, id): struct orderings would force a sort-based aggregate.
 POSITION = """CAST(CAST(coalesce(unix_micros(arrival_timestamp), 0L) AS DECIMAL(19,0))
     * CAST('10000000000000000000' AS DECIMAL(20,0)) + CAST(raw_id AS DECIMAL(19,0)) AS DECIMAL(38,0))"""

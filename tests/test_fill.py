@@ -40,15 +40,15 @@ def frame(spark, rows):
 @pytest.mark.parametrize(
     "slicing",
     [
-        dict(strategy="instance"),
-        dict(strategy="cells"),
-        dict(strategy="slices", slice_rows=5),
-        dict(strategy="slices", slice_rows=7, cell="day"),
+        dict(),
+        dict(cell="minute"),
+        dict(slice_rows=5),
+        dict(slice_rows=7, cell="day"),
         dict(slice_rows=20),
     ],
     ids=str,
 )
-def test_every_strategy_equals_plain_scans(spark, seed, slicing):
+def test_every_slicing_equals_plain_scans(spark, seed, slicing):
     rows = random_rows(seed)
     df = frame(spark, rows).persist()
     want = brute_force(rows)
@@ -58,11 +58,12 @@ def test_every_strategy_equals_plain_scans(spark, seed, slicing):
     assert {k: (ff[k], bf[k], clean[k]) for k in want} == want
 
 
-def test_strategy_follows_measured_sizes(spark):
-    df = frame(spark, random_rows(3)).persist()
-    assert fill.choose_strategy(df, 1000) == "instance"
-    assert fill.choose_strategy(df, 100) == "cells"
-    assert fill.choose_strategy(df, 10) == "slices"
+def test_building_the_plan_runs_no_job(spark):
+    df = frame(spark, random_rows(3))
+    tracker = spark.sparkContext.statusTracker()
+    before = max(tracker.getJobIdsForGroup(None), default=-1)
+    fill.fill_cluster_size(df)
+    assert max(tracker.getJobIdsForGroup(None), default=-1) == before
 
 
 def test_hot_instant_is_cut_by_id(spark):

@@ -5,10 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from meterline.operators import bounds, clean, fill, heat_report, kpis, leaderboard
 from meterline.operators.staging import stage_trace
-from meterline.plans import refresh
+from meterline.plans import catalog, refresh
 from meterline.sources.telemetry import as_trace, read_events
 
 
@@ -23,12 +22,12 @@ def stored(spark, staged, tmp_path_factory):
     return refresh.read(spark, root, "clean")
 
 
-BATCH = [n for n in contract.queries() if not n.startswith("stream_")]
+BATCH = [n for n in catalog.REGISTRY if not n.startswith("stream_")]
 
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_cross_join_and_no_python(spark, sf_dir, name):
-    text = plan(contract.queries()[name](spark, sf_dir))
+    text = plan(catalog.REGISTRY[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "Python" not in text and "Pandas" not in text
 
@@ -91,7 +90,7 @@ def test_sliced_fill_shuffles_the_rows_once(stored):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         rows = stored.select("raw_id", "instance_id", "arrival_timestamp", "cluster_size", "heavy_unit")
-        text = plan(fill.fill_cluster_size(rows, strategy="cells"))
+        text = plan(fill.fill_cluster_size(rows))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     wide = [line for line in text.splitlines() if "Exchange hashpartitioning(_instance" in line and "_slice" in line]

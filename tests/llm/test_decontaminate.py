@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from meterline.llm import decontaminate
@@ -83,3 +84,46 @@ def test_edge_rows(spark, docs, none, rows, bench):
     assert decontaminate.without_leaks(docs, table).columns == docs.columns
     assert decontaminate.find_leaks(none, table).collect() == []
     assert decontaminate.find_leaks(docs, table.limit(0)).collect() == []
+
+
+def worn(rng, words, share, evenly):
+    """``words`` with a typo (a letter changed, dropped or added) in a share of them."""
+    n, out = max(1, round(share * len(words))), list(words)
+    at = [(2 * k + 1) * len(words) // (2 * n) for k in range(n)] if evenly else rng.sample(range(len(words)), n)
+    for k in at:
+        w, x = out[k], rng.randrange(len(out[k]))
+        out[k] = w[:x] + rng.choice(["", "q", "q" + w[x]]) + w[x + 1 :]
+    return [w for w in out if w]
+
+
+def damaged(rng, text, share):
+    """``text`` with edits of single letters, scattered over it."""
+    for x in sorted(rng.sample(range(len(text)), int(share * len(text))), reverse=True):
+        text = text[:x] + rng.choice(["", "q", "q" + text[x]]) + text[x + 1 :]
+    return text
+
+
+def recall(items, copies, rng):
+    texts = [" ".join([*prose(rng, 20), c, *prose(rng, 20)]) for _, c in copies]
+    near = {(n, i) for n, (i, _) in enumerate(copies) if decontaminate.least_edits(items.chars[i], texts[n]) <= items.limits[i]}
+    found = {(r, i) for r, i, _ in decontaminate.leaks(pa.array(texts), items, 0.2)}
+    return len(near & found) / len(near)
+
+
+@pytest.mark.parametrize("n", [8, 24, 30, 40])
+def test_recall_of_typos_in_words(n):
+    rng = random.Random(n)
+    bench = [prose(rng, n) for _ in range(60)]
+    items = decontaminate.Items(list(range(60)), [" ".join(w) for w in bench])
+    for share in (0.1, 0.2):
+        for evenly in (False, True):
+            assert recall(items, [(i, " ".join(worn(rng, w, share, evenly))) for i, w in enumerate(bench)], rng) == 1
+
+
+@pytest.mark.parametrize("n", [8, 24, 30, 40])
+def test_recall_of_scattered_edits_at_the_limit(n):
+    rng = random.Random(n)
+    bench = [" ".join(prose(rng, n)) for _ in range(100)]
+    items = decontaminate.Items(list(range(100)), bench)
+    copies = [(i, damaged(rng, t, 0.19)) for i, t in enumerate(bench) for _ in range(3)]
+    assert recall(items, copies, rng) >= 0.98

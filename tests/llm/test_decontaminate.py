@@ -127,3 +127,32 @@ def test_recall_of_scattered_edits_at_the_limit(n):
     items = decontaminate.Items(list(range(100)), bench)
     copies = [(i, damaged(rng, t, 0.19)) for i, t in enumerate(bench) for _ in range(3)]
     assert recall(items, copies, rng) >= 0.98
+
+
+def test_short_items_are_found():
+    items = decontaminate.Items([1, 2, 3, 4], ["What is the capital of Peru?", "Lima", "the answer is forty-two", "in a b"])
+    texts = ["so: what is, the CAPITAL of peru then", "what is the kapital of peru", "near lima.", "limas", "answer is forty two", "in a b", "in ab"]
+    found = decontaminate.leaks(pa.array(texts), items, 0.2)
+    assert found == [(0, 0, 0), (1, 0, 1), (2, 1, 0), (4, 2, 4), (5, 3, 0)]
+
+
+def test_scripts_without_blanks():
+    rng = random.Random(3)
+    item = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200))
+    thai = "".join(chr(rng.randrange(0xE01, 0xE2E)) for _ in range(60))
+    changed = list(item)
+    for x in range(5, 200, 10):
+        changed[x] = "猫"
+    items = decontaminate.Items([1, 2, 3], [item, thai, item[:6]])
+    texts = ["前文" + item + "后文", "前文，" + "".join(changed), item[:50] + "，" + item[50:] + "。", "x " + thai, "文" + item[:6], "文" * 300]
+    assert items.lengths.tolist() == [200, 60, 6]
+    found = decontaminate.leaks(pa.array(texts), items, 0.2)
+    assert [f for f in found if f[1] == 0] == [(0, 0, 0), (1, 0, sum(a != b for a, b in zip(item, changed, strict=True))), (2, 0, 0)]
+    assert (3, 1, 0) in found and (4, 2, 0) in found
+    assert not [f for f in found if f[0] == 5]
+
+
+def test_rows_do_not_run_into_each_other():
+    items = decontaminate.Items([1], ["one passage that is cut in two by the end of a row"])
+    assert decontaminate.leaks(pa.array(["one passage that is cut in", None, " two by the end of a row"]), items, 0.2) == []
+    assert decontaminate.leaks(pa.array(["", "x", "one passage that is cut in two by the end of a row", ""]), items, 0.2) == [(2, 0, 0)]

@@ -39,7 +39,10 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ep
     following = F.lead(F.col("_cap") / F.col("_w")).over(fill)
     full = F.col("_if") >= F.col("_cap") / F.col("_w")
     stops = full & (following.isNull() | (F.col("_if") < following))
-    named = named.withColumn("_level", F.coalesce(F.min(F.when(stops, F.col("_if"))).over(everything), F.col("_first")))
+    # with no source full the level is the first one; the last row stops in any case, so this comes before the stops
+    smallest = F.min(F.col("_cap") / F.col("_w")).over(everything)
+    stopped = F.min(F.when(stops, F.col("_if"))).over(everything)
+    named = named.withColumn("_level", F.when(F.col("_first") <= smallest, F.col("_first")).otherwise(F.coalesce(stopped, F.col("_first"))))
     target = F.least(F.col("_cap"), F.col("_level") * F.col("_w"))
     return named.select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(target).alias("target"))
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import sentencepiece
+import pytest
 from pyspark.sql import functions as F
 
 from meterline.llm import fertility, mixing, sharding
@@ -117,3 +118,28 @@ def test_mixed_documents(docs, none):
     words = sum(len(WORD.findall(r.text or "")) for r in mixed.collect())
     assert abs(words - taken) <= 1000
     assert mixing.mix_sources(none).collect() == [] and mixing.mixed_documents(none).collect() == []
+
+
+def level_targets(sizes, weights, share, epochs):
+    """Targets by filling up round after round."""
+    left, open_, out = sum(sizes.values()) * share, dict(zip(sorted(sizes), weights, strict=False)), {}
+    while open_:
+        level = left / sum(open_.values())
+        full = [s for s, w in open_.items() if epochs * sizes[s] < level * w]
+        if not full:
+            return out | {s: level * w for s, w in open_.items()}
+        for s in full:
+            out[s] = float(epochs * sizes[s])
+            left -= out[s]
+            del open_[s]
+    return out
+
+
+@pytest.mark.parametrize(
+    "sizes", [{"a": 100}, {"a": 450, "b": 200, "c": 350}, {"a": 500, "b": 167, "c": 333}, {"a": 10, "b": 900, "c": 90}, {"a": 1, "b": 1, "c": 998}]
+)
+def test_targets_are_level(spark, sizes):
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    found = {r.source: r.target for r in mixing.targets(table).collect()}
+    assert found == pytest.approx(level_targets(sizes, mixing.WEIGHTS, mixing.SHARE, mixing.EPOCHS))
+    assert sum(found.values()) == pytest.approx(min(mixing.SHARE, mixing.EPOCHS) * sum(sizes.values()))

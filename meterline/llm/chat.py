@@ -121,11 +121,13 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant", part
         return batch, int(part[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, part = [], 0, 0
+        held, size, part, given = [], 0, 0, None
         for batch in batches:
             for piece in common.slices(batch, "text", part_bytes):
                 if not piece.num_rows:
                     continue
+                if not held and part and piece.column("conv_id")[0] != given:
+                    part = 0  # what was given ended its conversation
                 last = piece.column("conv_id")[-1]
                 same = [i for i in range(piece.num_rows - 1, -1, -1) if piece.column("conv_id")[i] != last][:1]
                 cut = same[0] + 1 if same else 0
@@ -142,7 +144,7 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant", part
                     # one conversation alone is longer than a part: give what is here and go on in the next part
                     done, number = convert(pa.Table.from_batches(held), part)
                     yield done
-                    held, size, part = [], 0, number + 1
+                    held, size, part, given = [], 0, number + 1, last
         if held:
             yield convert(pa.Table.from_batches(held), part)[0]
 
@@ -209,7 +211,7 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 conv, part, data, lows, highs = (batch.column(c)[i].as_py() for c in ("conv_id", "part", "formatted", "loss_starts", "loss_ends"))
-                if part == 0:
+                if part == 0 or now is None or now[0] != conv:
                     if now:
                         rows.append(done())
                     now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]

@@ -164,3 +164,15 @@ def test_chat_round_trip(spark, docs):
         if part_bytes == 3000:
             assert max(r.part for r in formatted.collect()) > 10
     assert chat.digest_conversations(chat.format_conversations(data.limit(0))).collect() == []
+
+
+def test_neighbouring_conversations_of_one_long_turn(spark, docs):
+    rows = [(c, 0, "assistant", f"{c} " * 500) for c in range(12)] + [(None, 0, "assistant", "n " * 500)]
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(data, part_bytes=600)
+    assert sorted((-1 if r.conv_id is None else r.conv_id, r.part) for r in formatted.collect()) == [(c, 0) for c in range(-1, 12)]
+    found = {r.conv_id: r for r in chat.digest_conversations(formatted).collect()}
+    assert len(found) == 13
+    for conv, _, role, text in rows:
+        assert found[conv].n_turns == 1
+        assert found[conv].turns_sha256 == hashlib.sha256(f"{role}\n{text}\n".encode()).hexdigest()

@@ -27,6 +27,9 @@ BANDS: dict[str | None, tuple[float, float, float, float]] = {
     None: (0.3, 10.0, 0.9, 3.0),
 }
 
+#: n tokens have at most log2(n) bits, so short texts need only this share of that: 3.0 bits at 20 tokens, 4.2 from 64 on.
+SHARE_OF_MOST = 0.7
+
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _loaded: dict[int, tuple] = {}
@@ -146,9 +149,12 @@ def judge(measured: DataFrame, bands: dict[str | None, tuple[float, float, float
     bands = bands or BANDS
     base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
 
+    tokens = F.greatest(F.round(F.try_divide(F.col("word_chars"), F.col("chars_per_token"))), F.lit(1.0))
+
     def inside(band: tuple[float, float, float, float]):
         low, high, share, entropy = band
-        return F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= share) & (F.col("token_entropy") >= entropy)
+        least = F.least(F.lit(float(entropy)), F.log2(tokens) * SHARE_OF_MOST)
+        return F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= share) & (F.col("token_entropy") >= least)
 
     verdict = inside(bands[None])
     for lang, band in bands.items():
@@ -162,7 +168,8 @@ def quality(docs: DataFrame, vocabulary: str = VOCABULARY, bands=None) -> DataFr
 
     Words are runs without the bytes 0x20 and 0x09 to 0x0D; the tokeniser sees every word once per batch. Base: fewer
     than 20 words, or over 30% of the words in 8-word windows found twice, fails. Method: characters per token,
-    byte-fallback share and token entropy within the band of the document's language (null or unknown: the wide band).
+    byte-fallback share and token entropy within the band of the document's language (null or unknown: the wide band);
+    a short text needs SHARE_OF_MOST of the entropy its number of tokens allows, if that is less.
     A null or empty text has no words and fails. A ``docs`` without ``lang`` uses the wide band for all. Rows keep
     their number and columns; equal rows get equal verdicts.
     """

@@ -143,3 +143,15 @@ def test_targets_are_level(spark, sizes):
     found = {r.source: r.target for r in mixing.targets(table).collect()}
     assert found == pytest.approx(level_targets(sizes, mixing.WEIGHTS, mixing.SHARE, mixing.EPOCHS))
     assert sum(found.values()) == pytest.approx(min(mixing.SHARE, mixing.EPOCHS) * sum(sizes.values()))
+
+
+def test_short_plain_sentences_are_kept(spark, docs):
+    plain = [
+        "The committee said that the report of the board on the state of the roads in the city was late and that the mayor knew.",
+        "When the rain came to the valley the people of the town went up to the church on the hill and sat in the dark.",
+        "He told the man at the door of the house that the key to the box was in the drawer of the desk in the hall.",
+    ]
+    junk = ["buy now " * 15, "a b c a b c a b c a b c a b c a b c a b c a b c", "spam " * 30]
+    data = spark.createDataFrame([(n, t, "en") for n, t in enumerate(plain + junk)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in fertility.quality(data).where("kept").collect()}
+    assert kept == {0, 1, 2}

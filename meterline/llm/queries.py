@@ -10,7 +10,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import boilerplate, chat, decontaminate, fertility, lattice, minhash, mixing, packing, sharding, warc
+from meterline.llm import boilerplate, chat, decontaminate, divergence, fertility, lattice, minhash, mixing, packing, sharding, warc
 from meterline.session import shared_dir
 
 SHARDS = 8
@@ -81,6 +81,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(turns.unionByName(more)))
 
 
+def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     _workers_find_us(spark)
     return corpus_pipeline.run(spark, sf_dir)
@@ -89,7 +93,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_minhash_near_dedup, op2_benchmark_decontamination, op3_rendezvous_sharding, op4_lattice_scoring, op5_tokeniser_fertility,
-        op6_warc_writer, op7_source_mixing, op8_best_fit_packing, op9_site_line_dedup, op10_chat_formatting, pipeline,
+        op6_warc_writer, op7_source_mixing, op8_best_fit_packing, op9_site_line_dedup, op10_chat_formatting,
+        op13_source_divergence_audit, pipeline,
     ]
     return {q.__name__: q for q in found}
 
@@ -156,7 +161,44 @@ SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(stays))::
 FROM kept
 """
 
+DIVERGENCE_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), token AS (
+    SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM token GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), sizes AS (
+    SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM token SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (
+    SELECT lang, source, sum(n)::HUGEINT AS total FROM counts GROUP BY ALL
+), grid AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * s.v))::BIGINT AS p,
+           (1 + (1000000000::HUGEINT * (k.n + 5)) // (s.total + 5 * s.v))::BIGINT AS q
+    FROM (SELECT DISTINCT lang, source FROM d) g
+    JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN counts c USING (lang, source, term)
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM grid WHERE n > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM every
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries whose results SQL can state; the others are tested against brute force."""
-    return {"op6_warc_writer": WARC_SQL, "op9_site_line_dedup": LINES_SQL, "op10_chat_formatting": CHAT_SQL}
+    return {
+        "op6_warc_writer": WARC_SQL, "op9_site_line_dedup": LINES_SQL, "op10_chat_formatting": CHAT_SQL,
+        "op13_source_divergence_audit": DIVERGENCE_SQL,
+    }

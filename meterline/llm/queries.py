@@ -10,7 +10,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import boilerplate, chat, decontaminate, divergence, fertility, lattice, minhash, mixing, packing, sharding, spelling, warc
+from meterline.llm import boilerplate, chat, decontaminate, divergence, fertility, lattice, minhash, mixing, packing, quality, sharding, spelling, warc
 from meterline.session import shared_dir
 
 SHARDS = 8
@@ -87,6 +87,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.count_words(_table(spark, sf_dir, "documents"), plant=PLANTED))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
+    labels = _table(spark, sf_dir, "labels").where(~held).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    scored = quality.score_documents(_table(spark, sf_dir, "documents"), labels.where("quality = 1"))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -100,7 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_minhash_near_dedup, op2_benchmark_decontamination, op3_rendezvous_sharding, op4_lattice_scoring, op5_tokeniser_fertility,
         op6_warc_writer, op7_source_mixing, op8_best_fit_packing, op9_site_line_dedup, op10_chat_formatting,
-        op11_spelling_variants, op13_source_divergence_audit, pipeline,
+        op11_spelling_variants, op12_quality_classifier, op13_source_divergence_audit, pipeline,
     ]
     return {q.__name__: q for q in found}
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from meterline.llm import common
 
 #: Most bins of a measure, ridge per trusted text, bytes of text measured at once, confidence of the prior's bound.
-BINS, RIDGE, BLOCK_BYTES, DELTA = 8, 10.0, 4 << 20, 0.1
+BINS, RIDGE, BLOCK_BYTES, DELTA = 8, 5.0, 4 << 20, 0.1
 #: Steps of the scale that scores are counted on for the class prior.
 STEPS = 2000
 
@@ -166,7 +166,7 @@ def least_risk(positive: np.ndarray, every: np.ndarray, prior: float, ridge: flo
     def solve(share: float) -> np.ndarray:
         """Least of prior * R+ + share * (Ru- - prior * Rp-) + ridge."""
         square = prior * (1 - share) * square_p + share * square_u
-        return np.linalg.solve(square + np.diag(2 * weight), prior * (1 + share) * mean_p - share * mean_u)
+        return np.linalg.solve(square + np.diag(4 * weight), prior * (1 + share) * mean_p - share * mean_u)
 
     w = solve(1.0)
     if risks(w)[1] >= 0:

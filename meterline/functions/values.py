@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# How the JSON reader hands over the bare tokens NaN and +-Infinity as text.
-NONFINITE_TOKENS = ('"NaN"', '"Infinity"', '"-Infinity"', '"+Infinity"', '"INF"', '"-INF"', '"+INF"')
-
-
 def empty_to_null(x: str) -> str:
     return f"nullif({x}, '')"
 

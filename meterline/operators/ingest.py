@@ -29,54 +29,75 @@ def prepare_trace(trace: DataFrame, time_col: str = "arrival_timestamp", ordered
     return timed.orderBy(time_col) if ordered else timed
 
 
-def encode_messages(rows: DataFrame, key_col: str = "query_id") -> DataFrame:
-    """``key`` (text of the id, NULL if missing) and ``value`` (the row as one JSON object)."""
-    return rows.selectExpr(f"CAST({key_col} AS STRING) AS key", f"{JSON_OF.format('struct(*)')} AS value")
+def encode_messages(rows: DataFrame, key_col: str = "query_id", left_out: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
+    """``key`` (text of the id, NULL if missing) and ``value`` (the row as one JSON object, without ``left_out`` columns).
 
+    ``keep`` keeps the row's own columns beside them.
+    """
+    fields = ", ".join(f"`{c}`" for c in rows.columns if c not in left_out)
+    pair = [f"CAST({key_col} AS STRING) AS key", f"{JSON_OF.format(f'struct({fields})')} AS value"]
+    return rows.selectExpr(*(["*"] if keep else []), *pair)
+
+
+# Blanks of JSON, and how a message says that it may hold a number that is not finite.
+_BLANKS = " \\t\\n\\r"
+_MAYBE_NONFINITE = "NaN|Inf|INF|[eE][+]?[0-9]{3}"
+# A token outside of strings that reads as not finite, and all that may stand before the next one.
+_NONFINITE = "[+-]?(?:NaN|Infinity|INF)|-?[0-9][0-9.]*[eE][+]?0*(?:309|3[1-9][0-9]|[4-9][0-9]{2}|[0-9]{4,})(?![0-9])"
+_FINITE = (
+    """[^"NI0-9+-]++|"(?:[^"\\\\\\\\]++|\\\\\\\\.)*+"|"""
+    f"(?!{_NONFINITE})(?:[+-]?[0-9][0-9.]*+(?:[eE][+-]?[0-9]++)?+|[+-])"
+)
+FINITE_TEXT = f"""CASE WHEN value RLIKE '{_MAYBE_NONFINITE}'
+    THEN regexp_replace(value, '\\\\G((?:{_FINITE})*+)(?:{_NONFINITE})', '$1null') ELSE value END"""
+STAMP = f"date_format(current_timestamp(), '{TIME_FORMAT}')"
+
+
+def _event(columns: list[str]) -> str:
+    """The message's object with its origin added, as a variant; anything but one JSON object gives no stamp.
+
+    The origin takes the place of the text's last brace, so one parse reads and adds. The parser stops behind the first
+    value of a text: unless that is the whole text, it has not seen this run's stamp.
+    """
+    have = {c: c if c in columns else "NULL" for c in ("topic", "partition", "offset", "key")}
+    origin = f"""named_struct('_ingest_ts_utc', {STAMP}, '_kafka_topic', {have["topic"]}, '_kafka_partition', CAST({have["partition"]} AS INT),
+        '_kafka_offset', CAST({have["offset"]} AS BIGINT), '_kafka_key', CAST({have["key"]} AS STRING))"""
+    ended = f"TRIM(TRAILING '{_BLANKS}' FROM value)"
+    body = f"TRIM(TRAILING '{_BLANKS}' FROM left({ended}, length({ended}) - 1))"
+    return f"""CASE WHEN {ended} LIKE '%}}' THEN try_parse_json(concat(
+        {body}, CASE WHEN {body} LIKE '%{{' THEN '' ELSE ',' END, substr({JSON_OF.format(origin)}, 2))) END"""
 
-# NULL unless the value is one JSON object. It is read as the first of a list of two whose second is a mark: the
-# parser must get past the whole text to the mark, so anything else behind the object is an error. Of repeated names
-# the last one counts.
-_MARK = "end of message"
-_LISTED = f"""from_json(concat('[', CAST(value AS STRING), ',{{"{_MARK}":"1"}}]'), 'array<map<string,string>>')"""
-_LAST_NAMED = """map_from_arrays(array_distinct(map_keys(m)), transform(array_distinct(map_keys(m)),
-    k -> get(filter(map_entries(m), e -> e.key = k), size(filter(map_keys(m), n -> n = k)) - 1).value))"""
-PAYLOAD = f"""get(transform(
-    filter(array({_LISTED}), l -> size(l) = 2 AND get(l, 0) IS NOT NULL AND map_contains_key(get(l, 1), '{_MARK}')),
-    l -> get(transform(slice(l, 1, 1), m -> CASE WHEN size(map_keys(m)) = size(array_distinct(map_keys(m))) THEN m
-        ELSE {_LAST_NAMED} END), 0)), 0)"""
+
+_WHOLE = f"try_variant_get(event, '$._ingest_ts_utc', 'string') = {STAMP}"
 
 
 def decode_messages(messages: DataFrame) -> DataFrame:
-    """Adds ``payload``: the top-level fields as text, NULL unless the value is one JSON object.
+    """Adds ``event``: the message as a VARIANT, NULL unless the value is one JSON object.
 
-    Field text is what a JSON text extraction yields, so unknown fields survive and one parse serves
-    the whole row. Rejects keep their row; see :func:`accepted` and :func:`rejected`.
+    Values keep their JSON types at any depth. NaN and infinities, which JSON does not know, become null; of repeated
+    names the last one counts (``spark.sql.variant.allowDuplicateKeys`` is set in the session for that). The time of
+    ingest and the origin are fields of the event, under ``_``-prefixed names. Rejects keep their row; see
+    :func:`accepted` and :func:`rejected`.
     """
-    return messages.selectExpr("*", f"{PAYLOAD} AS payload")
+    messages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    others = [c for c in messages.columns if c != "value"]
+    text = messages.selectExpr(*others, "CAST(value AS STRING) AS value").selectExpr(*others, f"{FINITE_TEXT} AS value", "value AS _sent")
+    parsed = text.selectExpr(*others, "_sent AS value", f"{_event(messages.columns)} AS event")
+    return parsed.selectExpr(*messages.columns, f"CASE WHEN {_WHOLE} THEN event END AS event")
 
 
-def accepted(messages: DataFrame) -> DataFrame:
-    """Messages with a payload.
+def accepted(decoded: DataFrame) -> DataFrame:
+    """Messages with an event.
 
-    A filter on ``payload`` would be pushed below the projection and parse every message twice, so the
-    parse itself yields no row for a bad message.
+    A filter on ``event`` would be pushed below the projection and parse every message twice; an empty list of events
+    yields no row instead.
     """
-    names = [c for c in messages.columns if c != "payload"]
-    return messages.selectExpr(*names, f"inline(filter(array(struct({PAYLOAD} AS payload)), p -> p.payload IS NOT NULL))")
-
+    names = [c for c in decoded.columns if c != "event"]
+    return decoded.selectExpr(*names, "explode(CASE WHEN event IS NOT NULL THEN array(event) END) AS event")
 
-def rejected(messages: DataFrame) -> DataFrame:
-    return messages.where(f"{PAYLOAD} IS NULL")
 
-
-def finite_payload(payload: str) -> str:
-    """Bare NaN and infinity tokens to NULL, also inside nested objects and lists."""
-    tokens = ", ".join(f"'{t}'" for t in V.NONFINITE_TOKENS)
-    words = "|".join(t.strip('"').replace("+", "[+]") for t in V.NONFINITE_TOKENS)
-    nested = f'(?<=[\\\\[,:])"({words})"(?=[,}}\\\\]])'
-    return f"""transform_values({payload}, (k, v) -> CASE WHEN v IN ({tokens}) THEN NULL
-        WHEN v LIKE '{{%' OR v LIKE '[%' THEN regexp_replace(v, '{nested}', 'null') ELSE v END)"""
+def rejected(decoded: DataFrame) -> DataFrame:
+    return decoded.where("event IS NULL").drop("event")
 
 
 def sanitize_nonfinite(df: DataFrame) -> DataFrame:
@@ -85,24 +106,15 @@ def sanitize_nonfinite(df: DataFrame) -> DataFrame:
 
 
 def land(messages: DataFrame, id_expr: str | None = None) -> DataFrame:
-    """Messages -> landing rows of the decodable ones: sanitized event with ingest time and origin.
+    """Messages -> landing rows of the decodable ones. ``id_expr`` defaults to :func:`arrival_id`."""
+    return land_decoded(decode_messages(messages), id_expr)
 
-    The origin is also written into the event, under ``_``-prefixed names. ``id_expr`` defaults to
-    :func:`arrival_id`.
-    """
-    origin = {
-        "_ingest_ts_utc": f"date_format(current_timestamp(), '{TIME_FORMAT}')",
-        "_kafka_topic": "topic",
-        "_kafka_partition": "CAST(partition AS STRING)",
-        "_kafka_offset": "CAST(offset AS STRING)",
-        "_kafka_key": "CAST(key AS STRING)",
-    }
-    names = ", ".join(f"'{n}'" for n in origin)
-    pairs = ", ".join(f"'{n}', {text}" for n, text in origin.items())
-    own = f"map_filter({finite_payload('payload')}, (k, v) -> k NOT IN ({names}))"
-    return accepted(messages).selectExpr(
+
+def land_decoded(decoded: DataFrame, id_expr: str | None = None) -> DataFrame:
+    """Landing rows of messages that are decoded already: the event, its ingest time and its origin."""
+    return accepted(decoded).selectExpr(
         f"CAST({id_expr or arrival_id()} AS BIGINT) AS id",
-        f"coalesce({JSON_OF.format(f'map_concat({own}, map({pairs}))')}, '{{}}') AS event",
+        "event",
         "current_timestamp() AS ingest_ts",
         "topic AS kafka_topic",
         "CAST(coalesce(partition, 0) AS INT) AS kafka_partition",

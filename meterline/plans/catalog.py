@@ -38,11 +38,15 @@ HEAT_BUCKET, HEAT_TOP = 15, 5
 # The share of history that incremental queries treat as already stored, by event time.
 LATEST_DAYS = 3
 NULLABLE_NUMBERS = ("user_id",)
-# Message texts of ingest_decode_edges, by the last digit of the event id; \\n and \\t are blanks of the message.
+# What becomes of a message in ingest_decode_edges, by the last digit of the event id; value is its own text.
 DECODE_EDGES = (
-    '{"a":1}\\n', '{"a":1}\\t', '{"a":1}{"b":2}', '{"a":1} x}', '{"a":1,"a":2}', '{"a":1},{"b":2}', '{"a":1}],[{"a":3}',
-    "null", '  {"a":{"b":2}}', "[1]",
+    "concat(value, '\\n')", "concat(value, '\\t')", """concat(value, '{"b":2}')""", "concat(value, ' x}')",
+    """concat(left(value, length(value) - 1), ',"query_id":', -query_id, '}')""", """concat(value, ',{"b":2}')""",
+    "concat(value, '],[', value)", "'null'", """concat('  {"a":', value, '}')""", "concat('[', value, ']')",
 )
+# An object that ingest_types adds to each message.
+PLAN = """concat(left(value, length(value) - 1), ',"plan":{"steps":[', raw_id % 7, ',"', query_id, '",', 0.5 + raw_id, '],"cached":',
+    was_cached = 1, ',"none":null}}')"""
 # Offsets of the landed telemetry start this far apart, so that some partitions lag far behind others.
 OFFSET_STEP = 1_000_000
 
@@ -151,10 +155,9 @@ def _messages(spark: SparkSession, sf_dir: str, value: str = "value") -> DataFra
     ``value`` may damage the message text; it sees the trace columns too.
     """
     trace = read_telemetry(spark, sf_dir)
-    fields = ", ".join(c for c in trace.columns if c != "raw_id")
-    encoded = trace.selectExpr("*", f"{ingest.JSON_OF.format(f'struct({fields})')} AS value")
+    encoded = ingest.encode_messages(trace, left_out=("raw_id",), keep=True)
     return encoded.selectExpr(
-        "CAST(query_id AS STRING) AS key",
+        "key",
         f"{value} AS value",
         "'telemetry' AS topic",
         "coalesce(instance_id, 0) AS partition",
@@ -197,7 +200,7 @@ def ingest_rejects(spark, sf_dir):
         WHEN query_type = 'unload' THEN concat('[', value, ']') ELSE value END"""
     decoded = ingest.decode_messages(_messages(spark, sf_dir, damaged))
     return decoded.groupBy("partition").agg(
-        *exprs("count_if(payload IS NOT NULL) AS kept", "count_if(payload IS NULL) AS rejected")
+        *exprs("count_if(event IS NOT NULL) AS kept", "count_if(event IS NULL) AS rejected")
     )
 
 
@@ -215,19 +218,37 @@ def ingest_sanitize(spark, sf_dir):
 @query
 def ingest_metadata(spark, sf_dir):
     """Origin columns and the copies of them inside the event; of the wall clock only that it is there."""
-    inside = [f"get_json_object(event, '$._kafka_{c}') AS event_{c}" for c in ("topic", "partition", "offset", "key")]
-    stamped = "CAST(ingest_ts IS NOT NULL AND get_json_object(event, '$._ingest_ts_utc') IS NOT NULL AS INT) AS stamped"
+    inside = [f"try_variant_get(event, '$._kafka_{c}', 'string') AS event_{c}" for c in ("topic", "partition", "offset", "key")]
+    stamped = "CAST(ingest_ts IS NOT NULL AND try_variant_get(event, '$._ingest_ts_utc', 'timestamp') IS NOT NULL AS INT) AS stamped"
     landed = ingest.land(_messages(spark, sf_dir))
     return landed.selectExpr("id", "kafka_topic", "kafka_partition", "kafka_offset", "kafka_key", *inside, stamped)
 
 
 @query
 def ingest_decode_edges(spark, sf_dir):
-    """Every event as one of ten message texts, valid and not, with what the decoder makes of it."""
-    texts = ", ".join(f"'{t}'" for t in DECODE_EDGES)
-    values = read_events(spark, sf_dir).selectExpr("event_id", f"element_at(array({texts}), CAST(event_id % 10 AS INT) + 1) AS value")
-    decoded = ingest.decode_messages(values)
-    return decoded.selectExpr("event_id", "CAST(payload IS NOT NULL AS INT) AS valid", "get(map_values(map_filter(payload, (k, v) -> k = 'a')), 0) AS a")
+    """Every message lengthened, wrapped, doubled or cut as DECODE_EDGES says, and what the decoder makes of it."""
+    value = "CASE " + " ".join(f"WHEN raw_id % 10 = {i} THEN {text}" for i, text in enumerate(DECODE_EDGES)) + " END"
+    decoded = ingest.decode_messages(_messages(spark, sf_dir, value))
+    inner = [f"try_variant_get(event, '$.{path}', 'double') AS {name}" for path, name in (("query_id", "plain_id"), ("a.query_id", "nested_id"))]
+    return decoded.selectExpr("offset AS event_id", "CAST(event IS NOT NULL AS INT) AS valid", *inner)
+
+
+@query
+def ingest_types(spark, sf_dir):
+    """JSON types of landed values, plain and nested, and numbers and lists read back from inside."""
+    landed = ingest.land(_messages(spark, sf_dir, PLAN), "offset")
+    kinds = [
+        f"regexp_replace(schema_of_variant(try_variant_get(event, '$.{path}', 'variant')), '[^A-Z].*', '') AS {name}"
+        for path, name in (
+            ("instance_id", "whole_kind"), ("feature_fingerprint", "text_kind"), ("user_id", "missing_kind"), ("plan.steps", "list_kind"),
+            ("plan.steps[1]", "item_kind"), ("plan.cached", "flag_kind"), ("plan.none", "null_kind"),
+        )
+    ]
+    values = [
+        "try_variant_get(event, '$.plan.steps[0]', 'bigint') AS first_step", "try_variant_get(event, '$.plan.steps[2]', 'double') AS last_step",
+        "CAST(try_variant_get(event, '$.plan.cached', 'boolean') AS INT) AS cached",
+    ]
+    return landed.selectExpr("id", *kinds, *values)
 
 
 @query

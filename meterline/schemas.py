@@ -44,11 +44,11 @@ MESSAGE = T.StructType(
     ]
 )
 
-# The landing table. ``id`` orders arrivals; ``event`` is one JSON object.
+# The landing table. ``id`` orders arrivals; ``event`` is one JSON object with its types.
 LANDING = T.StructType(
     [
         T.StructField("id", T.LongType()),
-        T.StructField("event", T.StringType()),
+        T.StructField("event", T.VariantType()),
         T.StructField("ingest_ts", T.TimestampType()),
         T.StructField("kafka_topic", T.StringType()),
         T.StructField("kafka_partition", T.IntegerType()),

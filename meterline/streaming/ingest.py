@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meterline.functions import exprs
-from meterline.operators.ingest import first_deliveries, land, rejected
+from meterline.operators.ingest import decode_messages, first_deliveries, land_decoded, rejected
 from meterline.schemas import LANDING, MESSAGE_KEY
 from meterline.sources.tables import table_exists
 
@@ -35,13 +35,13 @@ def landing_writer(landing_path: str, rejects_path: str | None = None) -> Callab
     """Batch function: decode, sanitize, drop what was landed before, append."""
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        batch = batch.persist()
+        decoded = decode_messages(batch).persist()
         try:
-            append_new(land(batch), landing_path, _offset_ranges(batch))
+            append_new(land_decoded(decoded), landing_path, _offset_ranges(decoded))
             if rejects_path is not None:
-                append_rejects(rejected(batch), rejects_path)
+                append_rejects(rejected(decoded), rejects_path)
         finally:
-            batch.unpersist()
+            decoded.unpersist()
 
     return write
 

@@ -31,23 +31,59 @@ def test_only_whole_json_objects_are_accepted(spark):
     good = ['{"a":1}', ' {"a":{"b":2}} ', "{}", '{"a":1}\n', '{"a":1}\t', '{"a":1,"a":2}']
     bad = ["", "null", "12", "[1]", '[{"a":1}]', "{bad", '{"a":1} x', None, '{"a":1}{"b":2}', '{"a":1} x}', '{"a":1},{"b":2}']
     bad += ['{"a":1}],[{"b":1}', '{"a":1},', "]"]
+    bad += ['{"a":1}}', '{"a":1,}', '{"a":[1}', '{"a":{"b":1}', '{"a":"x}', '{"a":"b\\"}', "{", "}", "{,}", '{"a"}', '{"a":01}', '{"_ingest_ts_utc":"x"} {}']
+    good += ["{ }", '{"a":{}}', '{"a":"}"}', '{"a":"{"}', '{"a":"\\\\"}', '{"a":[{}]}', '{"a":NaN}', '{"a":"NaN, \\"NaN","b":-Infinity}', '{"é漢":"😀"}']
     decoded = ingest.decode_messages(messages(spark, *good, *bad))
-    assert decoded.where("payload IS NOT NULL").count() == ingest.accepted(decoded).count() == len(good)
+    assert {r.value for r in decoded.where("event IS NOT NULL").collect()} == set(good)
+    assert ingest.accepted(decoded).count() == len(good)
     assert ingest.rejected(decoded).count() == len(bad)
 
 
-def test_nonfinite_tokens_become_null_at_any_depth(spark):
-    text = '{"a":NaN,"b":-Infinity,"c":"NaN","d":{"x":[1,NaN,2],"y":"keep"},"e":1.5}'
-    event = ingest.land(messages(spark, text)).first().event
-    got = json.loads(event)
-    assert got["a"] is None and got["b"] is None and got["c"] == "NaN" and got["e"] == "1.5"
-    assert json.loads(got["d"]) == {"x": [1, None, 2], "y": "keep"}
-    assert got["_kafka_topic"] == "t" and got["_kafka_offset"] == "0" and got["_kafka_key"] == "0"
+def event_of(spark, text):
+    return json.loads(ingest.land(messages(spark, text)).selectExpr("to_json(event) AS e").first().e)
 
 
-def test_of_repeated_names_the_last_counts_and_nothing_stops(spark):
-    event = ingest.land(messages(spark, '{"a":1,"b":0,"a":2}')).first().event
-    assert json.loads(event)["a"] == "2"
+def test_values_keep_their_types(spark):
+    text = '{"a":1,"b":1.5,"c":true,"d":null,"e":"1","f":[1,"x",{"g":[]}],"h":{},"i":12345678901234567890,"j":-0.25,"k":1e3}'
+    got = event_of(spark, text)
+    sent = json.loads(text)
+    assert {k: got[k] for k in sent} == sent and [type(got[k]) for k in sent] == [type(sent[k]) for k in sent]
+
+
+def test_nonfinite_numbers_become_null_at_any_depth(spark):
+    text = """{"a":NaN,"b":-Infinity,"c":"NaN","d":{"x":[1,NaN,-2,+INF],"y":"k: NaN, \\" -Infinity"},"e":1.5,"f":-1e-400,"g":[1e400,-2.5E+999,1e308,12e0309],
+        "I":[-3,4e+05]}"""
+    got = event_of(spark, text)
+    assert got["a"] is None and got["b"] is None and got["c"] == "NaN" and got["e"] == 1.5
+    assert got["d"] == {"x": [1, None, -2, None], "y": 'k: NaN, " -Infinity'}
+    assert got["g"] == [None, None, 1e308, None] and got["f"] == 0 and got["I"] == [-3, 400000.0]
+    assert got["_kafka_topic"] == "t" and got["_kafka_offset"] == 0 and got["_kafka_partition"] == 0 and got["_kafka_key"] == "0"
+
+
+def test_long_texts_with_nonfinite_numbers(spark):
+    text = '{"x":[' + ",".join(['"a\\"b"', "-1.5", "NaN", "{}"] * 20_000) + "]}"
+    got = event_of(spark, text)
+    assert got["x"] == ['a"b', -1.5, None, {}] * 20_000
+
+
+def test_of_repeated_names_the_last_counts_at_any_depth(spark):
+    got = event_of(spark, '{"a":1,"b":{"c":1,"c":2},"a":2,"_kafka_topic":"mine"}')
+    assert got["a"] == 2 and got["b"] == {"c": 2} and got["_kafka_topic"] == "t"
+
+
+def test_events_as_text_are_staged_like_variants(spark, make_trace, same):
+    texts = ['{"query_id":"12345678901234567","was_aborted":"1.0","cluster_size":"","mbytes_scanned":1.5,"query_type":"","instance_id":null}',
+             '{"query_id":7,"was_aborted":1.0,"cluster_size":"NaN","mbytes_scanned":"2.5","arrival_timestamp":"2024-01-01 05:00:00+02:00"}',
+             '{"query_id":"x","num_joins":"y","cluster_size":4,"feature_fingerprint":5}']
+    landed = ingest.land(messages(spark, *texts), "offset")
+    as_text = landed.selectExpr("id", "to_json(event) AS event")
+    same(staging.stage_events(landed), staging.stage_events(as_text))
+    got = staging.stage_events(landed).orderBy("raw_id").collect()
+    assert [r.query_id for r in got] == [12345678901234567, 7, None] and [r.was_aborted for r in got] == [1, 1, 0]
+    assert [r.cluster_size for r in got] == [None, None, 4.0] and [r.mbytes_scanned for r in got] == [1.5, 2.5, 0.0]
+    assert str(got[1].arrival_timestamp) == "2024-01-01 03:00:00" and got[2].feature_fingerprint == "5" and got[0].query_type is None
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|malformed"):
+        staging.stage_events(landed, strict=True).collect()
 
 
 def test_ids_name_topic_and_partition(spark):
@@ -85,7 +121,7 @@ def test_missing_query_id_gives_a_null_key(spark):
 
 def test_redelivery_changes_nothing(spark, same):
     batch = ingest.land(messages(spark, *['{"a":1}'] * 6)).drop("ingest_ts")
-    batch = batch.withColumn("event", F.lit("{}"))
+    batch = batch.drop("event").selectExpr("id", "'{}' AS event", *[c for c in batch.columns if c not in ("id", "event")])
     empty = batch.where("false")
     once = ingest.idempotent_append(batch.unionByName(batch), empty)
     assert once.count() == 6

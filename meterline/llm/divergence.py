@@ -18,7 +18,7 @@ LEAST_DOCS, PRIOR, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Bytes of text split at once; counted (group, term) pairs a task holds before it hands them on.
 PIECE_BYTES, HELD = 1 << 20, 400_000
 #: Term counts of one comparison task; sources of a block; terms of a matrix.
-TASK_CELLS, BLOCK, TERMS = 1 << 18, 256, 1024
+TASK_CELLS, BLOCK, TERMS = 1 << 15, 256, 1024
 
 # letters to lower case, every other ASCII byte to a blank, bytes of longer characters as they are
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))

@@ -27,6 +27,7 @@ from meterline.sources import streams, tables
 from meterline.sources.telemetry import as_trace, read_events, read_telemetry
 from meterline.streaming import ingest as stream_ingest
 from meterline.streaming import kpis as stream_kpis
+from meterline.streaming import totals as stream_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -47,6 +48,8 @@ DECODE_EDGES = (
 # An object that ingest_types adds to each message.
 PLAN = """concat(left(value, length(value) - 1), ',"plan":{"steps":[', raw_id % 7, ',"', query_id, '",', 0.5 + raw_id, '],"cached":',
     was_cached = 1, ',"none":null}}')"""
+# Files of the stream with late rows.
+LATE_FILES = 6
 # Offsets of the landed telemetry start this far apart, so that some partitions lag far behind others.
 OFFSET_STEP = 1_000_000
 
@@ -658,6 +661,36 @@ def stream_leaderboard(spark, sf_dir):
     return stream_kpis.read_closed(spark, f"{work}/out")
 
 
+def _late_stream(spark: SparkSession, sf_dir: str, work: str) -> DataFrame:
+    """Enriched rows in files by delivery: one row in 17 comes 35 minutes late, one in 23 three hours, one in 29 a day."""
+    late = """CASE WHEN event_id % 17 = 0 THEN INTERVAL 35 MINUTES WHEN event_id % 23 = 0 THEN INTERVAL 180 MINUTES
+        WHEN event_id % 29 = 0 THEN INTERVAL 1440 MINUTES ELSE INTERVAL 0 MINUTES END"""
+    events = read_events(spark, sf_dir)
+    delivered = events.withColumn("_delivered", F.expr(f"ts + {late}")).repartitionByRange(LATE_FILES, "_delivered").drop("_delivered")
+    delivered.write.parquet(f"{work}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{work}/in")
+    return clean.enrich(staging.stage_trace(as_trace(stream)))
+
+
+def _late_totals(spark: SparkSession, sf_dir: str, name: str, totals: stream_totals.Totals, closed: bool) -> DataFrame:
+    work = shared_dir(spark, f"stream-late-{name}")
+    rows = _late_stream(spark, sf_dir, work)
+    _run_to_end(rows, stream_totals.writer(f"{work}/out", {name: totals}, f"{work}/checkpoint"), work)
+    gate = stream_totals.closed_gate(spark, f"{work}/out") if closed else None
+    return stream_totals.read_totals(_enriched(spark, sf_dir), f"{work}/out", name, totals, gate)
+
+
+@query
+def stream_late_efficiency(spark, sf_dir):
+    """Rows up to a day late, long after their minute has closed, give the minutes that a batch gives."""
+    return _late_totals(spark, sf_dir, "efficiency", stream_totals.EFFICIENCY, closed=True)
+
+
+@query
+def stream_late_leaderboard(spark, sf_dir):
+    return _late_totals(spark, sf_dir, "leaderboard", stream_totals.LEADERBOARD, closed=False)
+
+
 @query
 def stream_dedup(spark, sf_dir):
     """Every message is delivered twice, in files read one per micro-batch."""

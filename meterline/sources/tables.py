@@ -36,6 +36,12 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies; nothing happens if it is gone."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _by_day(rows: DataFrame, time_col: str) -> DataFrame:
     """Rows with their day, brought together by day and sorted by time.
 

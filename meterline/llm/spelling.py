@@ -287,16 +287,16 @@ class Cells:
         return out
 
     def visits(self, words: Words, home: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, int]]:
-        """(rows, word length of the cells, cells, part) that words must be compared in: cells of their own length from
-        their own on, so that two cells meet once, and cells of words one letter longer."""
+        """(rows, word length of the cells, cells, part) that words must be compared in: of two cells of one length the words
+        of one visit the other, in turns, so that no cell gets all the visits; and cells of words one letter longer."""
         for size in np.unique(words.size).tolist():
             rows = np.flatnonzero(words.size == size)
             for grown in (0, 1):
                 row, cell = self.tree(size + grown).near(words.bits[rows], 2 - grown)
                 row = rows[row]
                 if not grown:
-                    later = cell >= home[row]
-                    row, cell = row[later], cell[later]
+                    turn = (cell == home[row]) | ((cell > home[row]) == ((cell + home[row]) % 2 == 0))
+                    row, cell = row[turn], cell[turn]
                 parts = np.array([self.parts.get((size + grown, c), 1) for c in cell.tolist()], np.int64)
                 for part in range(int(parts.max(initial=0))):
                     yield row[parts > part], size + grown, cell[parts > part], part

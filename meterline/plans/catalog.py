@@ -27,6 +27,7 @@ from meterline.sources import streams, tables
 from meterline.sources.telemetry import as_trace, read_events, read_telemetry
 from meterline.streaming import ingest as stream_ingest
 from meterline.streaming import kpis as stream_kpis
+from meterline.streaming import refresh as stream_refresh
 from meterline.streaming import totals as stream_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -721,12 +722,10 @@ def _refreshed(spark: SparkSession, sf_dir: str) -> str:
         root = shared_dir(spark, "stored")
         messages = _messages(spark, sf_dir).withColumn("offset", F.expr(f"offset + partition * {OFFSET_STEP}"))
         events = read_events(spark, sf_dir).selectExpr("max(event_id) AS n").first()["n"]
-        staged = staging.stage_events(ingest.land(messages))
-        tables.write_by_day(staged, f"{root}/staged", "arrival_timestamp")
-        staged = spark.read.parquet(f"{root}/staged").drop(tables.PARTITION)
         for share in (0.4, 0.6, 0.9, 1.0):
-            landed = f"query_id <= {int(events * share)}" + (" AND instance_id <> 5" if share < 0.9 else "")
-            refresh.incremental_refresh(staged.where(landed), root, source_bits=ingest.SOURCE_BITS)
+            sent = f"CAST(key AS BIGINT) <= {int(events * share)}" + (" AND partition <> 5" if share < 0.9 else "")
+            staged = refresh.store_staged(ingest.land(messages.where(sent)), root)
+            refresh.incremental_refresh(staged, root, source_bits=ingest.SOURCE_BITS)
         _STORED[key] = root
     return _STORED[key]
 
@@ -742,6 +741,33 @@ def _stored(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return rows.selectExpr(*[_event_id(c) if c in ids else c for c in rows.columns if c != "cluster_size" or table != "clean"])
 
 
+def _streamed(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A stored table that a stream of messages has filled: three micro-batches, partition 5 in the last one, days late."""
+    work = shared_dir(spark, "stream-refresh")
+    messages = _messages(spark, sf_dir).select(*[f.name for f in MESSAGE.fields])
+    n = read_events(spark, sf_dir).selectExpr("max(event_id) AS n").first()["n"]
+    delivery = f"CASE WHEN partition = 5 OR offset > {n * 2 // 3} THEN 2 WHEN offset > {n // 3} THEN 1 ELSE 0 END"
+    for i in range(3):
+        messages.where(f"{delivery} = {i}").coalesce(1).write.mode("append").parquet(f"{work}/in")
+    stream = streams.read_message_stream(spark, f"{work}/in", max_files=1)
+    stream_refresh.start(stream, f"{work}/tables", f"{work}/checkpoint", once=True).awaitTermination()
+    rows = refresh.read(spark, f"{work}/tables", table).drop(tables.PARTITION)
+    ids = [c for c in ("raw_id", "source_max_raw_id") if c in rows.columns]
+    return rows.selectExpr(*[f"shiftright({c}, {ingest.SOURCE_BITS}) AS {c}" if c in ids else c for c in rows.columns if c != "cluster_size" or table != "clean"])
+
+
+@query
+def stream_clean(spark, sf_dir):
+    """The cleaned fact with filled cluster sizes, from a stream."""
+    return _streamed(spark, sf_dir, "clean")
+
+
+@query
+def stream_concurrency(spark, sf_dir):
+    """Concurrency of closed minutes from a stream; queries run on over batches."""
+    return _streamed(spark, sf_dir, "minute_concurrency_cluster")
+
+
 @query
 def refresh_clean(spark, sf_dir):
     return _stored(spark, sf_dir, "clean")

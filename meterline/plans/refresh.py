@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from meterline.functions import exprs
 from meterline.operators import bounds, kpis
 from meterline.operators.clean import enrich
+from meterline.operators.ingest import SOURCE_BITS
 from meterline.operators.fill import FIRST_SIZE, LAST_SIZE, fill_cluster_size
 from meterline.operators.leaderboard import leaderboard, resource_predators
 from meterline.operators.staging import stage_events
@@ -65,12 +66,18 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(Layout(root).path(table))
 
 
+#: Files of a log from which on it is shortened.
+LOG_FILES = 32
 LOG = "batch STRING, state STRING, source LONG, last_id LONG, since_minute LONG, since_window LONG"
 
 
-def _note(spark: SparkSession, lay: Layout, rows: list[tuple], mode: str = "append") -> None:
+def _log(spark: SparkSession, path: str, rows: list[tuple], mode: str = "append") -> None:
     """Log rows in one file, so that all of them appear or none."""
-    spark.createDataFrame(rows, LOG).coalesce(1).write.mode(mode).parquet(lay.path("refresh_log"))
+    spark.createDataFrame(rows, LOG).coalesce(1).write.mode(mode).parquet(path)
+
+
+def _note(spark: SparkSession, lay: Layout, rows: list[tuple], mode: str = "append") -> None:
+    _log(spark, lay.path("refresh_log"), rows, mode)
 
 
 def source_of(source_bits: int, id_col: str = "raw_id") -> str:
@@ -83,14 +90,32 @@ def _last_ids(rows: DataFrame, source_bits: int) -> list[tuple[int, int]]:
     return [tuple(r) for r in rows.groupBy(F.expr(source_of(source_bits)).alias("s")).agg(F.max("raw_id")).collect()]
 
 
-def _fresh(staged: DataFrame, log: DataFrame, source_bits: int) -> DataFrame:
-    """Staged rows beyond the last id taken of their source."""
+def _beyond(rows: DataFrame, log: DataFrame, source_bits: int, id_col: str = "raw_id") -> DataFrame:
+    """Rows beyond the last id that the log has of their source; a source it does not know gives all of its rows."""
     done = log.where("state = 'done' AND source IS NOT NULL").groupBy("source").agg(F.max("last_id").alias("_last"))
     if not source_bits:
         last = done.first()
-        return staged if last is None else bounds.new_rows(staged, last["_last"])
-    numbered = staged.withColumn("source", F.expr(source_of(source_bits))).join(done, "source", "left")
-    return numbered.where("_last IS NULL OR raw_id > _last").select(*staged.columns)
+        return rows if last is None else bounds.new_rows(rows, last["_last"], id_col)
+    numbered = rows.withColumn("source", F.expr(source_of(source_bits, id_col))).join(done, "source", "left")
+    return numbered.where(f"_last IS NULL OR {id_col} > _last").select(*rows.columns)
+
+
+def _shorten(spark: SparkSession, path: str, most_files: int = LOG_FILES) -> None:
+    """Once no batch is open: one row per source and the latest batch in place of all earlier rows.
+
+    The short form is added before the files it stands for go. Reading both gives the same answers, so a failure in
+    between does no harm.
+    """
+    log = spark.read.parquet(path)
+    files = log.inputFiles()
+    if len(files) <= most_files:
+        return
+    sources = log.where("source IS NOT NULL").groupBy("source").agg(F.max("last_id").alias("last_id"), F.max("batch").alias("batch"))
+    rows = [(r["batch"], "done", r["source"], r["last_id"], None, None) for r in sources.collect()]
+    latest = log.where("state = 'done'").agg(F.max("batch")).first()[0]
+    spark.createDataFrame([*rows, (latest, "done", None, None, None, None)], LOG).coalesce(1).write.mode("append").parquet(path)
+    for file in files:
+        tables.remove(spark, file)
 
 
 def _open(log: DataFrame) -> tuple[list[str], int | None, int | None]:
@@ -106,28 +131,37 @@ def _open(log: DataFrame) -> tuple[list[str], int | None, int | None]:
     return [r["batch"] for r in rows], None if everything else min(minutes), None if everything else min(windows)
 
 
-def store_staged(landing: DataFrame, root: str, last: int = 0) -> DataFrame:
-    """Parse landing rows with ids above ``last`` once into the ``staged`` table, and read that table.
+def store_staged(landing: DataFrame, root: str, source_bits: int = SOURCE_BITS) -> DataFrame:
+    """Parse landing rows beyond those taken of their source once into the ``staged`` table, and read that table.
 
-    A refresh reads its input several times; JSON should not be parsed as often. Rows that an earlier attempt
-    has stored are not stored again.
+    A refresh reads its input several times; events should not be parsed as often. ``staged_log`` notes what was taken of
+    each source. Rows that an attempt has stored without coming to note it are not stored again.
     """
-    path = Layout(root).path("staged")
-    spark = landing.sparkSession
-    fresh = bounds.new_rows(landing, last, "id")
+    spark, lay = landing.sparkSession, Layout(root)
+    path, log_path = lay.path("staged"), lay.path("staged_log")
+    if not tables.table_exists(spark, log_path):
+        _log(spark, log_path, [], "overwrite")
+    log = spark.read.schema(LOG).parquet(log_path)
+    fresh = _beyond(landing, log, source_bits, "id")
     if tables.table_exists(spark, path):
-        stored = bounds.new_rows(spark.read.parquet(path), last).select(F.col("raw_id").alias("id"))
-        tables.append_by_day(stage_events(fresh.join(stored, "id", "left_anti")), path, "arrival_timestamp")
+        unnoted = _beyond(spark.read.parquet(path), log, source_bits).select(F.col("raw_id").alias("id"))
+        tables.append_by_day(stage_events(fresh.join(unnoted, "id", "left_anti")), path, "arrival_timestamp")
     else:
         tables.write_by_day(stage_events(fresh), path, "arrival_timestamp")
-    return spark.read.parquet(path).drop(tables.PARTITION)
+    stored = spark.read.parquet(path).drop(tables.PARTITION)
+    batch = uuid.uuid4().hex
+    taken = _last_ids(_beyond(stored, log, source_bits), source_bits)
+    if taken:
+        _log(spark, log_path, [(batch, "done", s, i, None, None) for s, i in taken])
+        _shorten(spark, log_path)
+    return stored
 
 
-def full_refresh(staged: DataFrame, root: str, source_bits: int = 0, **slicing) -> None:
+def full_refresh(staged: DataFrame, root: str, source_bits: int = 0, batch: str | None = None, **slicing) -> None:
     """Every table from scratch."""
     spark = staged.sparkSession
     lay = Layout(root)
-    batch = uuid.uuid4().hex
+    batch = batch or uuid.uuid4().hex
     last = _last_ids(staged, source_bits)
     _note(spark, lay, [(batch, "open", None, None, None, None)], mode="overwrite")
     clean = fill_cluster_size(enrich(staged), **slicing).select(*STORED_COLUMNS)
@@ -155,14 +189,50 @@ def incremental_refresh(
     if not tables.table_exists(spark, lay.path("refresh_log")):
         full_refresh(staged, root, source_bits, **slicing)
         return True
+    taken = _beyond(staged, read(spark, root, "refresh_log"), source_bits)
+    added = _add(staged, taken, lay, minute_lookback, window_lookback, source_bits, uuid.uuid4().hex, **slicing)
+    _shorten(spark, lay.path("refresh_log"))
+    return added
+
+
+def add_batch(rows: DataFrame, root: str, generation: str, batch_id: int, source_bits: int = SOURCE_BITS, **slicing) -> bool:
+    """Add the staged rows of one numbered batch of a stream. False if that batch was added before.
+
+    The batch itself says what is new, so no table is searched for it: the work depends on the batch and on the days that
+    late rows touch. Rows are appended to ``staged`` first, from where a batch that failed half-way is redone; a redelivered
+    batch is appended again there and read once. Another ``generation`` (a new checkpoint, whose source starts anew)
+    replaces all tables.
+    """
+    spark, lay, batch = rows.sparkSession, Layout(root), f"{generation}-{batch_id:012d}"
+    known = [] if not tables.table_exists(spark, lay.path("refresh_log")) else read(spark, root, "refresh_log").select("batch", "state").collect()
+    if any(r["batch"] == batch and r["state"] == "done" for r in known):
+        return False
+    rows = rows.dropDuplicates(["raw_id"]).persist()
+    try:
+        if not any(r["batch"].startswith(generation) and r["state"] == "done" for r in known):
+            tables.write_by_day(rows, lay.path("staged"), "arrival_timestamp")
+            full_refresh(rows, root, source_bits, batch, **slicing)
+            return True
+        tables.append_by_day(rows, lay.path("staged"), "arrival_timestamp")
+        staged = read(spark, root, "staged")
+        _add(staged, rows, lay, bounds.MINUTE_LOOKBACK, bounds.WINDOW_LOOKBACK, source_bits, batch, **slicing)
+    finally:
+        rows.unpersist()
+    _shorten(spark, lay.path("refresh_log"))
+    return True
+
+
+def _add(
+    staged: DataFrame, taken: DataFrame, lay: Layout, minute_lookback: int, window_lookback: int, source_bits: int, batch: str, **slicing
+) -> bool:
+    spark, root = staged.sparkSession, lay.root
     log = read(spark, root, "refresh_log")
     unfinished, open_minute, open_window = _open(log)
     days = read(spark, root, "instance_days") if not unfinished or open_minute is not None else None
     old = None if days is None else days.selectExpr("max(newest) AS newest", "count_if(day IS NULL) AS untimed").first()
     if old is None or old["newest"] is None:
-        full_refresh(staged, root, source_bits, **slicing)
+        full_refresh(staged.select(*taken.columns).dropDuplicates(["raw_id"]), root, source_bits, batch, **slicing)
         return True
-    taken = _fresh(staged, log, source_bits)
     last = _last_ids(taken, source_bits)
     if not last and not unfinished:
         return False
@@ -187,7 +257,6 @@ def incremental_refresh(
         since_minute = min(since_minute, open_minute) // DAY_MICROS * DAY_MICROS
         since_window = min(since_window, open_window) // DAY_MICROS * DAY_MICROS
 
-    batch = uuid.uuid4().hex
     _note(spark, lay, [(batch, "open", None, None, since_minute, since_window)])
     if append:
         rows = fill_cluster_size(fresh, seeds=_seeds(days, None), **slicing).select(*STORED_COLUMNS)
@@ -195,7 +264,9 @@ def incremental_refresh(
     else:
         first_day = touched // DAY_MICROS * DAY_MICROS
         if unfinished:
-            again = enrich(staged.where(f"arrival_timestamp >= {bounds.at(first_day)} OR arrival_timestamp IS NULL"))
+            held = _from_day(staged, first_day) if tables.PARTITION in staged.columns else staged
+            held = held.where(f"arrival_timestamp >= {bounds.at(first_day)} OR arrival_timestamp IS NULL")
+            again = enrich(held.select(*taken.columns).dropDuplicates(["raw_id"]))
         else:
             again = _from_day(read(spark, root, "clean"), first_day).select(*fresh.columns).unionByName(fresh)
         rows = fill_cluster_size(again, seeds=_seeds(days, first_day), **slicing).select(*STORED_COLUMNS)

@@ -45,8 +45,11 @@ class Totals:
     largest: tuple[str, ...] = field(default=())
 
     def merge(self, parts: DataFrame) -> DataFrame:
-        measures = [c for c in parts.columns if c not in (*self.keys, tables.PARTITION)]
-        return parts.groupBy(*self.keys).agg(*exprs(*[f"{'max' if c in self.largest else 'sum'}({c}) AS {c}" for c in measures]))
+        """One row per key; measures keep their types, so merged parts can be merged again."""
+        kept = {n: kind for n, kind in parts.dtypes if n not in (*self.keys, tables.PARTITION)}
+        return parts.groupBy(*self.keys).agg(
+            *exprs(*[f"CAST({'max' if n in self.largest else 'sum'}({n}) AS {kind}) AS {n}" for n, kind in kept.items()])
+        )
 
 
 EXACT = "exact_units"

@@ -16,7 +16,7 @@ from meterline.llm import common
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Rounds of re-estimation; mass taken from each seen word for unseen ones; bytes of text in a block.
-ROUNDS, DISCOUNT, BLOCK_BYTES = 3, 0.5, 16 << 20
+ROUNDS, DISCOUNT, BLOCK_BYTES = 3, 0.5, 12 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BITS = 21
@@ -165,6 +165,36 @@ def _batches(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, list
         yield first, held
 
 
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's number and, by number, the place where it first occurs. Numbers follow first occurrence."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    del ranked
+    at = order[new]
+    place = np.argsort(at)
+    number = np.empty(len(at), np.uint32)
+    number[place] = np.arange(len(at), dtype=np.uint32)
+    code = np.empty(len(order), "<u4")
+    code[order] = number[np.cumsum(new) - 1]
+    return code, at[place]
+
+
+def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans of ``data``, which rise and do not overlap, as strings; no Python object per word."""
+    mark = np.zeros(len(data) + 1, np.int8)
+    mark[starts] += 1
+    mark[ends] -= 1
+    text = data[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(text))
+
+
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """One row per block of documents: their ids, word bounds, words as numbers, the distinct words, and how often each
     occurs in training documents. Everything about a block is bounded by its size in text (one document at least)."""
@@ -177,23 +207,18 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
                 data = common.lower_ascii(data)
                 starts, ends, row = common.words(data, offsets)
                 held = part.column("held_out").to_numpy(zero_copy_only=False)
-                _, at, code = np.unique(common.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-                train = np.bincount(code, ~held[row], len(at)).astype(np.int64)
-                raw = data.tobytes()
-                spelled = [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in at]
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
+                code, at = _numbered(common.span_hashes(data, starts, ends))
+                train = np.bincount(code[~held[row]], minlength=len(at))
+                del row
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([number], pa.int64()),
-                        pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                        pa.array([held.tolist()], pa.list_(pa.bool_())),
-                        pa.array([bounds.tolist()], pa.list_(pa.int64())),
-                        pa.array([zlib.compress(code.astype("<u4").tobytes(), 1)], pa.binary()),
-                        pa.array([spelled], pa.list_(pa.string())),
-                        pa.array([train.tolist()], pa.list_(pa.int64())),
+                        pa.array([number], pa.int64()), _one_list(part.column("doc_id")), _one_list(part.column("held_out")),
+                        _one_list(pa.array(bounds, pa.int64())), pa.array([zlib.compress(code.tobytes(), 1)], pa.binary()),
+                        _one_list(_cut(data, starts[at], ends[at])), _one_list(pa.array(train, pa.int64())),
                     ],
                     names=["block", "doc_ids", "held", "bounds", "codes", "words", "train"],
-                )
+                )
                 number += 1
 
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1

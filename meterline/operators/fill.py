@@ -26,7 +26,7 @@ CELL_UNIT = "hour"
 CELL_MICROS = {"minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
 NO_TIME = 2**63 - 1  # sorts missing timestamps last
 NO_INSTANCE = -(2**62)  # instances are 32-bit, so no real one collides
-MAX_CUTS = 4096  # quantile grid of one hot cell
+MAX_CUTS = 4096  # quantile grid of one hot cell: 20 thousand million rows of one instance and hour at SLICE_ROWS
 CUT_STRIDE = 64  # cuts are searched in two steps of at most this many comparisons
 DEFAULT_SIZE = 1.0
 
@@ -94,10 +94,11 @@ def with_known_sizes(
         f"coalesce(CAST(instance_id AS BIGINT), {NO_INSTANCE}) AS _instance",
         f"coalesce(unix_micros(date_trunc('{cell}', arrival_timestamp)), {NO_TIME}L) AS _cell",
     )
-    keyed = _cut_hot_cells(keyed, slice_rows, cell)
-
     place = ["_instance", "_cell", "_slice"]
-    carried = _carry(keyed, place, reverse)
+    summary = _cells(keyed)
+    cuts = _cuts(keyed, summary, slice_rows, cell)
+    keyed = _numbered(keyed, cuts, cell, "left")
+    carried = _carry(_edges(keyed, summary, cuts, place, slice_rows, cell), place, reverse)
     # the rows are hashed on the three place columns once: the window and the join share that shuffle
     w = Window.partitionBy(*place).orderBy(*order)
     local = keyed.withColumn("_local", F.last("cluster_size", ignorenulls=True).over(_running(w)))
@@ -124,46 +125,60 @@ FIRST_SIZE = f"min_by(cluster_size, {KNOWN_POSITION})"
 LAST_SIZE = f"max_by(cluster_size, {KNOWN_POSITION})"
 
 
-def _carry(keyed: DataFrame, place: list[str], reverse: bool) -> DataFrame:
-    """Per slice: the size carried in from earlier slices, and the instance's first known size.
+def _cells(keyed: DataFrame) -> DataFrame:
+    """Per (instance, cell) with rows: their number, ids and first and last known size. One scan, about (instances x hours)
+    rows; everything below is worked out from it."""
+    sums = ["count(*) AS _n", "min(raw_id) AS _min_id", "max(raw_id) AS _max_id", f"{FIRST_SIZE} AS _first", f"{LAST_SIZE} AS _last"]
+    return keyed.groupBy("_instance", "_cell").agg(*exprs(*sums))
 
-    The summary has one row per slice with rows, i.e. about (instances x hours) rows.
-    """
-    first, last = (LAST_SIZE, FIRST_SIZE) if reverse else (FIRST_SIZE, LAST_SIZE)
-    edges = keyed.groupBy(*place).agg(*exprs(f"{first} AS _first", f"{last} AS _last"))
+
+def _edges(keyed: DataFrame, summary: DataFrame, cuts: DataFrame, place: list[str], slice_rows: int, cell: str) -> DataFrame:
+    """First and last known size per slice. Cells that are not cut have them in the summary; only cut cells are read
+    again, so without such cells nothing is."""
+    whole = summary.where(f"_n <= {slice_rows}").selectExpr("_instance", "_cell", "0 AS _slice", "_first", "_last")
+    hot = _numbered(keyed.drop("_slice"), cuts, cell, "inner").groupBy(*place).agg(*exprs(f"{FIRST_SIZE} AS _first", f"{LAST_SIZE} AS _last"))
+    return whole.unionByName(hot)
+
+
+def _carry(edges: DataFrame, place: list[str], reverse: bool) -> DataFrame:
+    """Per slice: the size carried in from earlier slices, and the instance's first known size."""
+    first, last = ("_last", "_first") if reverse else ("_first", "_last")
     order = [F.col(c).desc() if reverse else F.col(c).asc() for c in place[1:]]
     w = Window.partitionBy("_instance").orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return edges.select(
         *place,
-        F.last("_last", ignorenulls=True).over(before).alias("_carry_in"),
-        F.first("_first", ignorenulls=True).over(whole).alias("_first_known"),
+        F.last(last, ignorenulls=True).over(before).alias("_carry_in"),
+        F.first(first, ignorenulls=True).over(whole).alias("_first_known"),
     )
 
 
-def _cut_hot_cells(keyed: DataFrame, slice_rows: int, cell: str) -> DataFrame:
-    """Number the slices of each cell so that slices keep the row order.
+def _spot(cell: str) -> str:
+    """A row's place inside its cell as one double: microseconds into the cell, plus the id's share of the cell's id range.
 
-    A row's place inside its cell is one double: microseconds into the cell, plus the id's share of the
-    cell's id range. It never decreases along (time, id), so any cut points give ordered slices, and even
-    rows of one instant are split by id. A cell of n rows gets at most ``n / slice_rows`` cuts, so all
-    cuts together hold at most ``rows / slice_rows`` doubles: that bounds the broadcast.
+    It never decreases along (time, id), so any cut points give ordered slices, and even rows of one instant are split by
+    id.
     """
-    cells = ["_instance", "_cell"]
-    spot = f"""least(CAST(coalesce(unix_micros(arrival_timestamp) - _cell, 0L) AS DOUBLE), {CELL_MICROS[cell]}D)
+    return f"""least(CAST(coalesce(unix_micros(arrival_timestamp) - _cell, 0L) AS DOUBLE), {CELL_MICROS[cell]}D)
         + (raw_id - _min_id) / (_max_id - _min_id + 1D)"""
-    hot = (
-        keyed.groupBy(*cells)
-        .agg(*exprs("count(*) AS _n", "min(raw_id) AS _min_id", "max(raw_id) AS _max_id"))
-        .where(f"_n > {slice_rows}")
-    )
+
+
+def _cuts(keyed: DataFrame, summary: DataFrame, slice_rows: int, cell: str) -> DataFrame:
+    """Cut points of the cells above ``slice_rows`` rows, at quantiles of their own order.
+
+    A cell of n rows gets at most ``n / slice_rows`` cuts, so all cuts together hold at most two doubles per ``slice_rows``
+    rows of input (3 MB for a million million rows): that bounds the broadcasts. Where no cell is that large, the broadcast
+    is empty and the scan behind it is dropped at run time.
+    """
+    cells = ["_instance", "_cell"]
+    hot = summary.where(f"_n > {slice_rows}").select(*cells, "_n", "_min_id", "_max_id")
     grid = ", ".join(f"{i / MAX_CUTS}D" for i in range(1, MAX_CUTS))
     parts = f"least(ceil(_n / {slice_rows}D), {MAX_CUTS}L)"
-    cuts = (
+    return (
         keyed.join(F.broadcast(hot), cells)
         .groupBy(*cells, "_n", "_min_id", "_max_id")
-        .agg(F.expr(f"percentile_approx({spot}, array({grid}), {MAX_CUTS * 10}) AS _grid"))
+        .agg(F.expr(f"percentile_approx({_spot(cell)}, array({grid}), {MAX_CUTS * 10}) AS _grid"))
         .selectExpr(
             *cells,
             "_min_id",
@@ -175,9 +190,13 @@ def _cut_hot_cells(keyed: DataFrame, slice_rows: int, cell: str) -> DataFrame:
             "*", f"transform(sequence(1, size(_cuts), {CUT_STRIDE}), i -> element_at(_cuts, i)) AS _heads"
         )
     )
+
+
+def _numbered(keyed: DataFrame, cuts: DataFrame, cell: str, how: str) -> DataFrame:
+    """Rows with the number of their slice, which keeps the row order: 0 in cells without cuts."""
     # two searches of at most CUT_STRIDE steps: the block of cuts, then the cut inside it
-    placed = keyed.join(F.broadcast(cuts), cells, "left").selectExpr(
-        "*", f"{spot} AS _spot"
+    placed = keyed.join(F.broadcast(cuts), ["_instance", "_cell"], how).selectExpr(
+        "*", f"{_spot(cell)} AS _spot"
     ).selectExpr("*", "size(filter(_heads, h -> h <= _spot)) AS _block")
     number = f"""CASE WHEN _cuts IS NULL OR _block = 0 THEN 0 ELSE (_block - 1) * {CUT_STRIDE}
         + size(filter(slice(_cuts, (_block - 1) * {CUT_STRIDE} + 1, {CUT_STRIDE}), c -> c <= _spot)) END"""

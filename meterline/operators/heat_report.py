@@ -102,9 +102,10 @@ def heat_scale(grid: DataFrame) -> DataFrame:
     return ends.selectExpr(*grid.columns, f"sqrt(least(greatest(value, low), {high})) AS shade")
 
 
-def wide_grid(grid: DataFrame) -> DataFrame:
-    """One row per bucket, one column per kept cluster (a bounded list)."""
-    return grid.groupBy("bucket_ts").pivot("cluster").agg(F.sum("value"))
+def wide_grid(grid: DataFrame, clusters: list[str]) -> DataFrame:
+    """One row per bucket, one column ``cluster_<name>`` per listed cluster (a bounded list), 0 where it has no value."""
+    columns = [f"coalesce(sum(value) FILTER (WHERE cluster = '{c}'), 0D) AS `cluster_{c}`" for c in clusters]
+    return grid.groupBy("bucket_ts").agg(*exprs(*columns))
 
 
 def cluster_summary(cells: DataFrame, top: int = PAGE_TOP) -> DataFrame:

@@ -49,6 +49,7 @@ DECODE_EDGES = (
 # An object that ingest_types adds to each message.
 PLAN = """concat(left(value, length(value) - 1), ',"plan":{"steps":[', raw_id % 7, ',"', query_id, '",', 0.5 + raw_id, '],"cached":',
     was_cached = 1, ',"none":null}}')"""
+INSTANCES = 8
 # Files of the stream with late rows.
 LATE_FILES = 6
 # Offsets of the landed telemetry start this far apart, so that some partitions lag far behind others.
@@ -185,7 +186,8 @@ def _run_to_end(stream: DataFrame, write, work: str) -> None:
 
 @query
 def ingest_prepare_trace(spark, sf_dir):
-    return ingest.prepare_trace(read_telemetry(spark, sf_dir)).select(
+    trace = as_trace(tables.read_trace(spark, f"{sf_dir}/events.parquet", time_col="ts"))
+    return ingest.prepare_trace(trace).select(
         "raw_id", "query_id", "instance_id", "arrival_timestamp"
     )
 
@@ -604,6 +606,14 @@ def rep_heat_grid(spark, sf_dir):
     return heat_report.heat_grid(_heat_cells(spark, sf_dir))
 
 
+@query
+def rep_heat_wide(spark, sf_dir):
+    """Mean load per bucket, one column per cluster."""
+    rows = _workload_window(spark, sf_dir, HEAT_WINDOW)
+    cells = heat_report.bucket_totals(rows, "heavy_units_sum", HEAT_BUCKET, how="mean")
+    return heat_report.wide_grid(heat_report.heat_grid(cells), [str(i) for i in range(INSTANCES)])
+
+
 @query
 def rep_heat_normalized(spark, sf_dir):
     return heat_report.normalize_per_cluster(
@@ -637,7 +647,7 @@ def rep_cluster_series(spark, sf_dir):
 def stream_efficiency(spark, sf_dir):
     work = shared_dir(spark, "stream-efficiency")
     out = stream_kpis.efficiency_stream(_stream_of_events(spark, sf_dir))
-    _run_to_end(out, stream_kpis.closed_writer(f"{work}/out"), work)
+    _run_to_end(out, stream_kpis.closed_writer(f"{work}/out", f"{work}/checkpoint"), work)
     return stream_kpis.read_closed(spark, f"{work}/out")
 
 
@@ -649,7 +659,7 @@ def stream_cluster_workload(spark, sf_dir):
     tables.write_by_day(fact, f"{work}/clean", "arrival_timestamp")
     rows = spark.readStream.schema(fact.schema).parquet(f"{work}/clean")
     _run_to_end(
-        stream_kpis.workload_stream(rows), stream_kpis.closed_writer(f"{work}/out"), work
+        stream_kpis.workload_stream(rows), stream_kpis.closed_writer(f"{work}/out", f"{work}/checkpoint"), work
     )
     return stream_kpis.read_closed(spark, f"{work}/out")
 
@@ -658,7 +668,7 @@ def stream_cluster_workload(spark, sf_dir):
 def stream_leaderboard(spark, sf_dir):
     work = shared_dir(spark, "stream-leaderboard")
     totals = stream_kpis.leaderboard_totals_stream(_stream_of_events(spark, sf_dir))
-    _run_to_end(totals, stream_kpis.ranked_writer(f"{work}/out"), work)
+    _run_to_end(totals, stream_kpis.ranked_writer(f"{work}/out", f"{work}/checkpoint"), work)
     return stream_kpis.read_closed(spark, f"{work}/out")
 
 

@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from meterline.schemas import MESSAGE
 
-MAX_OFFSETS_PER_TRIGGER = 500
-
 
 def kafka_options(
-    servers: str, topic: str, max_offsets: int | None = MAX_OFFSETS_PER_TRIGGER, **extra: str
+    servers: str, topic: str, max_offsets: int | None = None, **extra: str
 ) -> dict[str, str]:
-    """Reader options: start at the earliest offset, bounded batches. Offsets live in the checkpoint."""
+    """Reader options: start at the earliest offset; ``max_offsets`` bounds a batch. Offsets live in the checkpoint."""
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meterline.functions import exprs
 from meterline.operators.ingest import decode_messages, first_deliveries, land_decoded, rejected
-from meterline.schemas import LANDING, MESSAGE_KEY
+from meterline.schemas import LANDING, MESSAGE, MESSAGE_KEY
 from meterline.sources.tables import table_exists
 
 FLUSH_INTERVAL = "2 seconds"
@@ -37,9 +37,10 @@ def landing_writer(landing_path: str, rejects_path: str | None = None) -> Callab
     def write(batch: DataFrame, _batch_id: int) -> None:
         decoded = decode_messages(batch).persist()
         try:
-            append_new(land_decoded(decoded), landing_path, _offset_ranges(decoded))
+            ranges = _offset_ranges(decoded)
+            append_new(land_decoded(decoded), landing_path, ranges)
             if rejects_path is not None:
-                append_rejects(rejected(decoded), rejects_path)
+                append_rejects(rejected(decoded), rejects_path, ranges)
         finally:
             decoded.unpersist()
 
@@ -55,6 +56,15 @@ def _offset_ranges(batch: DataFrame) -> list[Row]:
     )
 
 
+def _in_ranges(ranges: list[Row], topic: str, partition: str, offset: str) -> Column:
+    """Rows that a batch may repeat. Missing origins count as values of their own."""
+    wanted = F.lit(False)
+    for r in ranges:
+        inside = F.col(offset).isNull() if r["low"] is None else F.col(offset).isNull() | F.col(offset).between(r["low"], r["high"])
+        wanted = wanted | (F.col(topic).eqNullSafe(r["topic"]) & F.col(partition).eqNullSafe(r["partition"]) & inside)
+    return wanted
+
+
 def append_new(rows: DataFrame, path: str, ranges: list[Row]) -> None:
     """Append landing rows that the table does not hold yet.
 
@@ -75,13 +85,26 @@ def append_new(rows: DataFrame, path: str, ranges: list[Row]) -> None:
     _append(fresh, path)
 
 
-def append_rejects(rows: DataFrame, path: str) -> None:
-    """Keep undecodable messages, also once each."""
-    keys = ["topic", "partition", "offset"]
-    fresh = rows.dropDuplicates(keys)
-    if table_exists(rows.sparkSession, path):
-        fresh = first_deliveries(fresh, rows.sparkSession.read.parquet(path), keys)
-    fresh.write.mode("append").parquet(path)
+def append_rejects(rows: DataFrame, path: str, ranges: list[Row]) -> None:
+    """Keep undecodable messages, also once each; like landed ones they are only compared with the batch's own offsets.
+
+    A message without an offset is told by its text as well, and missing values equal each other.
+    """
+    keys = ["topic", "partition", "offset", "_text"]
+    text = F.when(F.col("offset").isNull(), F.col("value"))
+    fresh = rows.withColumn("_text", text).dropDuplicates(keys)
+    if ranges and table_exists(rows.sparkSession, path):
+        held = read_rejects(rows.sparkSession, path).where(_in_ranges(ranges, "topic", "partition", "offset"))
+        held = held.withColumn("_text", text).select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+        fresh = fresh.join(held, same, "left_anti")
+    fresh.drop("_text").sortWithinPartitions("topic", "partition", "offset").write.mode("append").parquet(path)
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MESSAGE).parquet(path)
 
 
 def _append(rows: DataFrame, path: str) -> None:

@@ -3,6 +3,9 @@
 A minute is emitted once, when it closes. The watermark trails the newest arrival by the gate minus one
 minute: a minute's window ends one minute after it starts, so exactly the minutes up to
 ``newest minute - gate`` are closed, as in batch. State is one row per open minute and key.
+
+Rows behind the watermark are dropped here, and Spark counts them in its progress. Where late rows must correct closed
+minutes, use ``streaming.totals`` (sums) or ``streaming.refresh`` (all tables), which drop none.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from meterline.functions.aggregates import score_sum
 from meterline.operators import bounds, kpis
 from meterline.operators.leaderboard import DIMENSION_COLUMNS, WINDOW, rank_totals, unpivot_dimensions
 from meterline.sources import tables
+from meterline.streaming.totals import generation_of
 
 LATENESS = "10 minutes"
 
@@ -58,9 +62,9 @@ def leaderboard_totals_stream(
     )
 
 
-def ranked_writer(path: str, top: int = 10) -> Callable[[DataFrame, int], None]:
+def ranked_writer(path: str, checkpoint: str, top: int = 10) -> Callable[[DataFrame, int], None]:
     """Batch function: rank the windows a batch closes. All rows of a window close in the same batch."""
-    write = closed_writer(path)
+    write = closed_writer(path, checkpoint)
 
     def ranked(batch: DataFrame, batch_id: int) -> None:
         write(rank_totals(batch, top), batch_id)
@@ -68,17 +72,21 @@ def ranked_writer(path: str, top: int = 10) -> Callable[[DataFrame, int], None]:
     return ranked
 
 
-def closed_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """Batch function: store closed rows, one folder per batch, so that a replayed batch replaces itself.
+def closed_writer(path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """Batch function: store closed rows, one folder per checkpoint and batch, so that a replayed batch replaces itself.
 
-    Rows are written from the tasks that hold them: another shuffle would evaluate the state again.
+    A new ``checkpoint`` closes all minutes anew, so readers take the newest one's rows only. Rows are written from the
+    tasks that hold them: another shuffle would evaluate the state again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        generation = generation_of(batch.sparkSession, checkpoint)
+        batch.write.mode("overwrite").parquet(f"{path}/generation={generation}/batch_id={batch_id}")
 
     return write
 
 
 def read_closed(spark, path: str) -> DataFrame:
-    return tables.read_table(spark, path).drop("batch_id")
+    rows = tables.read_table(spark, path)
+    newest = rows.selectExpr("max(generation)").first()[0]
+    return rows.where(F.col("generation") == newest).drop("generation", "batch_id")

@@ -70,9 +70,10 @@ def test_hot_instant_is_cut_by_id(spark):
     """All rows at one instant of one instance: slices stay small and ordered."""
     rows = [(i, 1, "2024-01-01 00:00:00", None) for i in range(1000)]
     keyed = frame(spark, rows).selectExpr("*", "1L AS _instance", "unix_micros(arrival_timestamp) AS _cell")
-    cut = fill._cut_hot_cells(keyed, 50, "hour").groupBy("_slice").agg({"raw_id": "count"}).collect()
+    sliced = fill._numbered(keyed, fill._cuts(keyed, fill._cells(keyed), 50, "hour"), "hour", "left")
+    cut = sliced.groupBy("_slice").agg({"raw_id": "count"}).collect()
     assert len(cut) >= 19 and max(r[1] for r in cut) <= 60
-    edges = fill._cut_hot_cells(keyed, 50, "hour").selectExpr("_slice", "raw_id").orderBy("raw_id").collect()
+    edges = sliced.selectExpr("_slice", "raw_id").orderBy("raw_id").collect()
     assert [r[0] for r in edges] == sorted(r[0] for r in edges)
 
 
@@ -81,3 +82,13 @@ def test_seed_applies_before_the_first_known_size(spark):
     seeds = spark.createDataFrame([(1, 16.0)], "instance_id INT, seed_size DOUBLE")
     got = {r.raw_id: r.cluster_size_clean for r in fill.fill_cluster_size(df, seeds=seeds).collect()}
     assert got == {1: 16.0, 2: 4.0, 3: 1.0}
+
+
+def test_without_large_cells_the_input_is_read_twice(spark, tmp_path):
+    """Once for the summary, once for the rows: the scans for cut points are dropped when the plan sees none."""
+    frame(spark, random_rows(3)).write.parquet(f"{tmp_path}/rows")
+    filled = fill.fill_cluster_size(spark.read.parquet(f"{tmp_path}/rows"))
+    filled.collect()
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("FileScan parquet") - final.count("ReusedExchange") <= 2

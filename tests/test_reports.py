@@ -203,8 +203,8 @@ def test_heat_grid_normalization_and_shades(spark):
     assert shades[("2", 30)] == pytest.approx(np.sqrt(hi)) and shades[("1", 5)] == pytest.approx(1.0)
     flat = heat.heat_scale(grid.selectExpr("cluster", "bucket_ts", "4D AS value", "cluster_position"))
     assert {r.shade for r in flat.collect()} == {2.0}
-    wide = heat.wide_grid(grid).orderBy("bucket_ts").collect()
-    assert [(r["1"], r["2"]) for r in wide] == [(6.0, 3.0), (1.0, 0.0), (0.0, 8.0)]
+    wide = heat.wide_grid(grid, ["1", "2"]).orderBy("bucket_ts").collect()
+    assert [(r["cluster_1"], r["cluster_2"]) for r in wide] == [(6.0, 3.0), (1.0, 0.0), (0.0, 8.0)]
     assert [r.value for r in heat.cluster_series(cells, 1).collect()] == [6.0, 1.0, 0.0]
     means = heat.top_clusters(heat_rows(spark), 1, "mean", "instance_id", "heavy_units_sum").first()
     assert (means.cluster, means.total) == ("2", 5.5)

@@ -20,7 +20,7 @@ def test_restarts_and_replays_land_each_message_once(spark, sf_dir, tmp_path):
     source, landing, rejects = (str(tmp_path / n) for n in ("in", "landing", "rejects"))
     rows = sent(spark, sf_dir)
     lost = [("x", "{oops", "t", 9, 1), ("y", "{no origin", None, None, None), ("y", "{another", None, None, None)]
-    broken = spark.createDataFrame(lost, rows.schema)
+    broken = spark.createDataFrame(lost, "key STRING, value STRING, topic STRING, partition INT, offset BIGINT")
     rows.where("offset < 600").repartition(3).write.parquet(source)
     write = si.landing_writer(landing, rejects)
     messages = streams.read_message_stream(spark, source, max_files=1)

@@ -41,14 +41,16 @@ def encode_messages(rows: DataFrame, key_col: str = "query_id", left_out: tuple[
 
 # Blanks of JSON, and how a message says that it may hold a number that is not finite.
 _BLANKS = " \\t\\n\\r"
-_MAYBE_NONFINITE = "NaN|Inf|INF|[eE][+]?[0-9]{3}"
+_MAYBE_NONFINITE = " OR ".join([*(f"contains(value, '{t}')" for t in ("NaN", "Inf", "INF")), "value RLIKE '[eE][+]?[0-9]{3}'"])
 # A token outside of strings that reads as not finite, and all that may stand before the next one.
 _NONFINITE = "[+-]?(?:NaN|Infinity|INF)|-?[0-9][0-9.]*[eE][+]?0*(?:309|3[1-9][0-9]|[4-9][0-9]{2}|[0-9]{4,})(?![0-9])"
 _FINITE = (
     """[^"NI0-9+-]++|"(?:[^"\\\\\\\\]++|\\\\\\\\.)*+"|"""
     f"(?!{_NONFINITE})(?:[+-]?[0-9][0-9.]*+(?:[eE][+-]?[0-9]++)?+|[+-])"
 )
-FINITE_TEXT = f"""CASE WHEN value RLIKE '{_MAYBE_NONFINITE}'
+_EMPTY = f"^[{_BLANKS}]*[{{][{_BLANKS}]*[}}]$"
+_ENDED = f"CASE WHEN endswith(value, '}}') THEN value ELSE TRIM(TRAILING '{_BLANKS}' FROM value) END"
+FINITE_TEXT = f"""CASE WHEN {_MAYBE_NONFINITE}
     THEN regexp_replace(value, '\\\\G((?:{_FINITE})*+)(?:{_NONFINITE})', '$1null') ELSE value END"""
 STAMP = f"date_format(current_timestamp(), '{TIME_FORMAT}')"
 
@@ -62,10 +64,9 @@ def _event(columns: list[str]) -> str:
     have = {c: c if c in columns else "NULL" for c in ("topic", "partition", "offset", "key")}
     origin = f"""named_struct('_ingest_ts_utc', {STAMP}, '_kafka_topic', {have["topic"]}, '_kafka_partition', CAST({have["partition"]} AS INT),
         '_kafka_offset', CAST({have["offset"]} AS BIGINT), '_kafka_key', CAST({have["key"]} AS STRING))"""
-    ended = f"TRIM(TRAILING '{_BLANKS}' FROM value)"
-    body = f"TRIM(TRAILING '{_BLANKS}' FROM left({ended}, length({ended}) - 1))"
-    return f"""CASE WHEN {ended} LIKE '%}}' THEN try_parse_json(concat(
-        {body}, CASE WHEN {body} LIKE '%{{' THEN '' ELSE ',' END, substr({JSON_OF.format(origin)}, 2))) END"""
+    own = JSON_OF.format(origin)
+    return f"""CASE WHEN endswith(_text, '}}') THEN try_parse_json(CASE WHEN _text RLIKE '{_EMPTY}' THEN {own}
+        ELSE concat(left(_text, length(_text) - 1), ',', substr({own}, 2)) END) END"""
 
 
 _WHOLE = f"try_variant_get(event, '$._ingest_ts_utc', 'string') = {STAMP}"
@@ -80,9 +81,9 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     :func:`accepted` and :func:`rejected`.
     """
     messages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    others = [c for c in messages.columns if c != "value"]
-    text = messages.selectExpr(*others, "CAST(value AS STRING) AS value").selectExpr(*others, f"{FINITE_TEXT} AS value", "value AS _sent")
-    parsed = text.selectExpr(*others, "_sent AS value", f"{_event(messages.columns)} AS event")
+    text = messages.withColumn("value", F.col("value").cast("string")).selectExpr("*", f"{FINITE_TEXT} AS _finite")
+    ended = text.selectExpr(*messages.columns, f"{_ENDED.replace('value', '_finite')} AS _text")
+    parsed = ended.selectExpr(*messages.columns, f"{_event(messages.columns)} AS event")
     return parsed.selectExpr(*messages.columns, f"CASE WHEN {_WHOLE} THEN event END AS event")
 
 

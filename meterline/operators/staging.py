@@ -16,23 +16,15 @@ NULLABLE = {
 }
 
 
-def _from_event(f: T.StructField, strict: bool) -> str:
-    """A field of the event, which may be a JSON number or text. Numbers are read as such; text is cast."""
-
-    def read(type_name: str) -> str:
-        return f"try_variant_get(event, '$.{f.name}', '{type_name}')"
-
-    text = read("string")
+def _from_text(f: T.StructField, text: str, strict: bool) -> str:
     if f.name in ID_LISTS:
         return text
     if isinstance(f.dataType, T.TimestampType):
         return V.to_time(text, strict)
     if isinstance(f.dataType, (T.IntegerType, T.LongType)):
-        name = f.dataType.simpleString()
-        # whole numbers first: going through double would round 64-bit ids
-        return V.to_whole(text, name, strict) if strict else f"coalesce({read(name)}, TRY_CAST({read('double')} AS {name}))"
+        return V.to_whole(text, f.dataType.simpleString(), strict)
     if isinstance(f.dataType, T.DoubleType):
-        return V.to_number(text, strict) if strict else V.finite(read("double"))
+        return V.to_number(text, strict)
     return V.empty_to_null(text)
 
 
@@ -67,13 +59,16 @@ def raw_scan(landing: DataFrame) -> DataFrame:
 
 
 def stage_events(landing: DataFrame, strict: bool = False) -> DataFrame:
-    """Landed events -> staged rows. ``event`` is a VARIANT, or JSON text, which is parsed once per row.
+    """Landed events -> staged rows. ``event`` is a VARIANT, or JSON text.
 
-    ``strict`` raises on text that does not fit its type; by default it reads as missing.
+    A field may be a JSON number or text, so all are read as text, in one pass over the event, and then cast. ``strict``
+    raises on text that does not fit its type; by default it reads as missing.
     """
     is_text = dict(landing.dtypes)["event"] == "string"
-    rows = raw_scan(landing).selectExpr("id", f"{'try_parse_json(event)' if is_text else 'event'} AS event")
-    return rows.selectExpr(*_staged_columns("id", {f.name: _from_event(f, strict) for f in TRACE.fields}))
+    fields = ", ".join(f"{f.name}{' ' if is_text else ':'}STRING" for f in TRACE.fields)
+    read = f"from_json(event, '{fields}')" if is_text else f"try_variant_get(event, '$', 'struct<{fields}>')"
+    rows = raw_scan(landing).selectExpr("id AS raw_id", f"{read} AS e").select("raw_id", "e.*")
+    return rows.selectExpr(*_staged_columns("raw_id", {f.name: _from_text(f, f.name, strict) for f in TRACE.fields}))
 
 
 def stage_trace(trace: DataFrame) -> DataFrame:

@@ -751,17 +751,25 @@ def _stored(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return rows.selectExpr(*[_event_id(c) if c in ids else c for c in rows.columns if c != "cluster_size" or table != "clean"])
 
 
+def _streamed_root(spark: SparkSession, sf_dir: str) -> str:
+    """Root of tables that a stream of messages has filled, once per application and input: three micro-batches, partition 5
+    in the last one, days late."""
+    key = (spark.sparkContext.applicationId, f"stream {sf_dir}")
+    if key not in _STORED:
+        work = shared_dir(spark, "stream-refresh")
+        messages = _messages(spark, sf_dir).select(*[f.name for f in MESSAGE.fields])
+        n = read_events(spark, sf_dir).selectExpr("max(event_id) AS n").first()["n"]
+        delivery = f"CASE WHEN partition = 5 OR offset > {n * 2 // 3} THEN 2 WHEN offset > {n // 3} THEN 1 ELSE 0 END"
+        for i in range(3):
+            messages.where(f"{delivery} = {i}").coalesce(1).write.mode("append").parquet(f"{work}/in")
+        stream = streams.read_message_stream(spark, f"{work}/in", max_files=1)
+        stream_refresh.start(stream, f"{work}/tables", f"{work}/checkpoint", once=True).awaitTermination()
+        _STORED[key] = f"{work}/tables"
+    return _STORED[key]
+
+
 def _streamed(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A stored table that a stream of messages has filled: three micro-batches, partition 5 in the last one, days late."""
-    work = shared_dir(spark, "stream-refresh")
-    messages = _messages(spark, sf_dir).select(*[f.name for f in MESSAGE.fields])
-    n = read_events(spark, sf_dir).selectExpr("max(event_id) AS n").first()["n"]
-    delivery = f"CASE WHEN partition = 5 OR offset > {n * 2 // 3} THEN 2 WHEN offset > {n // 3} THEN 1 ELSE 0 END"
-    for i in range(3):
-        messages.where(f"{delivery} = {i}").coalesce(1).write.mode("append").parquet(f"{work}/in")
-    stream = streams.read_message_stream(spark, f"{work}/in", max_files=1)
-    stream_refresh.start(stream, f"{work}/tables", f"{work}/checkpoint", once=True).awaitTermination()
-    rows = refresh.read(spark, f"{work}/tables", table).drop(tables.PARTITION)
+    rows = refresh.read(spark, _streamed_root(spark, sf_dir), table).drop(tables.PARTITION)
     ids = [c for c in ("raw_id", "source_max_raw_id") if c in rows.columns]
     return rows.selectExpr(*[f"shiftright({c}, {ingest.SOURCE_BITS}) AS {c}" if c in ids else c for c in rows.columns if c != "cluster_size" or table != "clean"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,9 +13,25 @@ from pyspark.sql import functions as F
 
 from meterline.llm import common
 
-#: Values of a sketch that go into the inverted lists; values of the sketch that estimates; overlap of listed values
-#: that two linked documents have but for one pair in several millions (binomial 24, 0.85).
-LISTED, SKETCH, OVERLAP = 24, 128, 10
+#: Values of a sketch that go into the inverted lists; values of the sketch that estimates.
+LISTED, SKETCH = 24, 128
+#: Chance at most with which two linked sets share fewer listed values than the lists ask for, and standard errors
+#: below the threshold that the union-sketch estimate may lie (a chance of the same order).
+MISS, ERRORS = 1e-9, 6
+
+
+def overlap(percent: int) -> int:
+    """Listed values that two sets at the threshold share but with a chance of MISS: a binomial tail.
+
+    Of the LISTED smallest values of their union each is in both sets with the threshold's chance, and those are listed
+    by both.
+    """
+    t, below = percent / 100, 0.0
+    for shared in range(LISTED):
+        below += math.comb(LISTED, shared) * t**shared * (1 - t) ** (LISTED - shared)
+        if below > MISS:
+            return max(shared, 1)
+    return LISTED
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
@@ -49,7 +66,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, size and 128-bit digest of the shingle set, and its LISTED smallest values."""
+    """doc_id, hash of the text, size and 128-bit digest of the shingle set, and its LISTED smallest values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,15 +75,17 @@ def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("of_text"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         _lists([s[:LISTED] for s in sets]),
                     ],
-                    names=["doc_id", "n", "fp", "listed"],
+                    names=["doc_id", "of_text", "n", "fp", "listed"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, fp binary, listed array<long>")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("of_text"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, of_text long, n long, fp binary, listed array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -125,7 +144,7 @@ def _near_in_size(x: str, y: str, percent: int) -> Column:
 def _may_link(sx: str, sy: str, nx: str, ny: str, percent: int) -> Column:
     """Union-sketch estimate: of the SKETCH smallest values of both sketches, the share found in both.
 
-    The bar lies five standard errors (without replacement) below the threshold; an estimate over the whole union is
+    The bar lies ERRORS standard errors (without replacement) below the threshold; an estimate over the whole union is
     exact and gets no slack.
     """
     union = F.slice(F.sort_array(F.array_union(sx, sy)), 1, SKETCH)
@@ -133,7 +152,7 @@ def _may_link(sx: str, sy: str, nx: str, ny: str, percent: int) -> Column:
     share = F.size(F.array_intersect(F.array_intersect(sx, sy), union)) / k
     t = percent / 100
     part = F.greatest(F.lit(0.0), 1 - SKETCH * (1 + t) / (F.col(nx) + F.col(ny)))
-    slack = F.when(k < SKETCH, 0.0).otherwise(5 * F.sqrt(part * (t * (1 - t) / SKETCH)))
+    slack = F.when(k < SKETCH, 0.0).otherwise(ERRORS * F.sqrt(part * (t * (1 - t) / SKETCH)))
     return share >= t - slack - 1e-9
 
 
@@ -170,7 +189,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, estimated: bool)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
-    """Per document doc_id, n_shingles, component_id and kept.
+    """Per document doc_id, n_shingles, component_id, kept and of_text, the hash of its text.
 
     Two documents are linked when 100 * shared >= percent * all distinct shingles; a component's id is its smallest
     doc_id, and the row with that id is kept.
@@ -186,13 +205,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
        bound and by the union-sketch estimate inside the join.
     4. Full sets confirm every link.
 
+    A link is missed only if the two sets share fewer than ``overlap`` listed values, or if the estimate errs by ERRORS
+    standard errors: each about once in a thousand million pairs at the threshold. Sets whose partners are all listed
+    whole (n * 100 <= LISTED * percent) have no such chance.
+
     A text without words has an empty set and stays alone. A null doc_id is never linked: its component_id is null
-    and it is kept. Rows that repeat a doc_id with one text are all kept or all dropped with it. Other columns are
+    and it is kept. Rows that repeat a doc_id with one text are all kept or all dropped with it; an id with several texts has a
+    row, and links, for each. Other columns are
     ignored.
     """
     found = common.stored(sketch_documents(docs, shingle), "sketches")
     real = found.where("n > 0 and doc_id is not null")
-    classes = real.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("listed").alias("listed"))
+    one = F.min(F.struct("doc_id", "of_text")).alias("one")
+    classes = real.groupBy("fp").agg(one, F.first("n").alias("n"), F.first("listed").alias("listed"))
+    classes = classes.select("fp", F.col("one.doc_id").alias("rep"), F.col("one.of_text").alias("of_text"), "n", "listed")
     classes = common.stored(classes.withColumn("nid", F.monotonically_increasing_id()), "classes")
 
     posted = classes.select("nid", "n", F.explode("listed").alias("v"))
@@ -201,16 +227,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
         F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "v"))).alias("shared")
     )
     few = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    reach = F.when(F.col("n") <= 20, few).otherwise(LISTED - OVERLAP + 1)
+    reach = F.when(F.col("n") * 100 <= LISTED * percent, few).otherwise(LISTED - overlap(percent) + 1)
     own = F.least("n", F.lit(LISTED)) - F.size("shared")
     lists = shared.withColumn("own", own).withColumn("take", (reach - own).cast("int")).where("take > 0")
     lists = common.stored(
         lists.select("nid", "n", "own", F.expr("slice(transform(shared, s -> s.v), 1, take)").alias("lists")), "lists"
     )
 
-    members = lists.join(classes.select("nid", "rep", "fp"), "nid").select("nid", "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    sets = common.stored(full_sets(texts.join(members, "rep"), shingle).dropDuplicates(["nid", "n"]), "sets")
+    members = lists.join(classes.select("nid", "rep", "of_text"), "nid").select("nid", "rep", "of_text")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64(text).alias("of_text"), text.alias("text"))
+    sets = common.stored(full_sets(texts.join(members, ["rep", "of_text"]), shingle).dropDuplicates(["nid", "n"]), "sets")
     alone = common.stored(_unshared(sets), "unshared")
     central = lists.join(alone, "nid", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     in_list = common.stored(central.select("nid", "n", "u", F.explode("lists").alias("v")), "members")
@@ -246,7 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
     placed = classes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     smallest = common.stored(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
     ids = common.stored(placed.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "ids")
-    alone = found.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = real.join(ids, "fp").select("doc_id", "n", "component_id").unionByName(alone)
+    alone = found.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), "of_text")
+    out = real.join(ids, "fp").select("doc_id", "n", "component_id", "of_text").unionByName(alone)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "of_text")

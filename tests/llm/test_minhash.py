@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -64,3 +65,22 @@ def test_components_of_a_path_and_a_star(spark):
     star = [(100, i) for i in range(101, 140)]
     found = {r.node: r.root for r in minhash.components(spark.createDataFrame(path + star, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+
+
+def test_an_id_with_several_texts_links_each(spark):
+    words = [f"w{i}" for i in range(61)]
+    a, b = " ".join(words), " ".join(f"v{i}" for i in range(61))
+    near_a, near_b = " ".join([*words[:-1], "other"]), b.replace("v60", "other")
+    rows = [(1, a), (1, b), (2, near_a), (3, near_b), (1, a), (4, near_b), (4, "alone with four words here")]
+    for percent in (80, 85):
+        found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == sorted(
+            [(1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (4, 4, True)]
+        )
+
+
+def test_overlap_is_the_largest_within_the_tail():
+    for percent in (50, 80, 85, 95):
+        t, o = percent / 100, minhash.overlap(percent)
+        chance = lambda k: sum(math.comb(24, i) * t**i * (1 - t) ** (24 - i) for i in range(k))
+        assert o == 1 or chance(o) <= minhash.MISS < chance(o + 1)

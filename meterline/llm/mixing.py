@@ -84,13 +84,27 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (not at all, once, twice); columns unchanged."""
-    mixed = mix_sources(docs, **options).where("taken > 0")
-    times = mixed.groupBy("_key", F.col("doc_id").alias("_doc")).agg(
-        F.ceil(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times")
-    )
-    seed = options.get("seed", 1)
-    keyed = docs.withColumn("_mix", F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(seed)))
-    same = (F.col("_mix") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))
-    repeated = keyed.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with each row as often as the mix takes it (not at all, once, twice); columns unchanged.
+
+    Rows that repeat doc_id, text and source are interchangeable. Only such a group that lies across the edge of its
+    source's budget is taken in part, one group a source at most: its rows are numbered, over ranges, and the first ones
+    taken once more. The row's own columns travel as one struct, so none can clash.
+    """
+    mixed = mix_sources(docs, **options).where("size > 0").withColumn("times", F.col("taken") / F.col("size"))
+    times = mixed.groupBy(F.col("_key").alias("key"), F.col("doc_id").alias("id"), F.col("source").alias("of")).agg(
+        F.min("times").cast("int").alias("least"), F.max("times").cast("int").alias("most"),
+        F.sum("times").cast("long").alias("total"), F.count(F.lit(1)).alias("rows"),
+    ).where("most > 0")
+    times = common.stored(times, "times")
+    keyed = docs.select(
+        F.xxhash64("doc_id", "text", F.lit(options.get("seed", 1))).alias("key0"), F.col("doc_id").cast("long").alias("id0"),
+        F.col("source").cast("string").alias("of0"), F.struct("*").alias("row"),
+    )
+    same = (F.col("key0") == F.col("key")) & F.col("id0").eqNullSafe(F.col("id")) & F.col("of0").eqNullSafe(F.col("of"))
+    whole = keyed.join(times.where("least = most"), same).select("row", F.col("most").alias("copies"))
+    edge = keyed.join(times.where("least < most"), same).withColumn("one", F.lit(1).cast("long"))
+    edge = edge.withColumn("tie", F.monotonically_increasing_id())
+    edge = common.running_total(edge, ["key", "id", "of"], ["tie"], "one", "nth")
+    more = (F.col("nth") < F.col("total") - F.col("least") * F.col("rows")).cast("int")
+    copies = whole.unionByName(edge.select("row", (F.col("least") + more).alias("copies"))).where("copies > 0")
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

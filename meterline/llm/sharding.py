@@ -23,13 +23,12 @@ def shard_of(key: Column, weights: list[float]) -> Column:
 def assign_shards(docs: DataFrame, weights: list[float], more: list[float] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, and with ``more`` the shard under these weights as grown_shard.
 
-    The key is the doc_id, so equal ids share a shard whatever their texts; a null doc_id takes the hash of its text as
-    key. Size is the text's UTF-8 bytes (null: none) plus one, its crc32 is that of these bytes. Slots number a shard's
+    The key is the doc_id alone, so equal ids share a shard whatever their texts, and so do all null ids. Size is the text's UTF-8 bytes (null: none) plus one, its crc32 is that of these bytes. Slots number a shard's
     rows from 0 without gaps, by running totals over hashed ranges: repeated ids and a shard with most rows are no
     burden on one task. An empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))
+    key = F.col("doc_id").cast("long")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),

@@ -11,6 +11,8 @@ from meterline.llm import common
 RATIO, LEAST_PAGES = 0.3, 3
 #: Pages of a host that share one row of its boilerplate lines in the join.
 SALT_PAGES = 2000
+#: Largest list of salted hosts, in bytes of their names, that is broadcast; a longer one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -33,8 +35,9 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
 
     A line is boilerplate if at least ``least_pages`` pages of the host and at least ``ratio`` of them hold it. A page
     counts once per line, however often it repeats it. Lines are compared as they are, not by hash. A host has at most
-    (lines per page) / ratio such lines, whatever its number of pages, so they travel as one array per host, copied
-    SALT_PAGES pages apiece; pages join on host and salt, so a host with most pages spreads over tasks.
+    (lines per page) / ratio such lines, whatever its number of pages, so they travel as one array per host. A host
+    of more than SALT_PAGES pages has one copy for every SALT_PAGES of them, and its pages are dealt over the copies, so a
+    host with most pages spreads over tasks and the others keep their single row.
 
     A null url has host '' like any without one; null or empty html has no lines; repeated rows are pages of their own;
     a null page_id is carried; other columns are ignored.
@@ -47,11 +50,13 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     held = rows.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     common_lines = held.where(F.col("n") >= least_pages).join(totals, "host").where(F.col("n") >= F.col("pages") * F.lit(ratio))
     arrays = common_lines.groupBy("host").agg(F.collect_set("line").alias("drop"), F.first("pages").alias("pages"))
-    most = totals.agg(F.max("pages")).first()[0] or 1
-    salts = -(-most // SALT_PAGES)
-    arrays = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1).cast("int"))))
-    arrays = common.stored(arrays.select("host", F.col("salt").cast("long"), "drop"), "host-lines")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(salts)).cast("long"))
+    salts = F.ceil(F.col("pages") / SALT_PAGES).cast("long")
+    arrays = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    arrays = common.stored(arrays.select("host", "salt", "drop"), "host-lines")
+    large = totals.where(F.col("pages") > SALT_PAGES).select("host", salts.alias("salts"))
+    names = large.agg(F.sum(F.octet_length("host") + 64)).first()[0] or 0
+    salted = rows.join(F.broadcast(large) if names <= BROADCAST_BYTES else large, "host", "left")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("salt"), F.coalesce("salts", F.lit(1)))).drop("salts")
     joined = salted.join(arrays, ["host", "salt"], "left")
     stays = F.filter("lines", lambda line: ~F.array_contains(F.coalesce("drop", F.array().cast("array<string>")), line))
     return joined.withColumn("stays", stays).select(

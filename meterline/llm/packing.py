@@ -20,6 +20,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LENGTH = 2048
 #: Bytes of text that are packed together.
 GROUP_BYTES = 16 << 20
+#: Tokens that a task holds at once; a group of that many bytes has no more.
+HELD_TOKENS = GROUP_BYTES
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E), 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -177,6 +179,12 @@ def _matrix(group: int, table: pa.Table, length: int, pad: int, width: int) -> p
     )
 
 
+def _bounded(group: int, held: list[pa.RecordBatch], first: int, *form) -> pa.RecordBatch:
+    packed = _matrix(group, pa.Table.from_batches(held), *form)
+    rows = pa.array(range(first, first + packed.num_rows), pa.int64())
+    return packed.set_column(1, "pack_row", rows)
+
+
 def pack(docs: DataFrame, ranks_file: str = RANKS, length: int = LENGTH, group_bytes: int = GROUP_BYTES, pad: int = 0) -> DataFrame:
     """Packed rows: pack_group, pack_row, n_tokens, input_ids, position_ids, cu_seqlens, doc_ids, parts.
 
@@ -184,8 +192,9 @@ def pack(docs: DataFrame, ranks_file: str = RANKS, length: int = LENGTH, group_b
     they suffice); positions begin anew at each bound in ``cu_seqlens``, whose last entry is the number of tokens before
     the padding. A document longer than a row is cut every ``length`` tokens; doc_ids and parts name each
     segment, so all ids can be put together again. Groups of about ``group_bytes`` of text are drawn by hash of
-    (doc_id, part) and packed one by one, best fit decreasing: a hot source or a huge document spreads over groups, and
-    equal inputs give equal rows.
+    (doc_id, part, tokens) and packed one by one, best fit decreasing: a hot source, a huge document or an id with many
+    texts spreads over groups, and equal inputs give equal rows. Of a group that repeats of one row make larger, at most
+    about HELD_TOKENS tokens are held and packed at a time.
 
     Null and empty texts have no tokens and no segment; repeated rows are packed each; a null doc_id is carried
     as null; an empty table gives no rows; other columns are ignored.
@@ -194,26 +203,29 @@ def pack(docs: DataFrame, ranks_file: str = RANKS, length: int = LENGTH, group_b
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     groups = max(-(-size // group_bytes), common.partitions(docs.sparkSession))
     cut = pieces(docs, ranks_file, length)
-    cut = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "part"), F.lit(groups)))
+    cut = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "part", "ids"), F.lit(groups)))
     dealt = cut.repartition(groups, "pack_group").sortWithinPartitions(
         "pack_group", F.desc("n_tokens"), "doc_id", "part", F.xxhash64("ids")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        held, now, tokens, first = [], None, 0, 0
         for batch in batches:
             group = batch.column("pack_group").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if now is not None and group[a] != now:
-                    yield _matrix(now, pa.Table.from_batches(held), length, pad, width)
-                    held = []
+                if now is not None and (group[a] != now or tokens >= HELD_TOKENS):
+                    packed = _bounded(now, held, first, length, pad, width)
+                    yield packed
+                    first = first + packed.num_rows if group[a] == now else 0
+                    held, tokens = [], 0
                 now = int(group[a])
                 held.append(batch.slice(a, b - a))
+                tokens += pc.sum(held[-1].column("n_tokens")).as_py()
         if held:
-            yield _matrix(now, pa.Table.from_batches(held), length, pad, width)
+            yield _bounded(now, held, first, length, pad, width)
 
     schema = (
         "pack_group long, pack_row long, n_tokens long, input_ids binary, position_ids binary, "

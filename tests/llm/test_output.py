@@ -176,3 +176,36 @@ def test_neighbouring_conversations_of_one_long_turn(spark, docs):
     for conv, _, role, text in rows:
         assert found[conv].n_turns == 1
         assert found[conv].turns_sha256 == hashlib.sha256(f"{role}\n{text}\n".encode()).hexdigest()
+
+
+def test_packing_null_and_repeated_ids(spark, monkeypatch):
+    _workers_find_us(spark)
+    rows = [(None, f"text number {i} " * (i % 7 + 1)) for i in range(400)] + [(3, "one text of an id " * 4)] * 300 + [(None, None), (4, "")]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    want = packing.pack(data, length=64, group_bytes=2000).collect()
+    groups = {r.pack_group for r in want if None in r.doc_ids}
+    assert len(groups) > 4 and sum(d is None for r in want for d in r.doc_ids) == 400
+    assert sum(d == 3 for r in want for d in r.doc_ids) == 300 * max(p + 1 for r in want for d, p in zip(r.doc_ids, r.parts, strict=True) if d == 3)
+    assert len({(r.pack_group, r.pack_row) for r in want}) == len(want)
+
+
+def test_packing_holds_bounded_parts():
+    import pyarrow as pa
+
+    part = lambda n: pa.RecordBatch.from_pydict({"doc_id": [n] * 3, "part": [0, 1, 2], "n_tokens": [4, 3, 1], "ids": [b"ab" * 4, b"cd" * 3, b"e\0"]})
+    first = packing._bounded(5, [part(1), part(2)], 0, 4, 0, 2)
+    second = packing._bounded(5, [part(3)], first.num_rows, 4, 0, 2)
+    assert first.column("pack_row").to_pylist() == [0, 1, 2, 3] and second.column("pack_row").to_pylist() == [4, 5]
+    assert sum(second.column("n_tokens").to_pylist()) == 8
+
+
+def test_lines_of_a_host_with_most_pages(spark, monkeypatch):
+    pages = [(i, f"https://{'big' if i % 5 else f'h{i % 4}'}.org/{i}", f"<p>menu</p><p>own {i}</p><p>{i % 3}</p>") for i in range(200)] + [(None, None, None)]
+    data = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("salts", F.lit(1))
+    key = lambda r: (r.page_id is None, r.page_id)
+    plain = sorted(boilerplate.drop_boilerplate(data).collect(), key=key)
+    monkeypatch.setattr(boilerplate, "SALT_PAGES", 7)
+    assert sorted(boilerplate.drop_boilerplate(data).collect(), key=key) == plain
+    monkeypatch.setattr(boilerplate, "BROADCAST_BYTES", 0)
+    assert sorted(boilerplate.drop_boilerplate(data).collect(), key=key) == plain
+    assert plain[1].n_dropped == 2 and plain[1].text == "own 1"

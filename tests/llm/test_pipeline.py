@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from meterline.llm import decontaminate, fertility, minhash
@@ -33,3 +34,21 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 10
+
+
+def test_stages_carry_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    names = ["kept", "n_words", "base_failed", "component_id", "of_text", "_of_id", "_key", "_doc", "_copy", "_mix", "row", "size"]
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names}).cache()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        rows = out.collect()
+        assert out.columns == wide.columns and rows
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+
+
+def test_near_duplicates_drops_texts_and_not_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (2, "an entirely different text of the same id"), (None, None)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame([rows[0], *rows[2:]], out.schema).collect()))

@@ -23,7 +23,7 @@ from meterline.operators import (
 from meterline.plans import refresh
 from meterline.schemas import MESSAGE
 from meterline.session import shared_dir
-from meterline.sources import streams, tables
+from meterline.sources import keyed, streams, tables
 from meterline.sources.telemetry import as_trace, read_events, read_telemetry
 from meterline.streaming import ingest as stream_ingest
 from meterline.streaming import kpis as stream_kpis
@@ -376,6 +376,18 @@ def inc_upsert(spark, sf_dir):
     return merge.upsert_by_key(stored, batch, "kpi_key").drop("cluster_size_clean_max")
 
 
+@query
+def inc_upsert_files(spark, sf_dir):
+    """The same merge on a stored table that rewrites only files with keys of the batch, sizes filled."""
+    rows, gate = _clean(spark, sf_dir), _gate(spark, sf_dir)
+    old_gate = bounds.minutes_before(gate, LATEST_DAYS * DAY)
+    path = shared_dir(spark, "workload")
+    keyed.write(kpis.minute_cluster_workload(rows, old_gate), path, "minute_ts")
+    batch = kpis.minute_cluster_workload(rows, gate, bounds.minutes_before(old_gate, DAY))
+    keyed.upsert(batch, path, "kpi_key", "minute_ts")
+    return keyed.read(spark, path)
+
+
 @query
 def inc_progress(spark, sf_dir):
     """Cleaned rows in two steps: the second starts after the last stored id, seeded with known sizes."""

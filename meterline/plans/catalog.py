@@ -52,6 +52,8 @@ PLAN = """concat(left(value, length(value) - 1), ',"plan":{"steps":[', raw_id %
 INSTANCES = 8
 # Files of the stream with late rows.
 LATE_FILES = 6
+# Messages are made, parsed and staged by tasks of about this many rows, whatever row groups the events lie in.
+TASK_ROWS = 100_000
 # Offsets of the landed telemetry start this far apart, so that some partitions lag far behind others.
 OFFSET_STEP = 1_000_000
 
@@ -154,12 +156,13 @@ def _enriched_with_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _enriched(spark, sf_dir).withColumnRenamed("cluster_size", "cluster_size_clean")
 
 
-def _messages(spark: SparkSession, sf_dir: str, value: str = "value") -> DataFrame:
+def _messages(spark: SparkSession, sf_dir: str, value: str = "value", tasks: int | None = None) -> DataFrame:
     """The trace as delivered messages: offsets follow event ids, instances are partitions.
 
-    ``value`` may damage the message text; it sees the trace columns too.
+    ``value`` may damage the message text; it sees the trace columns too. With ``tasks`` the events are dealt evenly
+    over that many tasks first: ids lie together in a file, and a batch of them would be the work of a few.
     """
-    trace = read_telemetry(spark, sf_dir)
+    trace = read_telemetry(spark, sf_dir) if tasks is None else as_trace(read_events(spark, sf_dir).repartition(tasks))
     encoded = ingest.encode_messages(trace, left_out=("raw_id",), keep=True)
     return encoded.selectExpr(
         "key",
@@ -170,6 +173,11 @@ def _messages(spark: SparkSession, sf_dir: str, value: str = "value") -> DataFra
     )
 
 
+def _tasks(spark: SparkSession, sf_dir: str, rows: int = TASK_ROWS) -> int:
+    """Tasks of about ``rows`` events."""
+    return max(1, -(-read_events(spark, sf_dir).count() // rows))
+
+
 def _stream_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read_events(spark, sf_dir).schema
     # a pattern, since a file stream does not take a single file as its folder
@@ -742,7 +750,7 @@ def _refreshed(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         root = shared_dir(spark, "stored")
-        messages = _messages(spark, sf_dir).withColumn("offset", F.expr(f"offset + partition * {OFFSET_STEP}"))
+        messages = _messages(spark, sf_dir, tasks=_tasks(spark, sf_dir)).withColumn("offset", F.expr(f"offset + partition * {OFFSET_STEP}"))
         events = read_events(spark, sf_dir).selectExpr("max(event_id) AS n").first()["n"]
         for share in (0.4, 0.6, 0.9, 1.0):
             sent = f"CAST(key AS BIGINT) <= {int(events * share)}" + (" AND partition <> 5" if share < 0.9 else "")

@@ -68,6 +68,8 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 #: Files of a log from which on it is shortened.
 LOG_FILES = 32
+#: Up to so many sources have their progress written into the filter itself; more are joined.
+LISTED_SOURCES = 256
 LOG = "batch STRING, state STRING, source LONG, last_id LONG, since_minute LONG, since_window LONG"
 
 
@@ -91,11 +93,21 @@ def _last_ids(rows: DataFrame, source_bits: int) -> list[tuple[int, int]]:
 
 
 def _beyond(rows: DataFrame, log: DataFrame, source_bits: int, id_col: str = "raw_id") -> DataFrame:
-    """Rows beyond the last id that the log has of their source; a source it does not know gives all of its rows."""
+    """Rows beyond the last id that the log has of their source; a source it does not know gives all of its rows.
+
+    The filter names the sources and their last ids, so that it can act below what computes the other columns: of
+    messages that are parsed on the way, those taken before are never parsed again.
+    """
     done = log.where("state = 'done' AND source IS NOT NULL").groupBy("source").agg(F.max("last_id").alias("_last"))
     if not source_bits:
         last = done.first()
         return rows if last is None else bounds.new_rows(rows, last["_last"], id_col)
+    known = done.limit(LISTED_SOURCES + 1).collect()
+    if not known:
+        return rows
+    if len(known) <= LISTED_SOURCES:
+        last_of = ", ".join(f"{r['source']}L, {r['_last']}L" for r in known)
+        return rows.where(f"NOT coalesce({id_col} <= try_element_at(map({last_of}), {source_of(source_bits, id_col)}), false)")
     numbered = rows.withColumn("source", F.expr(source_of(source_bits, id_col))).join(done, "source", "left")
     return numbered.where(f"_last IS NULL OR {id_col} > _last").select(*rows.columns)
 
@@ -145,7 +157,10 @@ def store_staged(landing: DataFrame, root: str, source_bits: int = SOURCE_BITS)
     fresh = _beyond(landing, log, source_bits, "id")
     if tables.table_exists(spark, path):
         unnoted = _beyond(spark.read.parquet(path), log, source_bits).select(F.col("raw_id").alias("id"))
-        tables.append_by_day(stage_events(fresh.join(unnoted, "id", "left_anti")), path, "arrival_timestamp")
+        # only after a failure is there any; the join would shuffle whole events
+        if not unnoted.isEmpty():
+            fresh = fresh.join(unnoted, "id", "left_anti")
+        tables.append_by_day(stage_events(fresh), path, "arrival_timestamp")
     else:
         tables.write_by_day(stage_events(fresh), path, "arrival_timestamp")
     stored = spark.read.parquet(path).drop(tables.PARTITION)

@@ -777,13 +777,14 @@ def _streamed_root(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, f"stream {sf_dir}")
     if key not in _STORED:
         work = shared_dir(spark, "stream-refresh")
-        messages = _messages(spark, sf_dir).select(*[f.name for f in MESSAGE.fields])
+        messages = _messages(spark, sf_dir, tasks=_tasks(spark, sf_dir)).select(*[f.name for f in MESSAGE.fields])
         n = read_events(spark, sf_dir).selectExpr("max(event_id) AS n").first()["n"]
         delivery = f"CASE WHEN partition = 5 OR offset > {n * 2 // 3} THEN 2 WHEN offset > {n // 3} THEN 1 ELSE 0 END"
         for i in range(3):
-            messages.where(f"{delivery} = {i}").coalesce(1).write.mode("append").parquet(f"{work}/in")
-        stream = streams.read_message_stream(spark, f"{work}/in", max_files=1)
-        stream_refresh.start(stream, f"{work}/tables", f"{work}/checkpoint", once=True).awaitTermination()
+            # the stream takes all files of a delivery as one micro-batch, then goes on from its checkpoint
+            messages.where(f"{delivery} = {i}").write.mode("append").parquet(f"{work}/in")
+            stream = streams.read_message_stream(spark, f"{work}/in")
+            stream_refresh.start(stream, f"{work}/tables", f"{work}/checkpoint", once=True).awaitTermination()
         _STORED[key] = f"{work}/tables"
     return _STORED[key]
 

@@ -55,3 +55,14 @@ def test_neighbouring_ids_are_the_work_of_all_tasks(spark, sf_dir, same):
     batch = dealt.where("offset BETWEEN 100 AND 299")
     assert batch.select(F.spark_partition_id().alias("p")).distinct().count() == 4
     same(dealt, catalog._messages(spark, sf_dir))
+
+
+def test_a_streamed_delivery_of_many_files_is_one_batch(spark, sf_dir, same, monkeypatch):
+    monkeypatch.setattr(catalog, "_STORED", {})
+    monkeypatch.setattr(catalog, "_tasks", lambda *a: 3)
+    got = catalog.REGISTRY["stream_clean"](spark, sf_dir)
+    (root,) = catalog._STORED.values()
+    assert len(spark.read.parquet(f"{root}/../in").inputFiles()) == 9
+    log = refresh.read(spark, root, "refresh_log").where("state = 'done'")
+    assert log.select("batch").distinct().count() == 3
+    same(got, catalog.REGISTRY["clean_table"](spark, sf_dir))

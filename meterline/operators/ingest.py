@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.functions import values as V
@@ -141,9 +141,19 @@ def arrival_id(partition_bits: int = PARTITION_BITS, topics: tuple[str, ...] = (
         ELSE CAST(raise_error('no id for this topic, partition and offset') AS BIGINT) END"""
 
 
+def once(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key; missing values equal each other.
+
+    Rows come out sorted by key, whole events among them: as aggregates of wide rows would be sorted on both sides of the
+    shuffle and once more by who writes them.
+    """
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
 def first_deliveries(batch: DataFrame, landed: DataFrame, key: list[str] = MESSAGE_KEY) -> DataFrame:
     """Rows of a batch that were not landed before, once each."""
-    return batch.dropDuplicates(key).join(landed.select(*key), key, "left_anti")
+    return once(batch, key).join(landed.select(*key), key, "left_anti")
 
 
 def idempotent_append(batch: DataFrame, landed: DataFrame) -> DataFrame:

@@ -54,6 +54,8 @@ INSTANCES = 8
 LATE_FILES = 6
 # Messages are made, parsed and staged by tasks of about this many rows, whatever row groups the events lie in.
 TASK_ROWS = 100_000
+# Messages of one file of stream_dedup: they bound its micro-batches.
+FILE_ROWS = 500_000
 # Offsets of the landed telemetry start this far apart, so that some partitions lag far behind others.
 OFFSET_STEP = 1_000_000
 
@@ -726,9 +728,10 @@ def stream_late_leaderboard(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     """Every message is delivered twice, in files read one per micro-batch."""
     work = shared_dir(spark, "stream-dedup")
-    sent = streams.as_messages(_messages(spark, sf_dir)).select(*[f.name for f in MESSAGE.fields])
+    files = _tasks(spark, sf_dir, FILE_ROWS)
+    sent = streams.as_messages(_messages(spark, sf_dir, tasks=files)).select(*[f.name for f in MESSAGE.fields])
     sent.write.parquet(f"{work}/in")
-    sent.write.mode("append").parquet(f"{work}/in")
+    spark.read.schema(MESSAGE).parquet(f"{work}/in").repartition(files).write.mode("append").parquet(f"{work}/in")
     messages = streams.read_message_stream(spark, f"{work}/in", max_files=4)
     _run_to_end(messages, stream_ingest.landing_writer(f"{work}/landing", f"{work}/rejects"), work)
     return stream_ingest.read_landing(spark, f"{work}/landing").select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meterline.functions import exprs
-from meterline.operators.ingest import decode_messages, first_deliveries, land_decoded, rejected
+from meterline.operators.ingest import decode_messages, first_deliveries, land_decoded, once, rejected
 from meterline.schemas import LANDING, MESSAGE, MESSAGE_KEY
 from meterline.sources.tables import table_exists
 
@@ -35,7 +35,7 @@ def landing_writer(landing_path: str, rejects_path: str | None = None) -> Callab
     """Batch function: decode, sanitize, drop what was landed before, append."""
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        decoded = decode_messages(batch).persist()
+        decoded = decode_messages(_dealt(batch)).persist()
         try:
             ranges = _offset_ranges(decoded)
             append_new(land_decoded(decoded), landing_path, ranges)
@@ -47,6 +47,14 @@ def landing_writer(landing_path: str, rejects_path: str | None = None) -> Callab
     return write
 
 
+def _dealt(batch: DataFrame) -> DataFrame:
+    """Messages dealt evenly over the tasks by what :data:`MESSAGE_KEY` is made of, as text: a few large files would be
+    decoded by a few tasks, and the landed rows would be shuffled as whole events. One task a core: each writes a file per
+    partition."""
+    tasks = batch.sparkSession.sparkContext.defaultParallelism
+    return batch.repartition(tasks, F.col("topic"), F.expr("coalesce(partition, 0)"), F.expr("coalesce(offset, 0L)"))
+
+
 def _offset_ranges(batch: DataFrame) -> list[Row]:
     """Lowest and highest offset per topic and partition: one row per broker partition."""
     return (
@@ -72,7 +80,7 @@ def append_new(rows: DataFrame, path: str, ranges: list[Row]) -> None:
     table: topic and partition are folders, and row-group statistics on the offset skip the rest.
     """
     spark = rows.sparkSession
-    fresh = rows.dropDuplicates(MESSAGE_KEY)
+    fresh = once(rows, MESSAGE_KEY)
     if ranges and table_exists(spark, path):
         wanted = F.lit(False)
         for r in ranges:
@@ -109,7 +117,7 @@ def read_rejects(spark: SparkSession, path: str) -> DataFrame:
 
 def _append(rows: DataFrame, path: str) -> None:
     (
-        rows.sortWithinPartitions("kafka_offset")
+        rows.sortWithinPartitions(*MESSAGE_KEY)
         .write.mode("append")
         .partitionBy("kafka_topic", "kafka_partition")
         .parquet(path)

@@ -1,10 +1,13 @@
 """Messages are parsed once and evenly: refreshes of landed batches, streams of large files, deliveries that repeat."""
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
 from meterline.operators import ingest
 from meterline.plans import catalog, refresh
+from meterline.streaming import ingest as si
 
 BITS = ingest.SOURCE_BITS
 
@@ -50,6 +53,25 @@ def test_rows_stored_but_not_noted_are_stored_once(spark, tmp_path, monkeypatch)
     assert sorted(r.query_id for r in staged.select("query_id").collect()) == list(range(60))
 
 
+def test_one_large_file_is_landed_by_many_tasks(spark, tmp_path):
+    """One input task; the rows are decoded and written by as many as there are cores, each message once."""
+    batch = messages(spark, 400, 2).coalesce(1)
+    write = si.landing_writer(f"{tmp_path}/landing", f"{tmp_path}/rejects")
+    write(batch.unionByName(batch.where("offset < 100")), 0)
+    files = glob.glob(f"{tmp_path}/landing/kafka_topic=t/kafka_partition=0/*.parquet")
+    assert len(files) == spark.sparkContext.defaultParallelism > 1
+    write(batch, 1)
+    landed = si.read_landing(spark, f"{tmp_path}/landing")
+    assert sorted(r.kafka_offset for r in landed.select("kafka_offset").collect()) == list(range(400))
+    assert si.read_rejects(spark, f"{tmp_path}/rejects").count() == 0
+
+
+def test_once_keeps_one_row_of_missing_keys_too(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "b"), (2, None), (2, None)], "k LONG, t STRING")
+    got = ingest.once(rows.withColumn("event", F.expr("parse_json('[1]')")), ["k", "t"])
+    assert sorted((r.k or 0, r.t or "") for r in got.select("k", "t").collect()) == [(0, "b"), (1, "a"), (2, "")]
+
+
 def test_neighbouring_ids_are_the_work_of_all_tasks(spark, sf_dir, same):
     dealt = catalog._messages(spark, sf_dir, tasks=4)
     batch = dealt.where("offset BETWEEN 100 AND 299")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,25 @@ _KIND[[0xAA, 0xB5, 0xBA, 0xD7, 0xF7]] = [1, 1, 1, 0, 0]
 _KIND[0x3005:0x3008] = 2
 for _a, _b in ((0xE00, 0xF00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x3000), (0x3040, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x32000)):
     _KIND[_a:_b] = 2
-_FILTER = 22
 _MUL = np.uint64(0xD6E8FEB86659FD93)
-#: Candidates that are looked at together.
+_BIT = np.left_shift(1, np.arange(8)).astype(np.uint8)
+#: Candidates that are made together, and those that are looked at together.
 _TOGETHER = 1 << 21
+_CHUNK = 1 << 13
+#: Bytes of text that are searched together, and places of them that are hashed and marked together.
+_SLICE = 1 << 21
+_STRETCH = 1 << 16
+#: Pieces of an item beside a seed, outwards from the character next to it: characters of a piece, its distance from the
+#: seed, how far edits may have shifted it, and the log of the places that are looked at. Near pieces have few places to
+#: lie in, so that shorter ones tell enough.
+_BESIDE = [(3, 3 * k + 1, k + 1, 5 if k < 8 else 6) for k in range(16)] + [(4, 4 * k + 49, k + 17, 6 if k < 8 else 7) for k in range(40)]
+_REACH = _BESIDE[-1][0] + _BESIDE[-1][1]
+#: How many of the pieces so many characters hold.
+_STEPS = np.searchsorted([far + q for q, far, _, _ in _BESIDE], np.arange(_REACH + 1), "right").astype(np.uint8)
+#: Logs of the places of a block and of the bytes whose bits mark its pieces.
+_BLOCK, _BYTES = 4, 8
+#: Room between items, more than eight pieces take.
+_ROOM = 8 * max(q for q, _, _, _ in _BESIDE)
 
 
 class Spelled:
@@ -80,15 +95,25 @@ class Spelled:
     def text(self, a: int, b: int) -> str:
         return self.chars[a:b].tobytes().decode("utf-32-le")
 
-    def seeds(self, n: int) -> np.ndarray:
-        """A hash of the ``n`` characters from every place on; the last places read padding."""
-        padded = np.concatenate([self.short, np.zeros(max(n, 4), np.uint16)])
-        four = np.ndarray(len(padded) - 3, "<u8", padded, strides=(2,))
-        size, out = len(self.short), None
-        for at in sorted({*range(0, n - 3, 4), n - 4}):
-            piece = four[at : at + size]
-            out = piece * _MUL if out is None else ((out ^ (out >> np.uint64(29))) + piece) * _MUL
-        return out ^ (out >> np.uint64(32))
+    def seeds(self, lengths: Iterable[int], first: int = 0, last: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Hashes of as many characters as each of ``lengths`` says from every place on, of all places or a stretch.
+
+        The last places read padding.
+        """
+        last = len(self.short) if last is None else last
+        padded = np.zeros(last - first + max(*lengths, 4), np.uint16)
+        part = self.short[first : first + len(padded)]
+        padded[: len(part)] = part
+        four, size = np.ndarray(len(padded) - 3, "<u8", padded, strides=(2,)), last - first
+        start = four[:size] * _MUL
+        mixed = start ^ (start >> np.uint64(29))
+        for n in lengths:
+            out = start
+            for at in sorted({*range(4, n - 3, 4), n - 4} - {0}):
+                out = mixed if out is start else out ^ (out >> np.uint64(29))
+                out = out + four[at : at + size]
+                out *= _MUL
+            yield n, out
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all runs of ``n`` words of a row, and the runs' hashes."""
@@ -99,17 +124,27 @@ class Spelled:
 
 def _table(keys: np.ndarray, item: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(keys, kind="stable")
-    known = np.zeros(1 << _FILTER, bool)
-    known[keys >> np.uint64(64 - _FILTER)] = True
-    return known, keys[order], item[order], offset[order]
+    have, first, times = np.unique(keys[order], return_index=True, return_counts=True)
+    shift = np.uint64(64 - min(max(len(have).bit_length() + 4, 12), 24))
+    # by the upper bits of a key: whether one has them, and the place of the first
+    known, place = np.zeros(1 << (64 - int(shift)), bool), np.zeros(1 << (64 - int(shift)), np.int32)
+    known[keys >> shift] = True
+    place[(have >> shift)[::-1]] = np.arange(len(have) - 1, -1, -1)
+    return shift, known, place, np.append(have, ~np.uint64(0)), first, np.append(times, 0), item[order], offset[order]
 
 
 def _hits(table: tuple[np.ndarray, ...], keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(index in keys, item, offset in the item) of all keys that the table holds, in bounded pieces."""
-    known, have, item, offset = table
-    hit = np.flatnonzero(known[keys >> np.uint64(64 - _FILTER)])
-    lo, hi = np.searchsorted(have, keys[hit], "left"), np.searchsorted(have, keys[hit], "right")
-    hit, lo, times = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+    shift, known, place, have, first, times, item, offset = table
+    top = (keys >> shift).view(np.int64)
+    hit = np.flatnonzero(known.take(top))
+    at, key = place[top[hit]].astype(np.int64), keys[hit]
+    low = np.flatnonzero(have[at] < key)
+    while len(low):
+        at[low] += 1
+        low = low[have[at[low]] < key[low]]
+    same = np.flatnonzero((have[at] == key) & (times[at] > 0))
+    hit, lo, times = hit[same], first[at[same]], times[at[same]]
     total = np.concatenate([[0], np.cumsum(times)])
     i = 0
     while i < len(hit):
@@ -142,7 +177,7 @@ class Items:
         for n in SEEDS:
             keep = np.flatnonzero((served[where] == n) & (offset + n <= self.lengths[where])) if len(where) else []
             if len(keep):
-                self.seeds[n] = _table(s.seeds(n)[keep], where[keep], offset[keep])
+                self.seeds[n] = _table(next(s.seeds([n]))[1][keep], where[keep], offset[keep])
         first, keys = s.windows(WORDS)
         keep = (self.lengths[s.row[first]] >= MIN_CHARS) & ~s.alone[first] & ~s.alone[first + WORDS - 1]
         self.words = _table(keys[keep], s.row[first[keep]], s.starts[first[keep]] - s.rows[s.row[first[keep]]])
@@ -153,6 +188,19 @@ class Items:
             first, keys = s.windows(n)
             keep = (n_words[s.row[first]] == n) & (self.lengths[s.row[first]] < MIN_CHARS)
             self.whole[n] = _table(keys[keep], s.row[first[keep]], np.zeros(keep.sum(), np.int64))
+        # the items with room between them, so that pieces beyond an item are none
+        self.first = s.rows[:-1] + _ROOM * np.arange(1, len(ids) + 1)
+        place = np.repeat(self.first, self.lengths) + offset
+        self.short = np.zeros(int(s.rows[-1]) + _ROOM * (len(ids) + 1), np.uint16)
+        self.short[place] = s.short
+        self.marks = {}
+        for q in {q for q, _, _, _ in _BESIDE}:
+            marks = np.zeros((2, len(self.short) + _ROOM), np.uint8)
+            inside = place[offset + q <= self.lengths[where]]
+            marks[:, inside] = np.array(_marks(self.short, q))[:, inside]
+            # of eight pieces in a row
+            eight = np.stack([marks[:, k * q : k * q + len(self.short)] for k in range(8)], axis=2)
+            self.marks[q] = eight.view(np.uint64)[:, :, 0]
         byte = _bytes(s.short)
         self.pieces = []
         for o in range(0, int(self.lengths.max(initial=0)), 64):
@@ -167,6 +215,78 @@ def _bytes(short: np.ndarray) -> np.ndarray:
     return (short ^ (short >> np.uint16(8))).astype(np.uint8)
 
 
+def _marks(short: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit that mark the ``q`` characters from every place on."""
+    four = np.ndarray(len(short), "<u8", np.pad(short, (0, 4)), strides=(2,))
+    mark = (((four << np.uint64(64 - 16 * q)) * _MUL) >> np.uint64(61 - _BYTES)).astype(np.uint16)
+    return (mark >> np.uint16(3)).astype(np.uint8), _BIT[mark & np.uint16(7)]
+
+
+class Beside:
+    """Which pieces of a few characters start in the blocks of a stretch of a text, by marks of their hashes."""
+
+    def __init__(self, short: np.ndarray, first: int, last: int) -> None:
+        margin = 2 * _REACH
+        self.first = first - margin
+        blocks = ((last - first + 2 * margin) >> _BLOCK) + 1
+        part = np.zeros(blocks << _BLOCK, np.uint16)
+        a, b = max(0, self.first), min(len(short), self.first + len(part))
+        part[a - self.first : b - self.first] = short[a:b]
+        row = np.arange(blocks) << _BYTES
+        self.marks = {}
+        for q in {q for q, _, _, _ in _BESIDE}:
+            byte, bit = _marks(part, q)
+            marks = np.zeros(blocks << _BYTES, np.uint8)
+            for x in range(1 << _BLOCK):
+                marks[row + byte[x :: 1 << _BLOCK]] |= bit[x :: 1 << _BLOCK]
+            # marks of 1, 2, 4 and so on blocks in a row
+            wide, n = marks.view(np.uint64), 1 << (_BYTES - 3)
+            for w in range(_BLOCK + 1, max(w for p, _, _, w in _BESIDE if p == q) + 1):
+                more = np.empty_like(wide)
+                np.bitwise_or(wide[:-n], wide[n:], out=more[:-n])
+                more[-n:] = wide[-n:]
+                wide, n = more, 2 * n
+                self.marks[q, w] = wide.view(np.uint8)
+
+    def possible(self, s: Spelled, items: Items, at: np.ndarray, item: np.ndarray, offset: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which seeds, each of ``n`` characters and the first of a run, may be undamaged parts of leaks.
+
+        The item is cut into pieces outwards from the seed. Before an undamaged piece there are at least as many edits as
+        places it is shifted by. So a piece that is not in the text within as many places as there are pieces before it
+        means one edit more than these can have, in the piece or before it. If such pieces are more than the limit, no
+        leak has this seed undamaged. Marks may show a piece that is not there, never hide one.
+        """
+        start, left, right = items.first[item] + offset, offset, items.lengths[item] - offset - n
+        spare = np.minimum(items.limits[item], 1 << 14).astype(np.int16)
+        spare -= left > 0
+        spare -= (right > 0) & (s.short.take(at + n, mode="clip") != items.short[start + n])
+        other = _STEPS.take(left, mode="clip")
+        for room, forward in ((right, True), (left, False)):
+            steps = _STEPS.take(room, mode="clip")
+            more, other = steps + other, np.zeros(len(at), np.uint8)
+            piece, place = (start + n, at + n - self.first) if forward else (start, at - self.first)
+            alive = np.arange(len(at))
+            for k in range(0, len(_BESIDE), 8):
+                # neither dropped nor sure to stay
+                can = spare[alive]
+                alive = alive[(steps[alive] > k) & (can >= 0) & (can < more[alive].view(np.int8) - np.int16(k))]
+                if not len(alive):
+                    break
+                q, far, _, w = _BESIDE[k]
+                move = far + q * np.arange(8) if forward else -far - q * np.arange(8, 0, -1)
+                shifted = np.arange(k + 1, k + 9)[:: 1 if forward else -1]
+                of = piece[alive] + move[0]
+                byte, bit = (m.take(of).view(np.uint8).reshape(-1, 8).T for m in items.marks[q])
+                spot = (place[alive] << (_BYTES - _BLOCK)) + ((move - shifted) << (_BYTES - _BLOCK))[:, None]
+                spot &= -1 << _BYTES
+                spot += byte
+                there = self.marks[q, w].take(spot)
+                there &= bit
+                seen = np.add.reduce(there > 0, axis=0, dtype=np.uint8)
+                spare[alive] -= np.minimum(steps[alive] - np.uint8(k), 8) - seen
+        return spare >= 0
+
+
 def least_edits(pattern: bytes | str, text: bytes | str) -> int:
     """Smallest edit distance between ``pattern`` and any substring of ``text``, by bit-parallel columns."""
     if not pattern:
@@ -251,6 +371,32 @@ def _near(s: Spelled, items: Items, places: np.ndarray) -> Iterator[tuple[int, i
         yield from zip(i.tolist(), (b - k).tolist(), (b + m + k + w).tolist(), strict=True)
 
 
+def _firsts(s: Spelled, items: Items, first: int, last: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place, item, offset in the item, length) of the seeds in a stretch of a text, of a run of equal characters the first."""
+    for n, keys in s.seeds(list(items.seeds), first, last):
+        for hit, item, offset in _hits(items.seeds[n], keys):
+            hit += first
+            same = s.short[hit - 1] == items.short[items.first[item] + offset - 1]
+            keep = np.flatnonzero((offset == 0) | (hit == 0) | ~same)
+            yield hit[keep], item[keep], offset[keep], np.full(len(keep), n)
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rows of ``parts`` in parts of ``size`` and a last one."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= size:
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            for i in range(0, n - size + 1, size):
+                yield tuple(c[i : i + size] for c in rows)
+            held = [tuple(c[n // size * size :] for c in rows)]
+            n %= size
+    if n:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
 def leaks(text: pa.Array, items: Items, max_edit: float) -> list[tuple[int, int, int]]:
     """(row, item position, edit distance) of the items that the texts hold, each pair once with its least distance."""
     s = Spelled(text)
@@ -268,9 +414,12 @@ def leaks(text: pa.Array, items: Items, max_edit: float) -> list[tuple[int, int,
     def note(at: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
         places.append(np.unique((item << 40) + (at - offset) // items.band[item] + (1 << 39)))
 
-    for n, table in items.seeds.items():
-        for hit, item, offset in _hits(table, s.seeds(n)):
-            note(hit, item, offset)
+    for x in range(0, len(s.short) if items.seeds else 0, _STRETCH):
+        y = min(x + _STRETCH, len(s.short))
+        beside = Beside(s.short, x, y)
+        for part in _gathered(_firsts(s, items, x, y), _CHUNK):
+            keep = beside.possible(s, items, *part)
+            note(*[c[keep] for c in part[:3]])
     first, keys = s.windows(WORDS)
     for hit, item, offset in _hits(items.words, keys):
         note(s.starts[first[hit]], item, offset)
@@ -306,8 +455,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT
 
     Texts are lower-cased and cut into runs of letters and digits; in scripts without blanks every character is a word.
     Places where a document shares a seed with an item (WORDS neighbouring words, or as many characters as seed_chars
-    says) are compared with the whole item: its least edit distance in characters to any passage there is exact and at
-    most ``max_edit`` of the item's length. Documents stay where they are: no shuffle. A benchmark above ``block_bytes``
+    says, if the characters beside them leave a leak possible) are compared with the whole item: its least edit distance
+    in characters to any passage there is exact and at most ``max_edit`` of the item's length. Documents stay where they are: no shuffle. A benchmark above ``block_bytes``
     is handled in blocks, one pass each.
 
     No leak is missed whose item has at most every fifth word changed (9 words or more), or some undamaged run of a
@@ -324,7 +473,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in common.slices(batch, "text", 1 << 20):
+                for part in common.slices(batch, "text", _SLICE):
                     found = leaks(part.column("text"), items, max_edit)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -348,7 +497,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_E
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in common.slices(batch, "text", 1 << 20):
+                for part in common.slices(batch, "text", _SLICE):
                     clean = np.ones(part.num_rows, bool)
                     clean[[r for r, _, _ in leaks(pc.cast(part.column("text"), pa.string()), items, max_edit)]] = False
                     yield part.filter(pa.array(clean))

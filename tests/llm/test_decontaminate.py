@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -156,3 +157,62 @@ def test_rows_do_not_run_into_each_other():
     items = decontaminate.Items([1], ["one passage that is cut in two by the end of a row"])
     assert decontaminate.leaks(pa.array(["one passage that is cut in", None, " two by the end of a row"]), items, 0.2) == []
     assert decontaminate.leaks(pa.array(["", "x", "one passage that is cut in two by the end of a row", ""]), items, 0.2) == [(2, 0, 0)]
+
+
+def scripted(rng, text, edits):
+    """``text`` with so many edits of single letters, and (place in the copy, place in the text) of every letter left."""
+    letters = [x for x, c in enumerate(text) if c != " "]
+    at, out, pairs = set(rng.sample(letters, edits)), [], []
+    for x, c in enumerate(text):
+        # of a word no two neighbours are left out, so that none is gone
+        change = rng.choice(["q", "q" + c, "q" if x - 1 in at else ""]) if x in at else c
+        if change[-1:] == c:
+            pairs.append((len(out) + len(change) - 1, x))
+        out += change
+    return "".join(out), pairs
+
+
+@pytest.mark.parametrize("share", [0.02, 0.1, 0.2])
+@pytest.mark.parametrize("n", [5, 14, 22, 45, 300])
+def test_no_seed_of_a_leak_is_dropped(n, share):
+    rng = random.Random(n)
+    bench = [" ".join(prose(rng, n)) for _ in range(12)]
+    items = decontaminate.Items(list(range(12)), bench)
+    for i, text in enumerate(bench):
+        copy, pairs = scripted(rng, text, int(share * len(text)))
+        around = [" ".join(prose(rng, rng.choice([0, 3, 90]))) for _ in range(2)]
+        s = decontaminate.Spelled(pa.array([around[0] + copy + around[1]]))
+        kept = {(p + len(around[0]), x) for p, x in pairs}
+        size = decontaminate.seed_chars(len(text))
+        assert s.text(0, len(s.chars)) == around[0] + copy + around[1]
+        assert items.lengths[i] == len(text)
+        # undamaged runs of the seed's length that do not reach further to the left
+        seeds = [(p, x) for p, x in kept if all((p + k, x + k) in kept for k in range(size))]
+        seeds = [(p, x) for p, x in seeds if not x or not p or s.short[p - 1] != items.short[items.first[i] + x - 1]]
+        if seeds:
+            at, offset = np.array(sorted(seeds)).T
+            beside = decontaminate.Beside(s.short, 0, len(s.short))
+            assert beside.possible(s, items, at, np.full(len(at), i), offset, np.full(len(at), size)).all()
+
+
+def test_few_places_are_compared_in_full(monkeypatch):
+    """Clean texts in the items' own syllables share short seeds with them nearly everywhere; few pass their neighbours."""
+    rng = random.Random(8)
+    items = decontaminate.Items(list(range(60)), [" ".join(prose(rng, rng.randint(18, 30))) for _ in range(60)])
+    seen, near = [], decontaminate._near
+    monkeypatch.setattr(decontaminate, "_near", lambda s, items, places: seen.append(len(places)) or near(s, items, places))
+    text = " ".join(prose(rng, 20_000))
+    assert decontaminate.leaks(pa.array([text]), items, 0.2) == []
+    assert sum(seen) < len(text) / 100
+
+
+def test_stretches_and_parts_do_not_matter(monkeypatch, bench):
+    rows, _ = planted(bench, 0.1, 13)
+    texts = pa.array([r[1] for r in rows])
+    items = decontaminate.Items([i for i, _ in bench], [t for _, t in bench])
+    want = decontaminate.leaks(texts, items, 0.2)
+    assert want
+    for stretch, chunk in ((700, 50), (5000, 7), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(decontaminate, "_STRETCH", stretch)
+        monkeypatch.setattr(decontaminate, "_CHUNK", chunk)
+        assert decontaminate.leaks(texts, items, 0.2) == want
